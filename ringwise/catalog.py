@@ -271,3 +271,10 @@ FROM (
 @register("h7_score_records", H7_SQL)
 def q_h7(spark, sf):
     return scoring.score_records(txn(spark, sf))
+
+
+def _load_more():
+    from ringwise import catalog_eval  # noqa: F401  (registers I-queries)
+
+
+_load_more()

@@ -62,5 +62,5 @@ def with_base(body: str, **extra: str) -> str:
     """Prefix ``body`` with the adapter CTEs plus named helper CTEs (in order)."""
     ctes = dict(BASE_CTES)
     ctes.update(extra)
-    head = ",\n".join(f"{name} AS ({text}\n)" for name, text in ctes.items())
+    head = ",\n".join(f"{name} AS MATERIALIZED ({text}\n)" for name, text in ctes.items())
     return f"WITH {head}\n{body}"
