@@ -278,3 +278,10 @@ def _load_more():
 
 
 _load_more()
+
+
+def _load_rings():
+    from ringwise import catalog_rings  # noqa: F401  (registers ring queries)
+
+
+_load_rings()

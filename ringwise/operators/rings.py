@@ -195,3 +195,13 @@ def ring_picture(ring_list_df: DataFrame, edges: DataFrame, k: int = 8, cards_pe
                                                       F.lit(None).cast("string").alias("target"))
             .unionByName(links.select(F.lit(None).cast("string").alias("id"), F.lit("link").alias("kind"),
                                       F.lit(None).cast("long").alias("fraud_count"), "source", "target")))
+
+
+def lift_df(found: DataFrame, stats: DataFrame, saving: float = 120.0) -> DataFrame:
+    """G14 over frames: ``stats`` is one row (``total``, ``base_recall``) joined as a scalar subquery."""
+    from ringwise.functions.params import scalar_row
+    st = scalar_row(stats)
+    n = found.agg(F.count(F.lit(1)).alias("found"))
+    lift_c = F.col("found").cast("double") / st["total"].cast("double")
+    return n.select("found", lift_c.alias("recall_lift"), (st["base_recall"] + lift_c).alias("new_recall"),
+                    (F.col("found") * F.lit(saving)).alias("savings"))
