@@ -285,3 +285,10 @@ def _load_rings():
 
 
 _load_rings()
+
+
+def _load_features():
+    from ringwise import catalog_features  # noqa: F401  (registers feature queries)
+
+
+_load_features()
