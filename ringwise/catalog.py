@@ -292,3 +292,10 @@ def _load_features():
 
 
 _load_features()
+
+
+def _load_review():
+    from ringwise import catalog_more  # noqa: F401  (registers K, J, L queries)
+
+
+_load_review()

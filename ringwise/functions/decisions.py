@@ -66,10 +66,11 @@ def encode_segment(segment) -> Column:
 
 
 def flag_reason(p, graph_risk) -> Column:
-    """Reasons joined by ``; `` with the first letter capitalised."""
+    """``elevated fraud probability (p)`` / ``high graph risk score (r)`` joined by ``; ``,
+    else the borderline wording; first letter upper-case, the rest lower-case."""
     p, r = _c(p), _c(graph_risk)
     text = F.concat_ws("; ",
-                       F.when(p >= 0.5, F.lit("high model score")),
-                       F.when(r >= 0.5, F.lit("fraud ring connection")),
-                       F.when((p < 0.5) & (r < 0.5), F.lit("borderline score")))
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 20))
+                       F.when(p >= 0.5, F.format_string("elevated fraud probability (%.3f)", p)),
+                       F.when(r >= 0.5, F.format_string("high graph risk score (%.3f)", r)))
+    text = F.when(text == "", F.lit("borderline model score with graph risk signal")).otherwise(text)
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1 << 20)))
