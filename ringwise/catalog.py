@@ -299,3 +299,10 @@ def _load_review():
 
 
 _load_review()
+
+
+def _load_stream():
+    from ringwise import catalog_stream  # noqa: F401  (registers N queries)
+
+
+_load_stream()
