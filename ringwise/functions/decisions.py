@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ringwise.functions.num import fixed
+
 RING_THRESHOLD = 2
 SEGMENT_THRESHOLDS = {"VIP": 0.72, "Regular": 0.88, "New": 0.82}
 DEFAULT_THRESHOLD = 0.5
@@ -70,7 +72,7 @@ def flag_reason(p, graph_risk) -> Column:
     else the borderline wording; first letter upper-case, the rest lower-case."""
     p, r = _c(p), _c(graph_risk)
     text = F.concat_ws("; ",
-                       F.when(p >= 0.5, F.format_string("elevated fraud probability (%.3f)", p)),
-                       F.when(r >= 0.5, F.format_string("high graph risk score (%.3f)", r)))
+                       F.when(p >= 0.5, F.concat(F.lit("elevated fraud probability ("), fixed(p, 3), F.lit(")"))),
+                       F.when(r >= 0.5, F.concat(F.lit("high graph risk score ("), fixed(r, 3), F.lit(")"))))
     text = F.when(text == "", F.lit("borderline model score with graph risk signal")).otherwise(text)
     return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1 << 20)))

@@ -48,3 +48,25 @@ def cents(amount) -> Column:
 
 def clip(x, lo: float, hi: float) -> Column:
     return F.least(F.greatest(_c(x), F.lit(lo)), F.lit(hi))
+
+
+def fixed(x, digits: int = 3) -> Column:
+    """``'%.{digits}f' % x`` with Python's rounding of the exact binary value (non-negative ``x``).
+
+    Java's formatter rounds the shortest decimal string half-up (0.1235 -> 0.124) while the exact
+    double is 0.12349999... (-> 0.123).  ``x * 10^d = p + e`` exactly (Dekker split, no FMA needed),
+    so the tie test against ``n + 0.5`` is exact; exact ties go to the even neighbour.
+    """
+    x = _c(x).cast("double")
+    s = float(10 ** digits)
+    c = x * 134217729.0
+    xh = c - (c - x)
+    xl = x - xh
+    p = x * s
+    e = (xh * s - p) + xl * s
+    n = F.floor(p).cast("long")
+    t = (p - (n + 0.5)) + e
+    r = F.when(t > 0, n + 1).when(t < 0, n).otherwise(F.when(n % 2 == 0, n).otherwise(n + 1))
+    scale = 10 ** digits
+    return F.concat(int_div(r, F.lit(scale)).cast("string"), F.lit("."),
+                    F.lpad((r % scale).cast("string"), digits, "0"))
