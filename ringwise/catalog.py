@@ -306,3 +306,10 @@ def _load_stream():
 
 
 _load_stream()
+
+
+def _load_extra():
+    from ringwise import catalog_extra  # noqa: F401  (registers B6-B12, H11, H12, I15, J3)
+
+
+_load_extra()

@@ -3,7 +3,7 @@
 ``score_records`` (H7) is the flagship: every transaction gets its segment,
 threshold, graph risk (stored card risk raised to the live ring risk when
 the card is in a ring), a three-way decision and a confidence.  It is one
-lazy plan: the segment parameters are a broadcast one-row frame, the card
+lazy plan: the segment parameters are a one-row scalar subquery, the card
 tables join on ``card_id`` (shuffle join; AQE may broadcast when small).
 """
 
@@ -61,16 +61,36 @@ def flag_reasons(pred: DataFrame) -> DataFrame:
                                       F.coalesce("graph_risk_score", F.lit(0.0))).alias("flag_reason"))
 
 
-def score_lookup(ids: DataFrame, feats: DataFrame) -> DataFrame:
+def score_lookup(ids: DataFrame, feats: DataFrame, seg_params: DataFrame, thresholds: dict | None = None) -> DataFrame:
     """Older two-way scoring by key lookup in the feature table.
 
-    FRAUD when the stored label says so, risk = cluster fraud rate, context = hour / 23.
+    Segment from the stored cuts (missing D1/D15 -> New), FRAUD when the probability reaches the
+    segment threshold, risk = address-cluster fraud rate, context = hour / 23.
     Fixed values: decision words FRAUD / CLEAR, hour scale 23.
     """
-    f = feats.select(F.col("TransactionID").cast("string").alias("transaction_id"), "isFraud",
-                     "cluster_fraud_rate", "Transaction_Hour")
+    from ringwise.functions.decisions import encode_segment
+    from ringwise.operators.segments import assign_batch
+    f = assign_batch(feats, seg_params).select(
+        F.col("TransactionID").cast("string").alias("transaction_id"), "fraud_probability", "customer_segment",
+        "cluster_fraud_rate", "Transaction_Hour")
+    thr = segment_threshold("customer_segment", thresholds)
     return (ids.select("transaction_id").join(f, "transaction_id")
-            .select("transaction_id",
-                    F.when(F.col("isFraud") == 1, "FRAUD").otherwise("CLEAR").alias("decision"),
-                    F.coalesce("cluster_fraud_rate", F.lit(0.0)).alias("risk_score"),
-                    (F.coalesce(F.col("Transaction_Hour").cast("double"), F.lit(0.0)) / 23.0).alias("context")))
+            .select("transaction_id", "fraud_probability", "customer_segment", thr.alias("threshold"),
+                    F.when(F.col("fraud_probability") >= thr, "FRAUD").otherwise("CLEAR").alias("decision"),
+                    F.col("cluster_fraud_rate").alias("graph_risk"),
+                    (F.col("Transaction_Hour").cast("double") / 23.0).alias("market_context"),
+                    encode_segment("customer_segment").alias("segment_code")))
+
+
+def graph_facts(pred: DataFrame) -> DataFrame:
+    """H11 (graph part): four-level wording of the graph risk with the value to 3 decimals."""
+    from ringwise.functions.num import fixed
+    r = F.coalesce(F.col("graph_risk_score"), F.lit(0.0))
+    v = fixed(r, 3)
+    desc = (F.when(r >= 0.7, F.concat(F.lit("HIGH graph risk ("), v, F.lit(") \u2014 strong fraud network signal")))
+            .when(r >= 0.4, F.concat(F.lit("ELEVATED graph risk ("), v, F.lit(") \u2014 connected to suspicious network")))
+            .when(r > 0, F.concat(F.lit("LOW graph risk ("), v, F.lit(")")))
+            .otherwise(F.lit("No graph risk signal")))
+    head = F.concat(F.lit("Decision: "), F.col("decision"), F.lit(" | FraudProb: "), fixed("fraud_probability", 3),
+                    F.lit(" | Segment: "), F.col("customer_segment"))
+    return pred.select("transaction_id", desc.alias("graph_desc"), head.alias("headline"))
