@@ -313,3 +313,10 @@ def _load_extra():
 
 
 _load_extra()
+
+
+def _load_algo():
+    from ringwise import catalog_algo  # noqa: F401  (registers G15-G20)
+
+
+_load_algo()
