@@ -320,3 +320,10 @@ def _load_algo():
 
 
 _load_algo()
+
+
+def _load_ml():
+    from ringwise import catalog_ml  # noqa: F401  (registers H1-H3, H8, H9, J8, M)
+
+
+_load_ml()

@@ -35,7 +35,8 @@ def prepare(df: DataFrame, num: list[str], cat: list[str], keep: tuple = ("Trans
     cols = [F.col(k) for k in keep]
     cols += [F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)).alias(c) for c in num]
     cols += [F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(c) for c in cat]
-    cols += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in GRAPH_COLS if c in df.columns]
+    cols += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in GRAPH_COLS
+             if c in df.columns and c not in num]
     return df.select(*cols)
 
 
