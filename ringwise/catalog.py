@@ -327,3 +327,10 @@ def _load_ml():
 
 
 _load_ml()
+
+
+def _load_io():
+    from ringwise import catalog_io  # noqa: F401  (registers A queries)
+
+
+_load_io()
