@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ringwise.catalog import _g, register, txn
+from ringwise.catalog import _g, register, txn, txn_mat
 from ringwise.operators import graph as g
 from ringwise.operators import graph_algo as ga
 
@@ -35,7 +35,7 @@ def q_g15(spark, sf):
 
 
 def _comm(spark, sf):
-    t = txn(spark, sf)
+    t = txn_mat(spark, sf)
     e = g.typed_edges(t)
     return t, e, ga.communities(e)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ringwise.catalog import register, txn
+from ringwise.catalog import register, txn, txn_mat
 from ringwise.checks.oracle import with_base
 from ringwise.operators import augment, ml
 from ringwise.operators.features import build_features
@@ -19,7 +19,7 @@ def _train_frame(spark, sf):
     """B6-prepared training table: missing numbers 0.0, missing categories ``None``."""
     from ringwise.operators.features import upstream
     from ringwise.operators.prep import prepare
-    t = upstream(txn(spark, sf))
+    t = upstream(txn_mat(spark, sf))
     return prepare(attach(t, build_graph_features(t)), NUM, CAT, keep=("TransactionID", "isFraud"))
 
 

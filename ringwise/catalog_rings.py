@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ringwise.catalog import _g, register, txn
+from ringwise.catalog import _g, register, txn, txn_mat
 from ringwise.catalog_eval import MISSED_SQL, scored_txn
 from ringwise.checks.graph_sql import ratio_round_sql
 from ringwise.operators import evaluate as ev
@@ -36,7 +36,7 @@ G3_SQL = f"""
 
 
 def _base(spark, sf):
-    t = txn(spark, sf)
+    t = txn_mat(spark, sf)
     return t, g.card_nodes(t), g.typed_edges(t)
 
 

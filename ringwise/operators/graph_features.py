@@ -69,10 +69,11 @@ def graph_features(cards: DataFrame, dev: DataFrame, em: DataFrame, addr: DataFr
     return gf.withColumn("graph_risk_score", risk).select("card_id", *GRAPH_COLS)
 
 
-def build_graph_features(txn: DataFrame) -> DataFrame:
-    """E1-E6 then F1-F4 in one lazy plan."""
+def build_graph_features(txn: DataFrame, cards: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """E1-E6 then F1-F4 in one lazy plan (pass ``cards`` / ``edges`` to share them with other operators)."""
     from ringwise.operators import graph as g
-    cards, edges = g.card_nodes(txn), g.typed_edges(txn)
+    cards = cards if cards is not None else g.card_nodes(txn)
+    edges = edges if edges is not None else g.typed_edges(txn)
     return graph_features(cards, device_features(edges, cards, g.device_nodes(txn)),
                           email_features(edges, g.email_nodes(txn)),
                           address_features(edges, g.address_nodes(txn)))

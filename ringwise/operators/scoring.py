@@ -30,10 +30,10 @@ def score_records(txn: DataFrame, thresholds: dict | None = None, seg_params: Da
                   checks: DataFrame | None = None, graph: DataFrame | None = None) -> DataFrame:
     """H7: one scored record per transaction."""
     params = seg_params if seg_params is not None else fit_segments(txn)
-    if graph is None:
-        graph = build_graph_features(txn)
-    if checks is None:
-        checks = card_check(g.typed_edges(txn), g.card_nodes(txn))
+    if graph is None or checks is None:
+        cards, edges = g.card_nodes(txn), g.typed_edges(txn)
+        graph = graph if graph is not None else build_graph_features(txn, cards, edges)
+        checks = checks if checks is not None else card_check(edges, cards)
     rows = assign_online(txn.withColumn("card_id", card_key()), params)
     stored = graph.select("card_id", F.col("graph_risk_score").alias("stored_risk"))
     chk = checks.select("card_id", "in_fraud_ring", "ring_risk_score", "total_connections", "ring_type")
