@@ -56,15 +56,16 @@ def threshold_table(df: DataFrame, by: list[str] | None = None, p: str = "p", y:
              .agg(F.sum(y).cast("long").alias("pos"), F.sum(1 - F.col(y)).cast("long").alias("neg"),
                   F.sum(F.when(F.col(y) == 1, F.col(amt)).otherwise(0)).cast("long").alias("cpos"),
                   F.sum(F.when(F.col(y) == 0, F.col(amt)).otherwise(0)).cast("long").alias("cneg")))
-    tot = per_b.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                                   F.sum("cpos").alias("CP"), F.sum("cneg").alias("CN"))
-    dense = tot.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(100).cast("long"))).alias("i"),
-                       "P", "N", "CP", "CN")
-    j = dense.join(per_b.where(F.col("i") >= 0), keys + ["i"], "left").na.fill(0, ["pos", "neg", "cpos", "cneg"])
+    # both branches below read the same aggregate, so its exchange is reused: the input is scanned once
+    grid = per_b.select(*keys).distinct().select(
+        *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(100).cast("long"))).alias("i"))
+    j = grid.join(per_b, keys + ["i"], "left").na.fill(0, ["pos", "neg", "cpos", "cneg"])
+    whole = Window.partitionBy(*keys)
     w = Window.partitionBy(*keys).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
-    out = j.select(*keys, "i", "P", "N",
+    out = j.select(*keys, "i", F.sum("pos").over(whole).alias("P"), F.sum("neg").over(whole).alias("N"),
                    F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"),
-                   F.sum("cpos").over(w).alias("tp_cents"), F.sum("cneg").over(w).alias("fp_cents"), "CP", "CN")
+                   F.sum("cpos").over(w).alias("tp_cents"), F.sum("cneg").over(w).alias("fp_cents"),
+                   F.sum("cpos").over(whole).alias("CP"), F.sum("cneg").over(whole).alias("CN"))
     out = out.select(*keys, "i", "tp", "fp", (F.col("P") - F.col("tp")).alias("fn"),
                      (F.col("N") - F.col("fp")).alias("tn"), "tp_cents", "fp_cents",
                      (F.col("CP") - F.col("tp_cents")).alias("fn_cents"))
