@@ -118,7 +118,7 @@ def q_e6(spark, sf):
 
 
 @register("e7_node_rates", with_base("""
-SELECT label, count(*) AS nodes, avg(rate) AS mean_fraud_rate FROM per GROUP BY label""",
+SELECT label, count(*) AS nodes, round(avg(rate), 9) AS mean_fraud_rate FROM per GROUP BY label""",
     ids=f"""
   SELECT isFraud, {card_key_sql()} AS card_id,
     coalesce(DeviceType, 'None') || '-' || coalesce(DeviceInfo, 'None') AS device_id, coalesce(id_15, 'None') AS ip_id,

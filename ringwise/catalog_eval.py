@@ -305,7 +305,7 @@ def q_i16(spark, sf):
 
 
 @register("i17_latency_profile", with_base("""
-SELECT count(*) AS n, avg(latency_ms) AS mean_ms, quantile_cont(latency_ms, 0.5) AS p50_ms,
+SELECT count(*) AS n, round(avg(latency_ms), 9) AS mean_ms, quantile_cont(latency_ms, 0.5) AS p50_ms,
   quantile_cont(latency_ms, 0.95) AS p95_ms, quantile_cont(latency_ms, 0.99) AS p99_ms, max(latency_ms) AS max_ms
 FROM predictions"""))
 def q_i17(spark, sf):

@@ -55,14 +55,14 @@ def q_k3(spark, sf):
 
 @register("k4_stats", with_base("""
 SELECT count(*) AS total, CAST(count_if(decision IN ('FLAG', 'BLOCK')) AS DOUBLE) / count(*) AS flagged_share,
-  avg(latency_ms) AS mean_latency_ms, count_if(decision = 'APPROVE') AS n_approve,
+  round(avg(latency_ms), 9) AS mean_latency_ms, count_if(decision = 'APPROVE') AS n_approve,
   count_if(decision = 'FLAG') AS n_flag, count_if(decision = 'BLOCK') AS n_block FROM predictions"""))
 def q_k4(spark, sf):
     return review.stats(pred(spark, sf))
 
 
 @register("k5_rolling_latency", with_base("""
-SELECT count(*) AS n, avg(latency_ms) AS mean_latency_ms
+SELECT count(*) AS n, round(avg(latency_ms), 9) AS mean_latency_ms
 FROM (SELECT * FROM predictions ORDER BY created_at DESC, transaction_id DESC LIMIT 10000) x"""))
 def q_k5(spark, sf):
     return review.rolling_latency(pred(spark, sf))

@@ -74,3 +74,51 @@ def q_n1(spark, sf):
     q.processAllAvailable()
     q.stop()
     return spark.read.parquet(f"{base}/out/predictions").drop("batch")
+
+
+def _replay_requests(spark, sf, base):
+    """Requests written as time-ordered JSON files (the stream source for N5 / N13)."""
+    req = adapter.requests(spark, sf)
+    n_files = max(1, req.count() // 2000)
+    (req.repartitionByRange(n_files, "ts").sortWithinPartitions("ts").write.mode("overwrite").json(f"{base}/req"))
+    schema = "request_id long, ts timestamp, route string, status int, duration_ms double, card_id long"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", "4").json(f"{base}/req")
+
+
+@register("n13_windowed_stream")
+def q_n13(spark, sf):
+    """Tumbling 5-minute windows per route over the request stream with a 10-minute watermark
+    (complete output, so the result equals the batch aggregation)."""
+    base = checkpoint_dir(spark).rstrip("/") + f"/n13-{uuid.uuid4().hex}"
+    s = _replay_requests(spark, sf, base)
+    agg = s.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "5 minutes").start.alias("window_start"),
+                                                       "route").agg(F.count(F.lit(1)).alias("n"))
+    name = f"n13_{uuid.uuid4().hex[:8]}"
+    q = (agg.writeStream.outputMode("complete").format("memory").queryName(name)
+         .option("checkpointLocation", f"{base}/ckpt").start())
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name)
+
+
+@register("n5_running_stats")
+def q_n5(spark, sf):
+    """Running totals per status over the request stream (complete mode)."""
+    base = checkpoint_dir(spark).rstrip("/") + f"/n5-{uuid.uuid4().hex}"
+    s = _replay_requests(spark, sf, base)
+    agg = s.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("duration_ms"), 9).alias("mean_ms"))
+    name = f"n5_{uuid.uuid4().hex[:8]}"
+    q = (agg.writeStream.outputMode("complete").format("memory").queryName(name)
+         .option("checkpointLocation", f"{base}/ckpt").start())
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name)
+
+
+# complete-mode stream results equal the batch aggregation, so both get a SQL twin
+from ringwise.catalog import ORACLE  # noqa: E402
+
+ORACLE["n13_windowed_stream"] = with_base("""
+SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, route, count(*) AS n FROM requests GROUP BY 1, 2""")
+ORACLE["n5_running_stats"] = with_base("""
+SELECT status, count(*) AS n, round(avg(duration_ms), 9) AS mean_ms FROM requests GROUP BY status""")

@@ -310,7 +310,7 @@ def money(ev: DataFrame, per_prediction: float = 0.002) -> DataFrame:
 def latency_profile(df: DataFrame, col: str = "latency_ms", by: list[str] | None = None) -> DataFrame:
     """Mean, p50/p95/p99 (exact, linear), max and count of a latency column."""
     q = F.percentile(col, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return (df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.avg(col).alias("mean_ms"),
+    return (df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(col), 9).alias("mean_ms"),
                                         q.alias("_q"), F.max(col).alias("max_ms"))
             .select(*(by or []), "n", "mean_ms", F.col("_q")[0].alias("p50_ms"), F.col("_q")[1].alias("p95_ms"),
                     F.col("_q")[2].alias("p99_ms"), "max_ms"))

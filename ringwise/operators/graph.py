@@ -101,7 +101,7 @@ def node_rates(txn: DataFrame) -> DataFrame:
         F.lit("IP"), F.col("ip_id"), F.lit("Email"), F.col("email_id")).alias("label", "node_id"))
     per_node = long.groupBy("label", "node_id").agg(F.avg("isFraud").alias("rate"))
     return per_node.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"),
-                                         F.avg("rate").alias("mean_fraud_rate"))
+                                         F.round(F.avg("rate"), 9).alias("mean_fraud_rate"))
 
 
 def graph_counts(txn: DataFrame) -> DataFrame:

@@ -61,14 +61,14 @@ def stats(pred: DataFrame) -> DataFrame:
     return pred.agg(
         F.count(F.lit(1)).alias("total"),
         (F.count_if(F.col("decision").isin("FLAG", "BLOCK")) / F.count(F.lit(1))).alias("flagged_share"),
-        F.avg("latency_ms").alias("mean_latency_ms"),
+        F.round(F.avg("latency_ms"), 9).alias("mean_latency_ms"),
         *[F.count_if(F.col("decision") == d).alias(f"n_{d.lower()}") for d in DECISIONS])
 
 
 def rolling_latency(pred: DataFrame, n: int = 10000) -> DataFrame:
     """K5: mean over the newest ``n`` latencies."""
     newest = pred.orderBy(F.desc("created_at"), F.desc("transaction_id")).limit(n)
-    return newest.agg(F.count(F.lit(1)).alias("n"), F.avg("latency_ms").alias("mean_latency_ms"))
+    return newest.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("latency_ms"), 9).alias("mean_latency_ms"))
 
 
 def recent(pred: DataFrame, n: int = 50) -> DataFrame:
