@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringwise.functions.params import scalar_row
+from ringwise.plans.quantile import exact_quantiles
 
 EPS = "0.000001"
 _U = "log1p(coalesce(uid_count, 0))"
@@ -114,13 +115,12 @@ def upstream(txn: DataFrame) -> DataFrame:
 
 def fit_params(df: DataFrame) -> DataFrame:
     """Global fraud rate, 0.75 quantile of the relative amount, 0.25 quantile of D15 (one row)."""
-    rel = (df.where(F.col("uid_Amt_Relative_Check").isNotNull()).groupBy("uid_Amt_Relative_Check").count()
-           .agg(F.percentile("uid_Amt_Relative_Check", 0.75, F.col("count")).alias("q")))
-    d15 = (df.where(F.col("D15").isNotNull() & ~F.isnan("D15")).groupBy("D15").count()
-           .agg(F.percentile("D15", 0.25, F.col("count")).alias("q")))
+    # exact quantiles by a distributed sort (no single buffer of all distinct values)
+    rel = exact_quantiles(df, "uid_Amt_Relative_Check", [0.75])
+    d15 = exact_quantiles(df, "D15", [0.25])
     return df.agg(F.avg("isFraud").alias("global_fraud_rate")).select(
-        "global_fraud_rate", scalar_row(rel)["q"].alias("relative_amt_high_cut"),
-        scalar_row(d15)["q"].alias("d15_recent_low_cut"))
+        "global_fraud_rate", scalar_row(rel)["q0"].alias("relative_amt_high_cut"),
+        scalar_row(d15)["q0"].alias("d15_recent_low_cut"))
 
 
 def _apply(df: DataFrame, formulas: dict, keep=("TransactionID",)) -> DataFrame:

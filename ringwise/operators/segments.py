@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringwise.functions.params import scalar_row
+from ringwise.plans.quantile import exact_quantiles
 
 EPS = 1e-12
 VIP_Q, REGULAR_Q = 0.90, 0.50
@@ -31,9 +32,8 @@ def _score(d1, d15, p=None):
 def fit_segments(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row ``d1_min d1_max d15_min d15_max regular_cut vip_cut``.
 
-    Exact quantiles (``percentile``, linear interpolation) keep one counter per
-    distinct score, bounded by the day-count domain of D1/D15; ``approx=True``
-    switches to ``percentile_approx`` for unbounded domains.
+    Exact quantiles (linear interpolation) come from a distributed sort
+    (``plans.quantile``); ``approx=True`` switches to ``percentile_approx``.
     """
     base = df.select(_null_nan("D1").alias("D1"), _null_nan("D15").alias("D15"))
     mm = base.agg(F.min("D1").alias("d1_min"), F.max("D1").alias("d1_max"),
@@ -42,9 +42,8 @@ def fit_segments(df: DataFrame, approx: bool = False) -> DataFrame:
     if approx:
         q = scored.agg(F.percentile_approx("s", [REGULAR_Q, VIP_Q], 100000).alias("q"))
     else:
-        # one counter per distinct score: pre-aggregate, then weighted exact percentile
-        q = (scored.where(F.col("s").isNotNull()).groupBy("s").count()
-             .agg(F.percentile("s", F.array(F.lit(REGULAR_Q), F.lit(VIP_Q)), F.col("count")).alias("q")))
+        # exact quantiles by a distributed sort (no single buffer of all distinct scores)
+        q = exact_quantiles(scored, "s", [REGULAR_Q, VIP_Q]).select(F.array("q0", "q1").alias("q"))
     qs = scalar_row(q)
     return mm.select("d1_min", "d1_max", "d15_min", "d15_max",
                      qs["q"][0].alias("regular_cut"), qs["q"][1].alias("vip_cut"))
