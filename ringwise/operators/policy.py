@@ -99,11 +99,33 @@ def best_action(lab: DataFrame) -> DataFrame:
 
 def moving_average(df: DataFrame, col: str, n: int = 500, run: str = "run", order: str = "created_at",
                    tiebreak: str = "transaction_id") -> DataFrame:
-    """Mean of ``col`` over the last ``n`` rows of each run; only full windows are kept."""
-    w = Window.partitionBy(run).orderBy(order, tiebreak)
-    return (df.withColumn("_rn", F.row_number().over(w))
-            .withColumn("moving_avg", F.avg(col).over(w.rowsBetween(-(n - 1), 0)))
-            .where(F.col("_rn") >= n).select(run, tiebreak, "moving_avg"))
+    """Mean of ``col`` over the last ``n`` rows of each run; only full windows are kept.
+
+    No window spans a run (a run may hold a third of all rows): rows are range-sorted by
+    (run, order), prefix sums are taken inside each sort partition plus that partition's offset
+    (one row per partition), and the window mean is ``(S[i] - S[i-n]) / n`` with ``S[i-n]`` found by an
+    equi-join on the global rank.  Exact for integer-valued inputs such as rewards.
+    """
+    from ringwise.session import cut_lineage
+    s = df.select(run, order, tiebreak, F.col(col).cast("double").alias("_x")).orderBy(run, order, tiebreak)
+    tagged = cut_lineage(s.withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()))
+    inpart = Window.partitionBy("_pid").orderBy("_mid")
+    tagged = (tagged.withColumn("_ps", F.sum("_x").over(inpart.rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn("_pos", F.row_number().over(inpart)))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = (tagged.groupBy("_pid").agg(F.sum("_x").alias("_t"), F.count(F.lit(1)).alias("_c"))
+            .select("_pid", F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_toff"),
+                    F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_coff")))
+    # offs: one row per sort partition - bounded by the partition count, not the data
+    g = (tagged.join(F.broadcast(offs), "_pid")
+         .select(run, tiebreak, (F.col("_coff") + F.col("_pos") - 1).alias("_r"),
+                 (F.col("_toff") + F.col("_ps")).alias("_S")))
+    first = g.groupBy(run).agg(F.min("_r").alias("_r0"))
+    full = g.join(first, run).where(F.col("_r") - F.col("_r0") >= n - 1)
+    prev = g.select((F.col("_r") + n).alias("_r"), F.col("_S").alias("_Sp"))
+    return (full.join(prev, "_r", "left")
+            .select(run, tiebreak, ((F.col("_S") - F.coalesce("_Sp", F.lit(0.0))) / float(n)).alias("moving_avg")))
 
 
 def action_mix(df: DataFrame, action: str = "action") -> DataFrame:
