@@ -308,7 +308,16 @@ def money(ev: DataFrame, per_prediction: float = 0.002) -> DataFrame:
 
 
 def latency_profile(df: DataFrame, col: str = "latency_ms", by: list[str] | None = None) -> DataFrame:
-    """Mean, p50/p95/p99 (exact, linear), max and count of a latency column."""
+    """Mean, p50/p95/p99 (exact, linear), max and count of a latency column.
+
+    Without groups the quantiles come from the distributed exact sort (``plans.quantile``)."""
+    if not by:
+        from ringwise.functions.params import scalar_row
+        from ringwise.plans.quantile import exact_quantiles
+        qs = scalar_row(exact_quantiles(df, col, [0.5, 0.95, 0.99]))
+        return df.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(col), 9).alias("mean_ms"),
+                      F.max(col).alias("max_ms")).select(
+            "n", "mean_ms", qs["q0"].alias("p50_ms"), qs["q1"].alias("p95_ms"), qs["q2"].alias("p99_ms"), "max_ms")
     q = F.percentile(col, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
     return (df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(col), 9).alias("mean_ms"),
                                         q.alias("_q"), F.max(col).alias("max_ms"))
