@@ -1,13 +1,15 @@
 """Session construction and lineage helpers.
 
-Every job reads ``spark.checkpoint.dir`` from the session; only when it is
-unset (local tests) do we point it at a fresh scratch folder.
+Every job reads ``spark.checkpoint.dir`` from the session; only on a local
+master, and only where it is unset, is a fresh scratch folder used.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,17 +39,30 @@ def get_spark(master: str | None = None, app: str = "ringwise",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a scratch one only if unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="ringwise-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+    """The shared folder named by ``spark.checkpoint.dir``, read from the session and never changed.
+
+    Where it is unset, a ``local[...]`` master (tests) gets a fresh scratch folder; a cluster is refused,
+    because a folder of one machine would be invisible to the others.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="ringwise-ckpt-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet into the shared folder and read it back: cuts lineage, column-pruned re-reads."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
