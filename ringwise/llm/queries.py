@@ -39,3 +39,9 @@ def public_file(name: str) -> str:
 def op1(spark, sf_dir):
     from ringwise.llm.language_id import identify
     return identify(table(spark, sf_dir, "documents"), public_file(VOCABULARY))
+
+
+@register("op2_ngram_jaccard_join")
+def op2(spark, sf_dir):
+    from ringwise.llm.ngram_join import near_groups
+    return near_groups(table(spark, sf_dir, "documents"), n=3, threshold=90)
