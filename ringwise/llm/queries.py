@@ -45,3 +45,15 @@ def op1(spark, sf_dir):
 def op2(spark, sf_dir):
     from ringwise.llm.ngram_join import near_groups
     return near_groups(table(spark, sf_dir, "documents"), n=3, threshold=90)
+
+
+@register("op6_min_slack_packing")
+def op6(spark, sf_dir):
+    from ringwise.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents"), public_file(TOKENIZER), capacity=4096, end_id=2)
+
+
+@register("op7_benchmark_decontamination")
+def op7(spark, sf_dir):
+    from ringwise.llm.decontaminate import report
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
