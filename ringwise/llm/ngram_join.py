@@ -27,8 +27,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringwise.llm.arrow import chunks, mix, word_hashes
@@ -37,6 +38,8 @@ from ringwise.session import stored
 
 #: 64-bit words of a bitmap signature.
 BITMAP_WORDS = 16
+#: Bits of the filter that keeps texts without a tile partner out of the text join (1 MB).
+FILTER_BITS = 1 << 23
 #: Rows of a tile's block: a task compares two blocks.
 BLOCK = 512
 #: A band's largest size over its smallest.
@@ -237,6 +240,26 @@ def _tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
         .mapInArrow(run, "a long, b long")
 
 
+def may_hold(ids: DataFrame) -> Column:
+    """Filter on ``doc_id`` that is true for all of ``ids(doc_id)`` and false for most others: a hashed bitmap.
+
+    The bitmap has FILTER_BITS bits whatever the number of ids (that is all that is collected and sent); with very many
+    ids it lets more rows pass, and the exact join behind it takes longer.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = (ids.select(bit.alias("b")).selectExpr("b div 63 as w", "shiftleft(1L, cast(b % 63 as int)) as v")
+             .groupBy("w").agg(F.bit_or("v").alias("v")).toArrow())
+    table = np.zeros(FILTER_BITS // 63 + 1, np.int64)
+    table[words.column("w").to_numpy()] = words.column("v").to_numpy()
+
+    @F.pandas_udf("boolean")
+    def maybe(b: pd.Series) -> pd.Series:
+        word, at = np.divmod(b.fillna(0).to_numpy(np.int64), 63)
+        return pd.Series((table[word] >> at & 1).astype(bool))
+
+    return maybe(bit)
+
+
 def near_groups(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, n_shingles, component_id`` (smallest doc_id reachable by links).
 
@@ -264,8 +287,8 @@ def near_groups(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFrame:
               .select("node", "leader", F.xxhash64("leader", "c", "members").alias("tile")))
     shared = stored(shared)
 
-    meet = shared.select("node").distinct()
-    texts = stored(docs.join(meet.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"))
+    meet = shared.select(F.col("node").alias("doc_id")).distinct()
+    texts = stored(docs.where(may_hold(meet)).join(meet, "doc_id", "left_semi"))
 
     star = (shared.where("node <> leader").groupBy("node").agg(F.min("leader").alias("leader"))
             .select(F.col("leader").alias("a"), F.col("node").alias("b")))
