@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ringwise.llm.arrow import chunks, mix
 
@@ -246,8 +247,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     language was learned.  Ties go to the first language in order.
     """
     schema = docs.select(*keep).schema
-    out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields),
-                            "lang_pred string", "score double"])
+    out_schema = T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()),
+                               T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}

@@ -14,6 +14,8 @@ length.  Ranks come from counts per written file and length, so no task sees all
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -151,6 +153,15 @@ class Encoder:
             return b"".join(map(known.__getitem__, words))
 
 
+def encoder_of(tokenizer_json: str) -> Encoder:
+    """The worker's encoder: kept from task to task with its caches, as workers are reused."""
+    held = sys.modules.setdefault("_ringwise_encoders", types.ModuleType("_ringwise_encoders")).__dict__
+    key = str(zlib.crc32(tokenizer_json.encode())) + str(len(tokenizer_json))
+    if key not in held:
+        held[key] = Encoder(tokenizer_json)
+    return held[key]
+
+
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int) -> DataFrame:
     """``docs(doc_id, text)`` -> one row per piece, with its rank among the task's pieces of its length.
 
@@ -161,7 +172,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int) ->
               "rank long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_json)
+        encoder = encoder_of(tokenizer_json)
         end = np.array([end_id], "<u4").tobytes()
         ranks: dict[int, int] = {}
         file = TaskContext.get().partitionId()
