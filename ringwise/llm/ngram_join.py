@@ -53,7 +53,7 @@ def bands(threshold: int) -> tuple[np.ndarray, np.ndarray]:
     tops, top = [], 1
     while (top + 1) * (100 - threshold) // threshold == 0:
         top += 1
-    while top < 1 << 40:
+    while len(tops) < 63 and top < 1 << 34:  # a set of over 10^10 shingles is beyond a row
         tops.append(top)
         top = max(top + 1, int((top + 1) * BAND))
     tops = np.array(tops, np.int64)
@@ -65,10 +65,7 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     if not len(words):
         return words
     if len(words) < n:
-        total = _U(len(words)) * _ODD[7]
-        for j, w in enumerate(words):
-            total = total + w * _ODD[j]
-        return mix(np.array([total], np.uint64))
+        return mix((words * _ODD[:len(words)]).sum(dtype=np.uint64, keepdims=True) ^ (_ODD[7:] + _U(len(words))))
     size = len(words) - n + 1
     total = np.zeros(size, np.uint64)
     for j in range(n):
@@ -76,11 +73,15 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def tile_keys(s: np.ndarray, threshold: int, tops: np.ndarray, differ: np.ndarray) -> np.ndarray:
-    """Keys of the tiles that a set lies in: one for each non-empty part of each band it can be linked in."""
+def tile_keys(s: np.ndarray, threshold: int, tops: np.ndarray, differ: np.ndarray
+              ) -> tuple[np.ndarray, list[int], list[int]]:
+    """Keys of the tiles that a set lies in: one for each non-empty part of each band it can be linked in.
+
+    The band is in a key's top six bits.  Also the bands, and how many non-empty parts the set has in each.
+    """
     n = len(s)
     low = np.searchsorted(tops, -(-n * threshold // 100))
-    out = [np.zeros(0, np.uint64)]
+    out, used, fulls = [np.zeros(0, np.uint64)], [], []
     for band in range(int(low), int(np.searchsorted(tops, n)) + 1):
         d = int(differ[band])
         if d == 0:
@@ -97,8 +98,12 @@ def tile_keys(s: np.ndarray, threshold: int, tops: np.ndarray, differ: np.ndarra
             np.add.at(hi, part, g >> _U(32))
         full = np.bincount(part, minlength=parts) > 0
         keys = mix(lo + hi * _ODD[4] + np.arange(1, parts + 1, dtype=np.uint64) * _ODD[5] + _U(band + 1) * _ODD[6])
-        out.append(keys[full] if full.sum() > d else keys)
-    return np.concatenate(out)
+        keys = keys >> _U(6) | _U(band) << _U(58)
+        count = int(full.sum())
+        out.append(keys[full] if count > d else keys)
+        used.append(band)
+        fulls.append(count)
+    return np.concatenate(out), used, fulls
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -128,7 +133,8 @@ def _sets(n: int):
 
 
 def signatures(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id, n_shingles, d1, d2, bits, keys``: size, 128-bit digest, bitmap, tile keys."""
+    """``docs(doc_id, text)`` -> ``doc_id, n_shingles, d1, d2, bits, keys``: size, 128-bit digest, bitmap, tile keys; and
+    ``bands``, ``fulls``: the bands it has keys of and its non-empty parts there."""
     tops, differ = bands(threshold)
     sets = _sets(n)
 
@@ -138,17 +144,21 @@ def signatures(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFrame:
                 size = np.array([len(s) for s in found], np.int64)
                 d1 = np.array([s.sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64)
                 d2 = np.array([mix(s ^ _ODD[3]).sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64)
-                keys = [tile_keys(s, threshold, tops, differ) if len(s) else s for s in found]
+                tiles = [tile_keys(s, threshold, tops, differ) if len(s) else (s, [], []) for s in found]
+                keys = [k for k, _, _ in tiles]
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(d1), pa.array(d2),
                      pa.array([bitmap(s) for s in found], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                    names=["doc_id", "n_shingles", "d1", "d2", "bits", "keys"])
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                     pa.array([b for _, b, _ in tiles], pa.list_(pa.int32())),
+                     pa.array([f for _, _, f in tiles], pa.list_(pa.int32()))],
+                    names=["doc_id", "n_shingles", "d1", "d2", "bits", "keys", "bands", "fulls"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, d1 long, d2 long, bits binary, keys array<long>")
+        run, "doc_id long, n_shingles long, d1 long, d2 long, bits binary, keys array<long>, "
+             "bands array<int>, fulls array<int>")
 
 
 def _words64(col: pa.Array) -> np.ndarray:
@@ -192,10 +202,15 @@ def exact(pairs: DataFrame, texts: DataFrame, n: int, threshold: int) -> DataFra
 
 
 def _tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
-    """``rows(tile, i, j, block, node, component, n_shingles, bits)`` -> pairs of two components that pass the bound.
+    """``rows(tile, i, j, block, node, component, n_shingles, bits, band, keys, full)`` -> pairs (a, b) of two components
+    that may link.
 
-    Rows come sorted by (tile, i, j); each such run holds two blocks at most (one if i = j).
+    Rows come sorted by (tile, i, j); each such run holds two blocks at most (one if i = j).  A pair counts in the tiles
+    of its smaller set's band.  There at most D(smaller size) parts differ, so all other non-empty parts of either set are
+    keys of both: a pair that has fewer keys in common cannot link.  Sizes and bitmaps must not rule it out either.
     """
+    tops, _ = bands(threshold)
+
     def run(batches):
         def meet(t: pa.Table):
             node = t.column("node").to_numpy()
@@ -203,20 +218,25 @@ def _tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
             size = t.column("n_shingles").to_numpy()
             bits = _words64(t.column("bits").combine_chunks())
             block = t.column("block").to_numpy()
-            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            full = t.column("full").to_numpy().astype(np.int64)
+            i, j, band, shared = (t.column(c)[0].as_py() for c in ("i", "j", "band", "keys"))
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
             for a in range(0, len(left), 64):
                 own = left[a:a + 64]
                 inter = bound(bits[own, None], bits[None, right], size[own, None], size[None, right])
                 ok = links(inter, size[own, None], size[None, right], threshold)
                 ok &= comp[own, None] != comp[None, right]
-                x, y = np.nonzero(ok)
-                u, v = node[own[x]], node[right[y]]
+                smaller = np.minimum(size[own, None], size[None, right])
+                ok &= np.searchsorted(tops, smaller) == band
                 if i == j:
-                    u, v = u[u < v], v[u < v]
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))],
-                                                     names=["a", "b"])
+                    ok &= node[own, None] < node[None, right]
+                x, y = np.nonzero(ok)
+                if len(x):
+                    u, v = node[own[x]], node[right[y]]
+                    need = np.maximum(full[own[x]], full[right[y]]) - smaller[x, y] * (100 - threshold) // threshold
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(need),
+                         pa.array(np.full(len(u), shared, np.int64))], names=["a", "b", "need", "keys"])
 
         held: list[pa.Table] = []
         last = None
@@ -235,9 +255,11 @@ def _tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
         if held:
             yield from meet(pa.concat_tables(held))
 
-    return rows.select("tile", "i", "j", "block", "node", "component", "n_shingles", "bits") \
+    met = rows.select("tile", "i", "j", "block", "node", "component", "n_shingles", "bits", "band", "keys", "full") \
         .repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j") \
-        .mapInArrow(run, "a long, b long")
+        .mapInArrow(run, "a long, b long, need long, keys long")
+    return (met.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("keys").alias("keys"))
+            .where("keys >= need").select("a", "b"))
 
 
 def may_hold(ids: DataFrame) -> Column:
@@ -277,14 +299,14 @@ def near_groups(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFrame:
     copies = stored(nodes.select("doc_id", "n_shingles", "d1", "d2").join(same, ["n_shingles", "d1", "d2"])
                     .where("doc_id <> node").select("doc_id", "node").distinct())
 
-    # tiles with two documents or more; tiles with the same members are one
+    # tiles with two documents or more; tiles of a band with the same members are one, with so many keys
     keyed = nodes.select("doc_id", F.explode("keys").alias("key"))
     over = "over (partition by key)"
-    shared = (keyed.selectExpr("doc_id as node", f"count(1) {over} as c", f"min(doc_id) {over} as leader",
+    shared = (keyed.selectExpr("doc_id as node", "cast(shiftrightunsigned(key, 58) as int) as band", f"count(1) {over} as c", f"min(doc_id) {over} as leader",
                                f"bit_xor(xxhash64(doc_id)) {over} as members")
-              .where("c > 1").distinct()
+              .where("c > 1").groupBy("node", "leader", "c", "members", "band").agg(F.count(F.lit(1)).alias("keys"))
               .join(copies.select(F.col("doc_id").alias("node")), "node", "left_anti")
-              .select("node", "leader", F.xxhash64("leader", "c", "members").alias("tile")))
+              .select("node", "leader", F.xxhash64("leader", "c", "members", "band").alias("tile"), "band", "keys"))
     shared = stored(shared)
 
     meet = shared.select(F.col("node").alias("doc_id")).distinct()
@@ -296,7 +318,7 @@ def near_groups(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFrame:
     comp = connected_components(first.toDF("u", "v"))
 
     # tiles that still hold two components
-    labelled = (shared.select("node", "tile").join(comp, "node", "left")
+    labelled = (shared.select("node", "tile", "band", "keys").join(comp, "node", "left")
                 .withColumn("component", F.coalesce("component", "node")))
     mixed = (labelled.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                           F.count(F.lit(1)).alias("c"))
@@ -305,8 +327,9 @@ def near_groups(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFrame:
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k"))
-            .join(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "bits"), "node"))
-    rest = stored(_tile_pairs(rows, threshold).distinct())
+            .join(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "bits", "bands", "fulls"), "node")
+            .withColumn("full", F.expr("fulls[cast(array_position(bands, band) as int) - 1]")))
+    rest = stored(_tile_pairs(rows, threshold))
     second = exact(rest, texts, n, threshold)
 
     edges = first.unionByName(second).toDF("u", "v")
