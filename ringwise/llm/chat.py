@@ -2,8 +2,8 @@
 
 A conversation is rendered as ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn.  The rendered text is parsed again by a
 deterministic parser (split at the start mark; the role ends at the first line end, the text at the end mark) and
-compared with the source turns.  Where they differ, the conflicting roles and texts are escaped and the conversation is
-rendered anew; the result is compared again, and a difference that is left raises.
+compared with the source turns.  Where they differ, or a role or text holds the start of a control string, the conflicting
+roles and texts are escaped and the conversation is rendered anew; the result is compared again, and a difference that is left raises.
 
 Escaping puts one backslash more between ``<`` and ``|`` (``<|`` becomes ``<\\|``, ``<\\|`` becomes ``<\\\\|``), and reading
 takes one away, so it can be undone whatever the text holds; line ends in roles are escaped likewise.
@@ -105,7 +105,8 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     """
     conv = conversations(rows.select("conv_id", "turn", "role", "text"))
     plain = conv.withColumn("plain", render(F.col("turns"), False))
-    same = parse(F.col("plain")) == F.col("turns")
+    marks = F.exists("turns", lambda t: F.contains(t["role"], F.lit("<|")) | F.contains(t["text"], F.lit("<|")))
+    same = (parse(F.col("plain")) == F.col("turns")) & ~marks
     out = plain.withColumn("escaped", ~same).withColumn(
         "formatted", F.when(F.col("escaped"), render(F.col("turns"), True)).otherwise(F.col("plain")))
     read = F.when(F.col("escaped"), parse(F.col("formatted")) == F.col("turns")).otherwise(F.lit(True))

@@ -104,3 +104,9 @@ def op9(spark, sf_dir):
 def pipeline(spark, sf_dir):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@register("op10_crf_main_text")
+def op10(spark, sf_dir):
+    from ringwise.llm.extract import extract
+    return extract(table(spark, sf_dir, "pages"))
