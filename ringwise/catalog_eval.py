@@ -25,6 +25,9 @@ LAB = """
     CAST(round(coalesce(transaction_amt, 0.0)*100) AS BIGINT) AS amt_cents
   FROM predictions WHERE is_fraud_label IS NOT NULL"""
 
+#: The profit sweep only sees rows with label and amount.
+LAB_AMT = LAB + " AND transaction_amt IS NOT NULL"
+
 
 def lab(spark, sf):
     return ev.labelled(adapter.predictions(spark, sf))
@@ -140,7 +143,7 @@ SELECT threshold, precision, recall, f1, meets_floors FROM (
           coalesce(CAST(tp AS DOUBLE) / nullif(CAST(P AS DOUBLE), 0), 0.0) AS recall
         FROM (SELECT threshold, sum(pos) OVER (ORDER BY threshold DESC) AS tp, sum(neg) OVER (ORDER BY threshold DESC) AS fp,
           sum(pos) OVER () AS P FROM (SELECT p AS threshold, sum(y) AS pos, sum(1 - y) AS neg FROM lab GROUP BY p) a) b) c
-) d ORDER BY meets_floors DESC, sc DESC, threshold DESC LIMIT 1""", lab=LAB))
+) d ORDER BY meets_floors DESC, sc DESC, threshold LIMIT 1""", lab=LAB))
 def q_i5(spark, sf):
     return ev.best_threshold(ev.curve(lab(spark, sf)))
 
@@ -175,7 +178,7 @@ SWEEP_SQL = f"""
   FROM grid"""
 
 
-@register("i8_profit_sweep", with_base(SWEEP_SQL, lab=LAB, grid=grid_sql(5, 95)))
+@register("i8_profit_sweep", with_base(SWEEP_SQL, lab=LAB_AMT, grid=grid_sql(5, 95)))
 def q_i8(spark, sf):
     return ev.profit_sweep(lab(spark, sf))
 
@@ -185,7 +188,7 @@ SELECT b.threshold AS optimal_threshold, b.net_impact AS optimal_net_impact, {D(
   c.net_impact AS current_net_impact, b.net_impact - c.net_impact AS improvement
 FROM (SELECT * FROM sweep ORDER BY net_impact DESC, threshold LIMIT 1) b,
      (SELECT * FROM sweep ORDER BY abs(threshold - {D(0.72)}), threshold LIMIT 1) c""",
-    lab=LAB, grid=grid_sql(5, 95), sweep=SWEEP_SQL))
+    lab=LAB_AMT, grid=grid_sql(5, 95), sweep=SWEEP_SQL))
 def q_i8b(spark, sf):
     return ev.profit_best(ev.profit_sweep(lab(spark, sf)))
 
@@ -314,7 +317,7 @@ def q_i17(spark, sf):
 
 @register("i19_nearest", with_base(f"""
 SELECT * FROM ({SWEEP_SQL}) s ORDER BY abs(threshold - {D(0.72)}), threshold LIMIT 1""",
-    lab=LAB, grid=grid_sql(5, 95)))
+    lab=LAB_AMT, grid=grid_sql(5, 95)))
 def q_i19(spark, sf):
     return ev.nearest(ev.profit_sweep(lab(spark, sf)), 0.72)
 

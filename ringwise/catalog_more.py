@@ -92,8 +92,10 @@ def q_k8(spark, sf):
 
 
 @register("k9_alert_text", with_base("""
-SELECT transaction_id, printf('[%s] txn=%s p=%.4f seg=%s', decision, transaction_id, fraud_probability, customer_segment)
-  || CASE WHEN is_fraud_label IS NULL THEN '' WHEN is_fraud_label THEN ' [CONFIRMED FRAUD]' ELSE ' [LEGIT]' END AS line
+SELECT transaction_id, CASE decision WHEN 'FLAG' THEN '\u26a0\ufe0f  FLAGGED' ELSE '\U0001f6ab BLOCKED' END
+  || printf(': txn=%s | prob=%.3f | graph_risk=%.3f | seg=%s', coalesce(transaction_id, '?'), coalesce(fraud_probability, 0.0),
+            coalesce(graph_risk_score, 0.0), coalesce(customer_segment, '?'))
+  || CASE WHEN is_fraud_label IS NULL THEN '' WHEN is_fraud_label THEN ' | GT=fraud' ELSE ' | GT=legit' END AS line
 FROM predictions WHERE decision IN ('FLAG', 'BLOCK')"""))
 def q_k9(spark, sf):
     return review.alert_text(review.alerts(pred(spark, sf)))

@@ -43,7 +43,7 @@ def q_n10(spark, sf):
 @register("n11_hourly_trend", with_base("""
 SELECT hour, n, lag(n) OVER (ORDER BY hour) AS prev_n,
   CAST(n AS DOUBLE) / CAST(lag(n) OVER (ORDER BY hour) AS DOUBLE) - 1.0 AS trend
-FROM (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM requests WHERE route = '/api/v1/predict'
+FROM (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM requests WHERE route = '/api/v1/predict' AND status = 200
       GROUP BY 1) x"""))
 def q_n11(spark, sf):
     return st.hourly_trend(adapter.requests(spark, sf))

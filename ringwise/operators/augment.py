@@ -74,7 +74,7 @@ def noise(df: DataFrame, cols: list[str], std: float = 0.05, seed: int = 0, key:
         out = out.withColumn(c, F.when(x.isNull() | (x == 0), x)
                              .otherwise(F.round(x * (1.0 + std * normal(k, seed, 10 + 2 * i)), 4)))
     return out.withColumn("transaction_id", F.concat(F.lit("noise-"), F.substring(F.sha2(
-        F.concat_ws("|", k.cast("string"), F.lit(seed)), 256), 1, 8)))
+        F.concat_ws("|", k.cast("string"), F.lit(seed)), 256), 1, 32)))
 
 
 def _frauds(df: DataFrame) -> DataFrame:

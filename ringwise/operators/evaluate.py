@@ -139,7 +139,7 @@ def curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 
 def best_threshold(pts: DataFrame, precision_min: float = 0.70, recall_min: float = 0.75) -> DataFrame:
-    """Among curve points meeting both floors the highest F1; else F1 minus 3 x shortfall."""
+    """Among curve points meeting both floors the highest F1; else F1 minus 3 x shortfall; the lowest on ties."""
     p, r = F.col("precision"), F.col("recall")
     f1 = 2 * p * r / (p + r + 1e-12)
     ok = (p >= precision_min) & (r >= recall_min)
@@ -147,7 +147,7 @@ def best_threshold(pts: DataFrame, precision_min: float = 0.70, recall_min: floa
     score = F.when(ok, f1).otherwise(f1 - 3.0 * pen)
     return (pts.where(p.isNotNull()).select("threshold", "precision", "recall", f1.alias("f1"),
                                            ok.alias("meets_floors"), score.alias("_score"))
-            .orderBy(F.desc("meets_floors"), F.desc("_score"), F.desc("threshold")).limit(1).drop("_score"))
+            .orderBy(F.desc("meets_floors"), F.desc("_score"), "threshold").limit(1).drop("_score"))
 
 
 def segment_thresholds(df: DataFrame, seg: str = "customer_segment", precision_min: float = 0.85,
@@ -186,6 +186,7 @@ def _net(tp_c, fn_c, fp_c, flagged: Column) -> Column:
 
 def profit_sweep(lab: DataFrame, lo: int = 5, hi: int = 95) -> DataFrame:
     """I8: net money at every threshold lo/100 .. hi/100 (rows with label and amount)."""
+    lab = lab.where(F.col("transaction_amt").isNotNull())
     t = threshold_table(lab).where(F.col("i").between(lo, hi))
     return t.select((F.col("i") / 100.0).alias("threshold"),
                     _net("tp_cents", "fn_cents", "fp_cents", F.col("tp") + F.col("fp")).alias("net_impact"),

@@ -81,7 +81,7 @@ TEMPORAL = {
     "temp_tenure_x_day": f"{_TEN} * ({_D} + 1.0)",
     "temp_hour_bucket": f"floor({_H} / 6.0)",
 }
-_C = "coalesce(cluster_fraud_rate, 0.0)"
+_C = "cluster_fraud_rate"  # null where the row has no address: what is made of it is null too
 CONSISTENCY = {
     "cons_relative_absdev": f"abs({_R} - 1.0)",
     "cons_relative_logdev": f"log1p(abs({_R} - 1.0))",

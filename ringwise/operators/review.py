@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ringwise.functions.num import fixed
 from ringwise.functions.decisions import flag_reason
 from ringwise.functions.num import ratio_round
 
@@ -97,11 +98,14 @@ def alert_feed(al: DataFrame, n: int = 20) -> DataFrame:
 
 
 def alert_text(al: DataFrame) -> DataFrame:
-    """K9: one alert line per row with a label suffix."""
+    """K9: one alert line per row with a label suffix (fixed wording)."""
     label = (F.when(F.col("is_fraud_label").isNull(), "")
-             .when(F.col("is_fraud_label"), " [CONFIRMED FRAUD]").otherwise(" [LEGIT]"))
-    line = F.concat(F.format_string("[%s] txn=%s p=%.4f seg=%s", F.col("decision"), F.col("transaction_id"),
-                                    F.col("fraud_probability"), F.col("customer_segment")), label)
+             .when(F.col("is_fraud_label"), " | GT=fraud").otherwise(" | GT=legit"))
+    tag = F.when(F.col("decision") == "FLAG", "\u26a0\ufe0f  FLAGGED").otherwise("\U0001f6ab BLOCKED")
+    line = F.concat(tag, F.lit(": txn="), F.coalesce("transaction_id", F.lit("?")),
+                    F.lit(" | prob="), fixed(F.coalesce("fraud_probability", F.lit(0.0)), 3),
+                    F.lit(" | graph_risk="), fixed(F.coalesce("graph_risk_score", F.lit(0.0)), 3),
+                    F.lit(" | seg="), F.coalesce("customer_segment", F.lit("?")), label)
     return al.select("transaction_id", line.alias("line"))
 
 

@@ -151,9 +151,9 @@ def latency_quantiles(req: DataFrame, win: str = "5 minutes", slide: str = "1 mi
                     F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99")))
 
 
-def hourly_trend(req: DataFrame, route: str = "/api/v1/predict") -> DataFrame:
-    """Requests this hour / previous hour - 1 (batch form with ``lag``)."""
-    c = (req.where(F.col("route") == route).groupBy(F.window("ts", "1 hour").start.alias("hour"))
+def hourly_trend(req: DataFrame, route: str = "/api/v1/predict", status: int = 200) -> DataFrame:
+    """Answered requests (of one status) this hour / previous hour - 1 (batch form with ``lag``)."""
+    c = (req.where((F.col("route") == route) & (F.col("status") == status)).groupBy(F.window("ts", "1 hour").start.alias("hour"))
          .agg(F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy(F.lit(1)).orderBy("hour")
     prev = F.lag("n").over(w)
