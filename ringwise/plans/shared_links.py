@@ -1,26 +1,29 @@
 """Distinct other fraud cards reachable through a shared node (G4, G8-G10 core).
 
 For every card ``c`` and link type ``t`` we need
-``|{f fraud, f != c, f shares a node of type t with c}|``.  The direct plan
-joins edges with edges and emits every card pair inside a node - quadratic in
-a hot node (one email domain can hold a third of all cards).  This plan does
-not:
-
-1. **Signatures.**  The answer depends only on the card's *set* of nodes (minus
-   the card itself), so cards are grouped by an order-free signature of that
-   set: degree plus two independent 64-bit hash sums, accumulated exactly as
-   decimals (no collect of the node list).  Many cards share a set (all cards
-   of one domain, one address group), so the set work below runs once per
-   distinct set, on a representative card's links.
-2. **Anchor.**  Each set's node with the most fraud cards (the hot node, when
-   there is one) contributes its fraud-card count directly - it is never
-   expanded.
-3. **Residual.**  Fraud cards of the set's *other* nodes that are not on the
-   anchor are found by a join and an anti-join on the anchor link, then
-   counted distinct per set.
+``|{f fraud, f != c, f shares a node of type t with c}|``.  Joining edges with
+edges emits every card pair inside a node - quadratic in a hot node (one email
+domain can hold a third of all cards).  This plan emits no pairs of cards with
+few nodes:
+
+1. **Signatures.**  The answer depends only on the card's *set* of nodes, so
+   cards are grouped by an order-free signature of that set: degree plus two
+   64-bit hash sums, accumulated exactly as decimals.  The set work runs once
+   per distinct set, on a representative card's links.  Nodes without a fraud
+   card are left out first: they add nothing.
+2. **Subset counts.**  A set of at most ``MAX_NODES`` nodes emits its subsets,
+   with the number of its fraud cards; ``count(T)`` is how many fraud cards lie
+   on all nodes of ``T``.  By inclusion and exclusion the fraud cards on any
+   node of a set are ``sum((-1)^(|T|+1) count(T))`` over its subsets ``T``.  A
+   set costs at most ``2^MAX_NODES`` rows however many cards its nodes hold, so
+   the work grows with the number of sets.
+3. **Anchor.**  Where the asked or the fraud card has more nodes than that, the
+   asked set's node with the most fraud cards counts directly, and only the
+   fraud cards of its other nodes that are not on that node are joined.
 4. A fraud card is in every one of its own nodes' sets, so it subtracts 1.
 
-Everything is joins and partially-aggregated group-bys on Spark.
+Everything is joins and partially-aggregated group-bys on Spark.  The links, the cards' signatures and the sets' links
+are written once into the shared folder, because every later step reads them.
 """
 
 from __future__ import annotations
@@ -28,48 +31,79 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ringwise.session import stored
+
+#: Sets of more nodes are not cut into subsets.
+MAX_NODES = 12
+
+_SIG = ["node_type", "deg", "h1", "h2"]
+
 
 def _h(seed: str):
     return F.sum(F.xxhash64(F.col("node_id"), F.lit(seed)).cast("decimal(38,0)"))
 
 
-def other_fraud_counts(edges: DataFrame, fraud: DataFrame) -> DataFrame:
+def subsets(links: DataFrame) -> DataFrame:
+    """``links(node_type, deg, h1, h2, n_fraud_cards, node_id)`` -> one row per non-empty subset of a set's nodes:
+    its two hashes ``t1, t2`` and its ``sign`` in the inclusion-exclusion sum."""
+    node = F.struct(F.xxhash64("node_id", F.lit("t1")).alias("a"), F.xxhash64("node_id", F.lit("t2")).alias("b"))
+    sets = links.groupBy(*_SIG, "n_fraud_cards").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    # few bytes become many rows: spread the sets over all tasks before they are cut
+    tasks = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = sets.repartition(tasks, *_SIG).withColumn("mask", F.explode(F.expr("sequence(1, shiftleft(1, size(nodes)) - 1)"))).withColumn(
+        "part", F.expr("filter(nodes, (n, i) -> getbit(mask, i) = 1)"))
+    return part.select(*_SIG, "n_fraud_cards", F.xxhash64("part.a").alias("t1"), F.xxhash64("part.b").alias("t2"),
+                       F.when(F.size("part") % 2 == 1, 1).otherwise(-1).alias("sign"))
+
+
+def _by_subsets(links: DataFrame) -> DataFrame:
+    """``(signature, n)``: fraud cards of the given sets that lie on a node of the set."""
+    parts = subsets(links)
+    count = (parts.where("n_fraud_cards > 0").groupBy("node_type", "t1", "t2")
+             .agg(F.sum("n_fraud_cards").alias("c")))
+    return (parts.select(*_SIG, "t1", "t2", "sign").join(count, ["node_type", "t1", "t2"])
+            .groupBy(*_SIG).agg(F.sum(F.col("sign") * F.col("c")).alias("n")))
+
+
+def _by_anchor(links: DataFrame, fe: DataFrame) -> DataFrame:
+    """``(signature, n)``: cards of ``fe(big, node_type, node_id, f)`` that lie on a node of the set, of those with the
+    set's ``big``."""
+    nf = fe.groupBy("big", "node_type", "node_id").agg(F.count(F.lit(1)).alias("nf"))
+    live = links.select("big", *_SIG, "node_id").join(nf, ["big", "node_type", "node_id"])
+    best = (live.groupBy(*_SIG).agg(F.max(F.struct("nf", "node_id")).alias("a"))
+            .select(*_SIG, F.col("a.node_id").alias("anchor"), F.col("a.nf").alias("anchor_nf")))
+    others = live.join(best, _SIG).where("node_id <> anchor").select("big", *_SIG, "node_id", "anchor")
+    extra = (others.join(fe, ["big", "node_type", "node_id"])
+             .join(fe.withColumnRenamed("node_id", "anchor"), ["big", "f", "node_type", "anchor"], "left_anti")
+             .select(*_SIG, "f").distinct().groupBy(*_SIG).agg(F.count(F.lit(1)).alias("extra")))
+    return best.join(extra, _SIG, "left").select(*_SIG, (F.col("anchor_nf") + F.coalesce("extra", F.lit(0))).alias("n"))
+
+
+def other_fraud_counts(edges: DataFrame, fraud: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     """``(card_id, node_type, n_fraud)`` for every card with at least one edge.
 
     ``edges``: distinct ``(card_id, node_type, node_id)``; ``fraud``: ``card_id`` of fraud cards.
     """
-    ff = fraud.select("card_id").distinct()
-    fe = edges.join(ff, "card_id").select("node_type", "node_id", F.col("card_id").alias("f"))
-    nf = fe.groupBy("node_type", "node_id").agg(F.count(F.lit(1)).alias("nf"))
-    e2 = (edges.join(nf, ["node_type", "node_id"], "left")
-          .withColumn("nf", F.coalesce("nf", F.lit(0)).cast("long")))
-
-    sig_cols = ["node_type", "deg", "h1", "h2"]
-    card_sig = (e2.groupBy("card_id", "node_type")
-                .agg(F.count(F.lit(1)).alias("deg"), _h("s1").alias("h1"), _h("s2").alias("h2"),
-                     F.max(F.struct("nf", "node_id")).alias("a")))
-    sigs = (card_sig.groupBy(*sig_cols)
-            .agg(F.min("card_id").alias("rep"), F.max("a").alias("a"))
-            .select(*sig_cols, "rep", F.col("a.node_id").alias("anchor"), F.col("a.nf").alias("anchor_nf")))
-
-    # residual: fraud cards of the other nodes of multi-node sets, not on the anchor
-    other_nodes = (sigs.where(F.col("deg") > 1)
-                   .join(e2.withColumnRenamed("card_id", "rep"), ["node_type", "rep"])
-                   .where((F.col("node_id") != F.col("anchor")) & (F.col("nf") > 0))
-                   .select(*sig_cols, "node_id", "anchor"))
-    on_anchor = edges.select(F.col("card_id").alias("f"), "node_type", F.col("node_id").alias("anchor"))
-    extra = (other_nodes.join(fe, ["node_type", "node_id"])
-             .join(on_anchor, ["f", "node_type", "anchor"], "left_anti")
-             .select(*sig_cols, "f").distinct()
-             .groupBy(*sig_cols).agg(F.count(F.lit(1)).alias("extra")))
-    per_sig = (sigs.join(extra, sig_cols, "left")
-               .select(*sig_cols, (F.col("anchor_nf") + F.coalesce("extra", F.lit(0))).alias("n_union")))
-
-    self_fraud = ff.select("card_id", F.lit(1).alias("self"))
-    return (card_sig.select("card_id", *sig_cols).join(per_sig, sig_cols)
-            .join(self_fraud, "card_id", "left")
-            .select("card_id", "node_type",
-                    (F.col("n_union") - F.coalesce("self", F.lit(0))).cast("long").alias("n_fraud")))
+    ff = fraud.select("card_id").distinct().withColumn("self", F.lit(1))
+    every = stored(edges.select("card_id", "node_type", "node_id").join(ff, "card_id", "left")
+                   .withColumn("self", F.coalesce("self", F.lit(0))))
+    fe = every.where("self = 1").select("node_type", "node_id", F.col("card_id").alias("f"))
+    live = stored(every.join(fe.select("node_type", "node_id").distinct(), ["node_type", "node_id"], "left_semi"))
+    cards = stored(live.groupBy("card_id", "node_type", "self")
+                   .agg(F.count(F.lit(1)).alias("deg"), _h("s1").alias("h1"), _h("s2").alias("h2")))
+    sets = cards.groupBy(*_SIG).agg(F.min("card_id").alias("card_id"), F.sum("self").alias("n_fraud_cards"))
+    links = stored(sets.join(live.drop("self"), ["card_id", "node_type"]).drop("card_id")
+                   .withColumn("big", F.col("deg") > max_nodes))
+    wide = cards.where((F.col("deg") > max_nodes) & (F.col("self") == 1)).select(F.col("card_id").alias("f"), "node_type")
+
+    # a set of many nodes meets every fraud card by its anchor, a set of few nodes only the fraud cards of many
+    met = fe.withColumn("big", F.lit(True)).unionByName(
+        fe.join(wide, ["f", "node_type"], "left_semi").withColumn("big", F.lit(False)))
+    n_union = (_by_subsets(links.where("not big")).unionByName(_by_anchor(links, met))
+               .groupBy(*_SIG).agg(F.sum("n").alias("n")))
+    found = cards.join(n_union, _SIG).select("card_id", "node_type", (F.col("n") - F.col("self")).alias("n"))
+    return (every.select("card_id", "node_type").distinct().join(found, ["card_id", "node_type"], "left")
+            .select("card_id", "node_type", F.coalesce("n", F.lit(0)).cast("long").alias("n_fraud")))
 
 
 def other_fraud_counts_naive(edges: DataFrame, fraud: DataFrame) -> DataFrame:

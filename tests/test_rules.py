@@ -1,5 +1,6 @@
 """Hand-made tables for the quirks: ring type none, risk steps, bins, hot node plan equality."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ringwise.functions.decisions import confidence, decide, ring_type, risk_step
@@ -46,3 +47,19 @@ def test_hot_node_plan_equals_naive(spark):
     for k, v in a.items():
         assert v == b.get(k, 0), k
     assert all(a.get(k) == v for k, v in b.items())
+
+
+@pytest.mark.parametrize("max_nodes", [12, 2])
+def test_two_hot_nodes_and_a_wide_card(spark, max_nodes):
+    # two hot nodes that share cards, a card on both and on a cold one, and cards of very many nodes, one of them fraud
+    rows = [(f"c{i}", "address", "hot1") for i in range(150)] + [(f"c{i}", "address", "hot2") for i in range(100, 250)]
+    rows += [("c120", "address", "cold"), ("y", "address", "cold"), ("lone", "address", "nobody")]
+    rows += [(w, "address", f"n{i}") for w in ("wide1", "wide2") for i in range(40)] + [("wide1", "address", "hot1")]
+    rows += [(f"z{i}", "address", f"n{i}") for i in range(0, 40, 5)]
+    edges = spark.createDataFrame(rows, "card_id string, node_type string, node_id string").distinct()
+    ids = [f"c{i}" for i in range(0, 250, 4)] + ["y", "wide1", "z0", "z5", "elsewhere"]
+    fraud = spark.createDataFrame([(i,) for i in ids], "card_id string")
+    a = {r.card_id: r.n_fraud for r in other_fraud_counts(edges, fraud, max_nodes).collect()}
+    b = {r.card_id: r.n_fraud for r in other_fraud_counts_naive(edges, fraud).collect()}
+    assert len(a) == len({r[0] for r in rows})
+    assert {k: v for k, v in a.items() if v} == b
