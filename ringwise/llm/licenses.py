@@ -1,7 +1,9 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences; each is normalised (lower case, letters and digits only, single spaces) and, if it is a known
-licence sentence, replaced by that sentence's identifier; version numbers are parameters of an identifier.  Licence rules
+A text is normalised as a whole (lower case, letters and digits only); line ends and sentence ends stay as marks between its
+words.  A known licence sentence starts and ends at such marks and may hold any of them, so it is found on one line, wrapped
+or in a commented block, and whether or not it holds a colon, a semicolon or "v. 2.0".  Each is replaced by its identifier;
+version numbers are parameters of an identifier.  Licence rules
 are sequences of identifiers, tried in order: where a rule's sequence stands in the text's identifier sequence, those
 identifiers are used up and the licence is reported, so a long rule goes before the rules whose sentences it contains.
 Known sentences that no rule used are reported as ``Unmatched``.
@@ -84,14 +86,22 @@ RULES = [
     ("All-rights-reserved", ["reserved"]),
 ]
 
-#: A sentence can only be known if it holds one of these words.
-_HINT = "licen|spdx|permission|copyright|software|redistribution|later version|rights reserved|public domain|cc0|program"
-_VERSION = r"[0-9]+( [0-9]+)*"
+#: A text can only have known sentences if it holds one of these words.
+_HINT = "licen|spdx|permission|copyright|software|redistribution|version|reserved|domain|cc0|program"
+_VERSION = "[0-9](?:[0-9 ]*[0-9])?"
 
 
-def sentences(text: Column) -> Column:
-    """Sentences: lines, cut further after a full stop, semicolon or colon that white space follows."""
-    return F.split(text, r"\n|(?<=[.;:!?])\s+")
+def marked(text: Column) -> Column:
+    """Lower-case words with one character between two: a form feed for an empty line, a line feed for a line end or for white
+    space after a full stop, semicolon, colon, exclamation or question mark, else a space.  Comment marks go."""
+    out = F.regexp_replace(F.translate(F.lower(text), "\t\f", "  "), r"\r\n?", "\n")
+    out = F.regexp_replace(out, r"(?m)^([^a-z0-9\n]{0,20})(?:dnl|rem)(?= )", "$1")
+    out = F.regexp_replace(out, r"(?<=[.;:!?])(?=\s)", "\t")
+    out = F.regexp_replace(out, r"[^a-z0-9\t\n]+", " ")
+    out = F.regexp_replace(out, " ?\t[ \t]*", "\t")
+    out = F.regexp_replace(out, "[ \t]?\n(?:[ \t]?\n)++[ \t]?", "\f")
+    out = F.regexp_replace(out, "[ \t]?\n[ \t]?|\t", "\n")
+    return F.regexp_replace(out, "^[ \n\f]+|[ \n\f]+$", "")
 
 
 def normal(sentence: Column) -> Column:
@@ -99,9 +109,29 @@ def normal(sentence: Column) -> Column:
 
 
 def _pattern(sentence: str) -> str:
+    """Pattern of a normalised sentence; what follows its last known word is optional."""
+    if sentence.endswith(" .*"):
+        sentence = sentence[:-3] + "( .*)?"
     return "^" + sentence.replace("#", _VERSION) + "$"
 
 
+def _spanning(sentence: str) -> str:
+    """Pattern of a sentence in a marked text: any mark may stand between its words, words of its own end with its line, words
+    within it stay in their paragraph."""
+    tail = sentence.endswith(" .*")
+    words = sentence[:-3] if tail else sentence
+    return words.replace(" ", r"[ \n\f]").replace(".*", r"[^\f]*?").replace("#", _VERSION) + (r"(?: [^\n\f]*)?" if tail else "")
+
+
+#: Any known sentence, from mark to mark.
+_KNOWN = r"(?:^|(?<=[\n\f]))(?:" + "|".join(f"(?:{_spanning(p)})" for _, p in SENTENCES) + r")(?=[\n\f]|$)"
+
+
+def known_sentences(text: Column) -> Column:
+    """Known sentences of a text in order, normalised."""
+    return F.transform(F.regexp_extract_all(marked(text), F.lit(_KNOWN), F.lit(0)), normal)
+
+
 def identify(sentence: Column) -> Column:
     """``identifier@version`` of a normalised sentence (version empty if it has none), null if it is not known."""
     version = F.replace(F.regexp_extract(sentence, f"(?:version|v|by|nc|nd|sa|gpl|cc0) ({_VERSION})", 1), F.lit(" "), F.lit("."))
@@ -119,8 +149,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Null and empty texts have none.  Repeated rows are answered each; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    hinted = F.filter(sentences(text), lambda s: F.lower(s).rlike(_HINT))
-    known = F.filter(F.transform(hinted, lambda s: identify(normal(s))), lambda i: i.isNotNull())
+    known = F.filter(F.transform(known_sentences(text), identify), lambda i: i.isNotNull())
     out = docs.select("doc_id", F.when(F.lower(text).rlike(_HINT), known).otherwise(
         F.array().cast("array<string>")).alias("sentence_ids"))
     # identifiers as one string, ";a@1;b@;": a rule is a pattern on it, and what a rule used becomes "!"

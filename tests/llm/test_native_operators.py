@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import pytest
@@ -145,6 +146,84 @@ def test_licence_query_finds_the_documents_lines(spark):
         assert {v for k, v in lines.items() if k in text} <= got[i]
 
 
+WORDINGS = {
+    "spdx-apache-2.0": "SPDX-License-Identifier: Apache-2.0", "spdx-mit": "SPDX-License-Identifier: MIT",
+    "spdx-gpl@2.0": "SPDX-License-Identifier: GPL-2.0-or-later", "spdx-bsd-3": "SPDX-License-Identifier: BSD-3-Clause",
+    "apache-named@2.0": 'Licensed under the Apache License, Version 2.0 (the "License");',
+    "apache-obey": "you may not use this file except in compliance with the License.",
+    "apache-copy": "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-asis": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an '
+                   '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "mit-named": "This software is released under the terms of the MIT License.",
+    "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation '
+                 'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+                 'modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the '
+                 'Software is furnished to do so, subject to the following conditions:',
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+                  "Software.",
+    "mit-asis": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+                'WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "gpl-named@2": "This program is licensed under the terms of the GNU General Public License as published by the Free Software Foundation, "
+                   "version 2 only.",
+    "gpl-later": "or (at your option) any later version.",
+    "gpl-free@2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+                  "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-free@3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+                  "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty "
+                "of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-named@2.1": "This file is licensed under the GNU Lesser General Public License, version 2.1.",
+    "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+                 "conditions are met:",
+    "bsd-source": "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+                  "disclaimer.",
+    "bsd-binary": "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+                  "disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-name": "3. Neither the name of Foo, Inc. nor the names of its contributors may be used to endorse or promote products derived from "
+                "this software without specific prior written permission.",
+    "mpl-named@2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "cc0-named": "This work is dedicated to the public domain.",
+    "cc-by-nc-nd@4.0": "This work is licensed under a CC BY-NC-ND 4.0.", "cc-by-nc-sa@4.0": "This work is licensed under a CC BY-NC-SA 4.0.",
+    "cc-by-nc@4.0": "This work is licensed under a CC BY-NC 4.0.", "cc-by-nd@4.0": "This work is licensed under a CC BY-ND 4.0.",
+    "cc-by-sa@4.0": "This work is licensed under a CC BY-SA 4.0.", "cc-by@4.0": "This work is licensed under a CC BY 4.0.",
+    "reserved": "All rights reserved.",
+}
+
+
+def test_every_known_sentence_in_its_canonical_wording(spark):
+    assert {k.split("@")[0] for k in WORDINGS} == {name for name, _ in licenses.SENTENCES}
+    docs, want = [], []
+    for key, text in WORDINGS.items():
+        lines = [y for x in text.split("\n") for y in textwrap.wrap(x, 30, break_on_hyphens=False) or [""]]
+        for form in (text, "Some words. " + text + (" " if text[-1] in ".;:" else "\n") + "More words follow.", "\n".join(lines), "\r\n".join(lines),
+                     "/*\n" + "".join(f" * {x}\n" for x in lines) + " */", "".join(f"# {x}\n" for x in lines) + "import os\n",
+                     "".join(f"dnl {x}\n" for x in lines), "".join(f"// {x}\n" for x in ["Copyright 2020 Foo", "", *lines, "", "x = 1"])):
+            docs.append((len(docs), form))
+            want.append([key if "@" in key else key + "@"])
+    rows = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {r.doc_id: r.sentence_ids for r in rows}
+    wrong = [(t, got[i], w) for (i, t), w in zip(docs, want) if got[i] != w]
+    assert not wrong, wrong
+
+
+def test_wrapped_licence_texts(spark):
+    def block(*keys):
+        return "\n *\n".join(textwrap.fill(WORDINGS[k], 72, initial_indent=" * ", subsequent_indent=" * ") for k in keys)
+
+    cases = [(block("mit-grant", "mit-notice", "mit-asis"), ["MIT-text"]), (block("gpl-free@3", "gpl-hope"), ["GPL-or-later-header@3"]),
+             (block("gpl-free@2", "gpl-hope"), ["GPL-or-later-header@2"]),
+             (block("bsd-grant", "bsd-source", "bsd-binary", "bsd-name"), ["BSD-3-Clause-text"]),
+             (block("apache-named@2.0", "apache-obey", "apache-copy", "apache-asis"), ["Apache-2.0-header@2.0"]),
+             ("# SPDX-License-Identifier: MIT\nimport os", ["MIT"]), (block("mpl-named@2.0"), ["MPL@2.0"]),
+             ("but WITHOUT ANY WARRANTY.\nAll rights reserved.", ["All-rights-reserved"]),
+             (WORDINGS["gpl-hope"].split(";")[0] + ".\nAll rights reserved.", ["All-rights-reserved", "Unmatched:gpl-hope"]),
+             ("This is not a sentence about the MIT License or all rights reserved by v. 2.0", []),
+             ("Licensed under the Apache License, version 2.\n2024 was wet.", ["Apache@2"]), ("! " * 20000 + "software", []),
+             ("é" * 20000 + " software\n\n\n", []), ("\n" * 20000 + "MIT License", ["MIT"])]
+    rows = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licenses for r in rows} == {i: w for i, (_, w) in enumerate(cases)}
+
+
 # --- op9 -----------------------------------------------------------------------------------------------------------
 
 def told(rows):
