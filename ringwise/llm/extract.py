@@ -1,7 +1,8 @@
 """Main-text extraction: a linear-chain conditional random field over the leaf blocks of a page.
 
 A page is cut into leaf blocks (text between block-level tags, in page order) with the tags, classes and ids of their
-ancestors.  Every block has binary features from its ancestors, its own text and its page position; the chain model
+ancestors.  Words of a class or id that tell of a side part are not counted on the elements that hold the article itself
+(``side_hints``).  Every block has binary features from its ancestors, its own text and its page position; the chain model
 scores a label (other, main) for every block and every pair of neighbouring labels.  Training maximises the conditional
 likelihood of labelled pages by gradient steps over all of them (forward-backward for the expected counts); pages are
 decoded by Viterbi.  The main blocks, joined by empty lines, are the text.
@@ -41,6 +42,8 @@ HINTS = ("nav menu breadcrumb header masthead footer sidebar aside widget relate
          "consent notice alert popup modal newsletter subscribe signup share social comment comments reply disqus form search "
          "login article content main post entry story body text").split()
 _BAD = frozenset("nav header footer aside form menu dialog".split())
+#: Parts of a class that name a state, as in has-sidebar or comments-closed: it tells of no side part.
+_STATES = frozenset("no not has have with without hide closed open off disabled enabled".split())
 _BAD_HINTS = frozenset("nav menu breadcrumb masthead footer sidebar aside widget related promo advert ads ad sponsor banner "
                        "cookie consent notice alert popup modal newsletter subscribe signup share social comment comments "
                        "reply disqus form search login".split())
@@ -54,31 +57,78 @@ _CLOSES_P = BLOCKS - {"option", "legend", "summary"}
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 
 
-def _marks(tag: str, attrs: str) -> tuple[frozenset[str], bool]:
-    """Hint words of an element's class, id and role; whether it is hidden."""
-    found, hidden = set(), False
-    if attrs and "=" in attrs or "hidden" in attrs:
-        for m in _ATTR.finditer(attrs):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if name in ("class", "id", "role"):
-                found.update(_WORD.findall(value))
-            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(
-                    r"display\s*:\s*none", value):
-                hidden = True
-    return frozenset(found.intersection(HINTS)), hidden
+class Element:
+    """An open element: hint words of its class, id and role, and those of them that are a whole class, id or role."""
+    __slots__ = ("tag", "hints", "whole", "hidden", "size", "title")
+
+    def __init__(self, tag: str, attrs: str):
+        found, whole, self.hidden = set(), set(), False
+        self.tag, self.size, self.title = tag, 0, False
+        if attrs and "=" in attrs or "hidden" in attrs:
+            for m in _ATTR.finditer(attrs):
+                name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+                if name in ("class", "id", "role"):
+                    for token in value.split():
+                        words = _WORD.findall(token)
+                        found.update(w for w in words if w not in _BAD_HINTS or not _STATES.intersection(words))
+                        whole.add(token)
+                elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(
+                        r"display\s*:\s*none", value):
+                    self.hidden = True
+        self.hints, self.whole = frozenset(found.intersection(HINTS)), frozenset(whole.intersection(_BAD_HINTS))
 
 
 class Block:
-    __slots__ = ("text", "tags", "hints", "link_chars", "hidden")
+    __slots__ = ("text", "tags", "path", "hints", "link_chars", "hidden")
+
+    def __init__(self, text, path, link_chars, hidden):
+        self.text, self.path, self.link_chars, self.hidden = text, path, link_chars, hidden
+        self.tags, self.hints = tuple(e.tag for e in path), frozenset()
+
 
-    def __init__(self, text, tags, hints, link_chars, hidden):
-        self.text, self.tags, self.hints, self.link_chars, self.hidden = text, tags, hints, link_chars, hidden
+def side_hints(blocks: list[Block]) -> None:
+    """Set the hints of a page's blocks: the words of all ancestors, less the side-part words of the elements that hold the article.
+
+    Those are html and body; on a page with article or main elements, the largest of them and its ancestors (one that is wholly
+    called a side part, or lies in one, only counts as the article if it has half of the text); on another page, elements
+    with half of the text and the title, whose words in compound names are taken off, as in content-sidebar-wrap.
+    """
+    total, titled, anchors = sum(len(b.text) for b in blocks), False, {}
+    for b in blocks:
+        title = "h1" in b.tags
+        titled |= title
+        for e in b.path:
+            e.size += len(b.text)
+            e.title |= title
+        at = next((i for i, t in enumerate(b.tags) if t in ("article", "main")), None)
+        if at is not None:
+            anchors.setdefault(id(b.path[at]), b.path[:at + 1])
+    holders = set()
+    if anchors:
+        side, path = min(((any(e.whole for e in p if e.tag not in ("html", "body")), p) for p in anchors.values()),
+                         key=lambda x: (x[0], -x[1][-1].size))
+        if not side or 2 * path[-1].size >= total:
+            holders = {id(e) for e in path}
+    own = {}
+
+    def words(e: Element) -> frozenset[str]:
+        if e.tag in ("html", "body") or id(e) in holders:
+            return e.hints - _BAD_HINTS
+        if not anchors and 2 * e.size >= total and e.title == titled:
+            return (e.hints - _BAD_HINTS) | e.whole
+        return e.hints
+
+    for b in blocks:
+        for e in b.path:
+            if id(e) not in own:
+                own[id(e)] = words(e)
+        b.hints = frozenset().union(*(own[id(e)] for e in b.path))
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks of text in page order.  Unclosed and misnested tags are mended as browsers roughly do: a block element ends an
     open paragraph, a list item the one before it, an end tag everything opened after its start tag."""
-    stack: list[tuple[str, frozenset[str], bool]] = []
+    stack: list[Element] = []
     out: list[Block] = []
     parts: list[str] = []
     links = 0
@@ -90,16 +140,15 @@ def leaf_blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                hints = frozenset().union(*(h for _, h, _ in stack))
-                hidden = any(x or t in HIDDEN for t, _, x in stack)
-                out.append(Block(text, tuple(t for t, _, _ in stack), hints, links, hidden))
+                hidden = any(e.hidden or e.tag in HIDDEN for e in stack)
+                out.append(Block(text, tuple(stack), links, hidden))
             parts.clear()
         links = 0
 
     def pop_to(index: int):
         nonlocal in_link
-        for t, _, _ in stack[index:]:
-            in_link -= t == "a"
+        for e in stack[index:]:
+            in_link -= e.tag == "a"
         del stack[index:]
 
     while at < n:
@@ -119,25 +168,25 @@ def leaf_blocks(page: str) -> list[Block]:
                 continue
             continue
         if m[1]:  # end tag
-            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
             if tag in BLOCKS:
                 flush()
-            if open_at is not None and (tag in BLOCKS or not any(t in BLOCKS for t, _, _ in stack[open_at + 1:])):
+            if open_at is not None and (tag in BLOCKS or not any(e.tag in BLOCKS for e in stack[open_at + 1:])):
                 pop_to(open_at)
             continue
         if tag in BLOCKS:
             flush()
             if tag in _CLOSES_P:
-                p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
+                p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == "p"), None)
                 if p is not None:
                     pop_to(p)
             if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in same:
+                    if stack[i].tag in same:
                         pop_to(i)
                         break
-                    if stack[i][0] in ("ul", "ol", "dl", "table", "tbody", "thead", "select"):
+                    if stack[i].tag in ("ul", "ol", "dl", "table", "tbody", "thead", "select"):
                         break
         if tag == "br":
             parts.append(" ")
@@ -147,11 +196,12 @@ def leaf_blocks(page: str) -> list[Block]:
             close = _RAW_END[tag].search(page, at)
             at = close.end() if close else n
             continue
-        hints, hidden = _marks(tag, m[3])
-        stack.append((tag, hints, hidden))
+        stack.append(Element(tag, m[3]))
         in_link += tag == "a"
     flush()
-    return [b for b in out if not b.hidden]
+    out = [b for b in out if not b.hidden]
+    side_hints(out)
+    return out
 
 
 def self_labels(blocks: list[Block]) -> list[int] | None:
@@ -298,6 +348,14 @@ LAYOUTS = [
     ("<body><div role=banner class=notice><p>This site will be closed on Monday for work on it.</p></div><div class=post><p>We walked "
      "along the shore the whole day.</p><p>In the evening it grew cold.</p></div><div class=sidebar><ul><li><a href=/o>Older</a></li>"
      "</ul></div></body>", ["We walked along the shore the whole day.", "In the evening it grew cold."]),
+    ("<html class=menu-ready><body class=\"has-sidebar ads-free\"><div class=content-sidebar-wrap><main class=no-ads><h1>On salt</h1><p>Salt "
+     "was won from the sea and from the hills.</p><p>It was dear.</p></main><div class=sidebar><p>Read more of what we wrote "
+     "on pepper.</p></div></div><div class=footer-widgets><p>Write to us whenever you like.</p></div></body></html>",
+     ["On salt", "Salt was won from the sea and from the hills.", "It was dear."]),
+    ("<body class=\"page sidebar-right\"><div id=menu><a href=/>Home</a></div><div class=content-sidebar-wrap><div class=content><h1>On "
+     "tin</h1><p>Tin was dug in the west, and ships took it to the south.</p><p>Few mines are left.</p></div><div class=sidebar><p>Our "
+     "other pages of this week.</p></div></div></body>",
+     ["On tin", "Tin was dug in the west, and ships took it to the south.", "Few mines are left."]),
 ]
 
 
@@ -321,7 +379,7 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         slots, labels = [], []
         for page in batch.column("html"):
-            blocks = leaf_blocks(page.as_py())[:400]
+            blocks = leaf_blocks(page.as_py())
             found = self_labels(blocks)
             if found:
                 slots.append([_slots(f).tolist() for f in features(blocks)])

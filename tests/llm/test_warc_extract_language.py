@@ -88,6 +88,32 @@ def test_layouts_and_odd_pages(spark):
     assert extract.extract(df.where("false")).count() == 0
 
 
+def test_hints_of_wrappers_do_not_lose_the_article(spark):
+    text = ["The old bridge", "The bridge was built of stone, and it carried carts for three hundred years.", "Then it fell."]
+    inner = f"<h1>{text[0]}</h1><p>{text[1]}</p><p>{text[2]}</p>"
+    side = "<div class=sidebar><p>Other posts that you may want to read today.</p></div>"
+    notes = "<section class=comments><article class=comment><p>I saw it fall, it was a sad day.</p></article></section>"
+    pages = [f"<body class='has-sidebar'><article>{inner}</article>{side}</body>", f"<body><div class='no-ads'><article>{inner}</article></div>{side}",
+             f"<body><div class='content-sidebar-wrap'><article>{inner}</article>{side}</div></body>",
+             f"<html class='social menu'><body class='sidebar'><main class='with-sidebar'>{inner}{side}</main></body>",
+             f"<body class='ad-free sidebar'><div class='post'>{inner}</div>{side}</body>",
+             f"<body><div class='content-sidebar-wrap'><div class='content'>{inner}</div>{side}</div></body>",
+             f"<body class=has-sidebar><div class='layout sidebar'><article>{inner}</article></div>{side}</body>",
+             f"<body><div class=comments-closed><article class='post comments-open'>{inner}</article>{notes}</div></body>"]
+    model = extract.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    for page in pages:
+        assert extract.main_text(page, model) == "\n\n".join(text), page
+        if extract.self_labels(extract.leaf_blocks(page)):
+            assert sum(extract.self_labels(extract.leaf_blocks(page))) == 3, page
+
+
+def test_training_takes_whole_pages():
+    import pyarrow as pa
+    page = "<article>" + "".join(f"<p>Line {i} of it.</p>" for i in range(900)) + "</article>"
+    batch = pa.RecordBatch.from_arrays([pa.array([page])], names=["html"])
+    assert [len(x) for b in extract._labelled(iter([batch])) for x in b.column("labels").to_pylist()] == [900]
+
+
 def test_viterbi_and_training_on_a_toy():
     import numpy as np
     pages = [([np.array([0]), np.array([1]), np.array([2]), np.array([1])], [0, 1, 1, 1])] * 5
