@@ -115,18 +115,24 @@ def _records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
     def more() -> bool:
         nonlocal at, unzip
-        while at < len(content) or unzip.unconsumed_tail:
-            if unzip.eof:  # the next member
+        while True:
+            if unzip.eof:  # the next member, if more than zero padding is left
                 at -= len(unzip.unused_data)
+                while content[at:at + 1] == b"\0":
+                    at += 1
+                if at >= len(content):
+                    return False
                 unzip = zlib.decompressobj(31)
-                continue
+            if at >= len(content):
+                if at:
+                    raise ValueError("archive ends inside a gzip member")
+                return False
             step = content[at:at + STEP]
             at += len(step)
             data = unzip.decompress(step)
             if data:
                 held.extend(data)
                 return True
-        return False
 
     while True:
         while (end := held.find(b"\r\n\r\n")) < 0:

@@ -6,6 +6,8 @@ import hashlib
 import html
 import re
 
+import pytest
+
 import corpus_pipeline
 from ringwise.llm import extract, language_id, warc
 from ringwise.llm.queries import QUERIES, VOCABULARY, public_file
@@ -59,6 +61,22 @@ def test_warc_odd_pages(spark, tmp_path, monkeypatch):
     assert warc.deduplicate(df.where("false"), str(tmp_path / "none")).count() == 0
 
 
+def test_archives_of_many_members(spark, tmp_path):
+    import gzip
+    texts = [f"page {i} " * (i + 1) for i in range(40)]
+    records = [b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:%d>\r\nWARC-Payload-Digest: sha1:%s\r\nX-Page-ID: %d\r\n"
+               b"Content-Length: %d\r\n\r\nHTTP/1.1 200 OK\r\n\r\n%s\r\n\r\n"
+               % (i, digest(t).encode(), i, 19 + len(t), t.encode()) for i, t in enumerate(texts)]
+    whole = b"".join(gzip.compress(r) for r in records)
+    (tmp_path / "a.warc.gz").write_bytes(whole)
+    back = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, bytes(r.payload).decode(), r.read_digest) for r in back) == [(i, t, digest(t)) for i, t in enumerate(texts)]
+    for cut in (len(whole) - 5, len(whole) - len(gzip.compress(records[-1])) + 30):
+        with pytest.raises(ValueError):
+            list(warc._records(whole[:cut]))
+    assert len(list(warc._records(whole + bytes(512)))) == 40  # zero padding after the last member
+
+
 def article_of(page):
     """The given pages' article, by their fixed layout."""
     body = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)[1]
