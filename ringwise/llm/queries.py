@@ -110,3 +110,37 @@ def pipeline(spark, sf_dir):
 def op10(spark, sf_dir):
     from ringwise.llm.extract import extract
     return extract(table(spark, sf_dir, "pages"))
+
+
+def _op11_sql() -> str:
+    from ringwise.llm.shallot import oracle
+    return oracle()
+
+
+@register("op11_shallot_clusters", _op11_sql())
+def op11(spark, sf_dir):
+    from ringwise.llm.shallot import report
+    return report(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)
+
+
+def _op13_sql() -> str:
+    from ringwise.llm.merkle import oracle
+    return oracle()
+
+
+@register("op13_merkle_manifest", _op13_sql())
+def op13(spark, sf_dir):
+    from ringwise.llm.merkle import report
+    return report(table(spark, sf_dir, "documents"))
+
+
+def _op12_sql() -> str:
+    from ringwise.llm.line_dedup import ORACLE as sql
+    return sql
+
+
+@register("op12_line_dedup", _op12_sql())
+def op12(spark, sf_dir):
+    from ringwise.llm.line_dedup import dedup_lines
+    return dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
