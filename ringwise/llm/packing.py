@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from ringwise.llm.arrow import chunks
 from ringwise.session import stored
 
-#: Words whose ids a worker keeps; the cache is emptied when it is full.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker keeps in each of two generations.
+CACHE_WORDS = 300_000
 
 
 def fill(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
@@ -98,6 +98,24 @@ def places(fillings: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.nd
     return {k: np.array(v, np.int64) for k, v in rows.items()}
 
 
+class Recent(dict):
+    """Results of ``make`` by key.  A full generation becomes the old one; keys still in use move up from there."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = self.copy()
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes; equal to encoding the whole text at once.
 
@@ -116,41 +134,31 @@ class Encoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
         self.as_char = {b: chr(b) if b in printable else chr(next(other)) for b in range(256)}
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.as_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.words = Recent(self._word, CACHE_WORDS)
+        self.cores = Recent(self._core, CACHE_WORDS)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _core(self, word: bytes) -> bytes:
-        got = self.cores.get(word)
-        if got is None:
-            lower = word if word.isascii() else word.decode().lower().encode()
-            tokens = self.tokenizer.model.tokenize(lower.decode("latin-1").translate(self.as_char))
-            got = self.cores[word] = np.array([t.id for t in tokens], "<u4").tobytes()
-        return got
+        if word.isascii():
+            plain = word.decode()
+        else:
+            plain = word.decode().lower().encode().decode("latin-1").translate(self.as_char)
+        tokens = self.tokenizer.model.tokenize(plain)
+        return b"".join([self.as_bytes[t.id] for t in tokens])
 
     def _word(self, word: bytes) -> bytes:
         m = self.core.fullmatch(word)
         if not m:
             return self._whole(word.decode())
-        return self._core(m[1]) + (self.words.get(m[2]) or self._whole(m[2].decode()) if m[2] else b"")
+        return self.cores[m[1]] + (self.words[m[2]] if m[2] else b"")
 
     def encode(self, text: bytes) -> bytes:
         if b"<|" in text:
             return self._whole(text.decode("utf-8", "replace"))
-        words = text.lower().split()
-        known = self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > CACHE_WORDS or len(self.cores) > CACHE_WORDS:
-                known.clear()
-                self.cores.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self._word(w)
-            return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
 def encoder_of(tokenizer_json: str) -> Encoder:
