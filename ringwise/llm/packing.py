@@ -244,7 +244,8 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int
             yield pa.RecordBatch.from_arrays([*(t.column(c) for c in names), pa.array(sequence), pa.array(offset)],
                                              names=[*names, "sequence_id", "offset"])
 
-    ranked = (cut.join(starts.select("length", "file", "before"), ["length", "file"])
+    # one row per task and length grows with the data: a sort-merge join, never a broadcast
+    ranked = (cut.join(starts.select("length", "file", "before").hint("merge"), ["length", "file"])
               .select("doc_id", "start", "length", "ids_crc32", "doc_tokens",
                       (F.col("rank") + F.col("before")).cast("long").alias("rank")))
     return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
