@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringwise.llm.arrow import mix
+from ringwise.llm.arrow import chunks, mix
 from ringwise.session import stored
 
 #: Fewest code points of a key that counts, and the white space stripped from both ends of a line (fixed values).
@@ -139,14 +139,15 @@ def line_keys(docs: DataFrame) -> DataFrame:
     """``(doc_id, key)``: the distinct keys of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, keys = [], []
-            for i, text in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
-                here = {line_key(x) for x in (text or b"").split(b"\n")}
-                here.discard(None)
-                row += [i] * len(here)
-                keys += sorted(here)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())),
-                                              pa.array(keys, pa.binary())], names=["doc_id", "key"])
+            for part, texts in chunks(b):
+                row, keys = [], []
+                for i, text in enumerate(texts):
+                    here = {line_key(x) for x in text.split(b"\n")}
+                    here.discard(None)
+                    row += [i] * len(here)
+                    keys += sorted(here)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row, pa.int64())),
+                                                  pa.array(keys, pa.binary())], names=["doc_id", "key"])
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key binary")
 
 
@@ -273,17 +274,16 @@ class LineIndex:
     def apply(self, docs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
         """``(doc_id, kept, n_lines, n_dropped)`` of every row; ``lines`` are its postings where they are at hand."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for part, texts in (x for b in batches for x in chunks(b)):
                 kept, count, dropped = [], [], []
-                for text, keys in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("keys").to_pylist()):
-                    parts = (text or b"").split(b"\n")
-                    keys = set(keys or ())
-                    stay = [x for x in parts if line_key(x) not in keys] if keys else parts
+                for text, keys in zip(texts, part.column("keys").to_pylist()):
+                    lines_, keys = text.split(b"\n"), set(keys or ())
+                    stay = [x for x in lines_ if line_key(x) not in keys] if keys else lines_
                     kept.append(b"\n".join(stay))
-                    count.append(len(parts))
-                    dropped.append(len(parts) - len(stay))
+                    count.append(len(lines_))
+                    dropped.append(len(lines_) - len(stay))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(count, pa.int64()),
+                    [part.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(count, pa.int64()),
                      pa.array(dropped, pa.int64())], names=["doc_id", "kept", "n_lines", "n_dropped"])
         rows = docs.select("doc_id", "text")
         met = (rows.where("doc_id is not null")
