@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ringwise.llm.arrow import chunks, mix
 from ringwise.session import stored
@@ -197,14 +198,17 @@ class LineIndex:
         """``work(cuckoo, keys)`` on every shard's rows ``(key, n, first_doc)``: the rows with its answer as ``known``,
         and per shard one row with the filter's new ``slots``."""
         buckets, id_type = self.buckets, dict(rows.dtypes)["first_doc"]
+        kinds = [pa.binary(), pa.int64(), to_arrow_type(rows.schema["first_doc"].dataType)]
 
         def run(key: tuple, table: pa.Table, held: pa.Table) -> pa.Table:
             cuckoo = Cuckoo.load(held.column("slots")[0].as_py()) if held.num_rows else Cuckoo.empty(buckets)
-            table = table.sort_by("key")
-            n, raw = table.num_rows, b"".join(table.column("key").to_pylist())
-            known = work(cuckoo, np.frombuffer(raw, dtype=np.uint64).reshape(-1, 2)) if n else []
-            cols = [pa.concat_arrays([table.column(c).combine_chunks(), pa.nulls(1, table.schema.field(c).type)])
-                    for c in ("key", "n", "first_doc")]
+            n, known, cols = table.num_rows, [], [pa.nulls(1, kind) for kind in kinds]
+            if n:  # a side without rows may come without columns
+                table = table.sort_by("key")
+                raw = b"".join(table.column("key").to_pylist())
+                known = work(cuckoo, np.frombuffer(raw, dtype=np.uint64).reshape(-1, 2))
+                cols = [pa.concat_arrays([table.column(c).combine_chunks(), blank])
+                        for c, blank in zip(("key", "n", "first_doc"), cols)]
             return pa.table([pa.repeat(key[0], n + 1), *cols, pa.array([*map(bool, known), None], pa.bool_()),
                              pa.array([None] * n + [cuckoo.dump()], pa.binary())],
                             names=["shard", "key", "n", "first_doc", "known", "slots"])

@@ -146,6 +146,7 @@ def test_insert_delete_and_back(spark, monkeypatch):
     d = c.insert(df.where("doc_id < 30"))
     assert lines_of(d, df) == plain_lines(rows)
     assert lines_of(b, df) == plain_lines(rows)    # the older version is still there
+    assert lines_of(d.insert(df.where("doc_id = 7 and text is null")).insert(df.limit(0)), df) == plain_lines(rows)
     e = d.delete(df.select("doc_id"))
     assert e.refs.count() == 0 and all(not ld.Cuckoo.load(r.slots).slots.any() for r in e.filters.collect())
 
