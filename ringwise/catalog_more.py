@@ -227,6 +227,18 @@ def q_l3(spark, sf):
     return similar.similar(adapter.table(spark, sf, "embeddings"), 0, 10)
 
 
-@register("l4_similar_all")
+_UNIT_SQL = """SELECT vec_id, CASE WHEN s > 0 THEN list_transform(x, lambda v: v / s) ELSE x END AS u FROM (
+    SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda v: v * v))) AS s FROM (
+      SELECT vec_id, list_transform(embedding, lambda v: CASE WHEN v IS NULL OR NOT isfinite(v) THEN 0.0
+        ELSE CAST(v AS DOUBLE) END) AS x FROM embeddings WHERE len(embedding) = 64) c) n"""
+
+
+@register("l4_similar_all", with_base("""
+SELECT a, b, similarity, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank
+FROM (SELECT q.vec_id AS a, e.vec_id AS b, round(list_dot_product(q.u, e.u), 9) AS similarity
+  FROM units q JOIN units e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id) x
+QUALIFY rank <= 10""", units=_UNIT_SQL))
 def q_l4(spark, sf):
-    return similar.similar_all(adapter.table(spark, sf, "embeddings"), k=10)
+    """The stated query set is every row whose id is divisible by 50; it is searched among all rows."""
+    return similar.similar_many(adapter.table(spark, sf, "embeddings"), F.col("id") % 50 == 0, 10).select(
+        "a", "b", "similarity", F.col("rank").cast("long").alias("rank"))

@@ -3,8 +3,8 @@
 Vertices are cards plus typed nodes (``device:<id>``, ``email:<id>``,
 ``address:<id>``); every distinct card-node link is an undirected edge, so
 parallel links of different types count separately.  Iterations are
-DataFrame joins and group-bys; lineage is cut every few rounds with a
-reliable ``checkpoint()`` into ``spark.checkpoint.dir``.
+DataFrame joins and group-bys over edges bucketed by source; lineage is cut
+in ``spark.checkpoint.dir``.
 
 Fixed values: PageRank 30 rounds, damping 0.85, start rank 1,
 un-normalised form ``0.15 + 0.85 * sum(rank / degree)``; community risk keeps
@@ -13,10 +13,11 @@ communities with >= 3 cards, top 20; members top 50 by PageRank.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringwise.session import cut_lineage
+from ringwise.plans.edge_rounds import EdgeRounds
+from ringwise.session import stored
 
 
 def vertex_edges(edges: DataFrame) -> DataFrame:
@@ -26,47 +27,109 @@ def vertex_edges(edges: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def pagerank(edges: DataFrame, iters: int = 30, d: float = 0.85, cut_every: int = 5) -> DataFrame:
-    """``(vertex, kind, rank)`` after a fixed number of synchronous rounds."""
+def pagerank(edges: DataFrame, iters: int = 30, d: float = 0.85, cut_every: int = 10) -> DataFrame:
+    """``(vertex, kind, rank)`` after a fixed number of synchronous rounds.
+
+    The weighted edges lie bucketed by source: a round exchanges contributions only.
+    """
     e = vertex_edges(edges)
     deg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     # each edge carries 1/deg(src); ranks join on src, contributions aggregate on dst
-    w = cut_lineage(e.join(deg, "src").select("src", "dst", (1.0 / F.col("deg")).alias("w")))
-    ranks = deg.select(F.col("src").alias("v"), F.lit(1.0).alias("rank"))
+    rounds = EdgeRounds(e.join(deg, "src").select("src", "dst", (1.0 / F.col("deg")).alias("w")))
+    ranks = rounds.edges.select(F.col("src").alias("v")).distinct().withColumn("rank", F.lit(1.0))
     for i in range(1, iters + 1):
-        contrib = (w.join(ranks.withColumnRenamed("v", "src"), "src")
-                   .groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("s")))
+        contrib = rounds.send(ranks).groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("s"))
         ranks = contrib.select(F.col("dst").alias("v"), (1.0 - d + d * F.col("s")).alias("rank"))
-        if i % cut_every == 0 and i < iters:
-            ranks = cut_lineage(ranks)
-    kind = F.when(F.col("v").contains(":"), F.substring_index("v", ":", 1)).otherwise(F.lit("card"))
-    return ranks.select("v", kind.alias("kind"), F.round("rank", 9).alias("rank"))
+        if i < iters and (rounds.has_hubs or i % cut_every == 0):
+            ranks = stored(ranks)  # hubs read the ranks a second time
+    return ranks.select("v", _kind("v"), F.round("rank", 9).alias("rank"))
+
+
+def _kind(v: str):
+    return F.when(F.col(v).contains(":"), F.substring_index(v, ":", 1)).otherwise(F.lit("card")).alias("kind")
 
 
-def communities(edges: DataFrame, rounds: int = 10, cut_every: int = 2) -> DataFrame:
-    """G16 (label propagation, named so): ``(vertex, kind, community)``.
+def _wide(x) -> Column:
+    return F.col(x).cast("decimal(38,0)") if isinstance(x, str) else x.cast("decimal(38,0)")
 
-    The graph is bipartite, so synchronous propagation would oscillate; cards
-    and nodes therefore update on alternating half-rounds.  Each vertex takes
-    the label most frequent among its neighbours (smallest label on ties).
-    Raghavan, Albert and Kumara (2007).  Every vertex gets exactly one label.
+
+def move_round(state: DataFrame, rounds: EdgeRounds, twice_m: int, turn: int) -> DataFrame:
+    """One synchronous round of community moves by modularity gain.
+
+    ``state(v, k, own, c)`` (``k`` degree, ``own`` self-loop weight, ``c`` community) -> the same with ``inside`` (weight to
+    the own community), ``next`` and ``wants``.  Joining C is worth ``w(v, C) * 2m - k * total(C)``, staying
+    ``w(v, c) * 2m - k * (total(c) - k)``; the best C (ties: smallest name) wins only when strictly better.  Half of the
+    vertices, drawn by a hash of name and turn, may move in a turn, so neighbours seldom swap places.
     """
-    e = vertex_edges(edges)
-    labels = e.select(F.col("src").alias("v")).distinct().withColumn("label", F.col("v"))
-    is_card = ~F.col("v").contains(":")
-    for i in range(rounds * 2):
-        update_cards = i % 2 == 0
-        votes = (e.join(labels.withColumnRenamed("v", "src"), "src")
-                 .groupBy(F.col("dst").alias("v"), "label").agg(F.count(F.lit(1)).alias("n")))
-        best = votes.groupBy("v").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("new"))
-        side = is_card if update_cards else ~is_card
-        labels = (labels.join(best.select("v", "new"), "v", "left")
-                  .select("v", F.when(side & F.col("new").isNotNull(), F.col("new")).otherwise(F.col("label"))
-                          .alias("label")))
-        if (i + 1) % cut_every == 0:
-            labels = cut_lineage(labels)
-    kind = F.when(F.col("v").contains(":"), F.substring_index("v", ":", 1)).otherwise(F.lit("card"))
-    return labels.select("v", kind.alias("kind"), F.col("label").alias("community"))
+    m2 = F.lit(twice_m).cast("decimal(38,0)")
+    total = state.groupBy("c").agg(F.sum("k").alias("total"))
+    links = (rounds.send(state.select("v", "c")).where("src <> dst")
+             .groupBy(F.col("dst").alias("v"), F.col("c").alias("to")).agg(F.sum("w").alias("w")))
+    scored = (links.join(state.select("v", "k", "c"), "v").join(total.withColumnRenamed("c", "to"), "to")
+              .withColumn("score", _wide("w") * m2 - _wide("k") * _wide("total")))
+    best = scored.groupBy("v").agg(F.min(F.when(F.col("to") != F.col("c"), F.struct((-F.col("score")).alias("low"), "to"))).alias("best"),
+                                   F.sum(F.when(F.col("to") == F.col("c"), F.col("w"))).alias("inside"))
+    stay = _wide("inside") * m2 - _wide("k") * (_wide("total") - _wide("k"))
+    wants = F.coalesce(-F.col("best.low") > stay, F.lit(False))
+    mine = F.substring(F.md5(F.concat("v", F.lit(f":{turn}"))), 1, 1) < "8"
+    return (state.select("v", "k", "own", "c").join(total, "c").join(best, "v", "left")
+            .withColumn("inside", F.coalesce("inside", F.lit(0))).withColumn("wants", wants)
+            .select("v", "k", "own", "c", "inside", "wants",
+                    F.when(F.col("wants") & mine, F.col("best.to")).otherwise(F.col("c")).alias("next")))
+
+
+def modularity_sum(round_: DataFrame, twice_m: int) -> tuple[int, int]:
+    """Modularity times ``(2m)^2`` of the communities ``c``, exactly, and how many vertices want to move."""
+    part = round_.groupBy("c").agg(F.sum(F.col("inside") + F.col("own")).alias("i"), F.sum("k").alias("t"),
+                                   F.count_if("wants").alias("n"))
+    r = part.agg(F.sum(_wide("i")), F.sum(_wide("t") * _wide("t")), F.sum("n")).first()
+    return int(r[0]) * twice_m - int(r[1]), int(r[2])
+
+
+def louvain(edges: DataFrame, levels: int = 3, turns: int = 8) -> tuple[DataFrame, list[float]]:
+    """``(v, community)`` of every vertex, and the modularity reached by each level.
+
+    Blondel, Guillaume, Lambiotte and Lefebvre (2008) as DataFrame rounds: on every level the vertices move for at most
+    ``turns`` turns and the best state (the earliest of equals) is kept, so modularity never falls; then communities
+    become the vertices of the next level, with the weights between them.  A community is named after one of its vertices.
+    """
+    graph = vertex_edges(edges).select("src", "dst", F.lit(1).cast("long").alias("w"))
+    twice_m, found, reached = None, None, []
+    for level in range(levels):
+        rounds = EdgeRounds(graph)
+        if twice_m is None:
+            twice_m = rounds.edges.agg(F.sum("w")).first()[0] or 0
+            found = rounds.edges.select(F.col("src").alias("v")).distinct().withColumn("community", F.col("v"))
+            if not twice_m:
+                return found, reached
+        state = rounds.edges.groupBy(F.col("src").alias("v")).agg(
+            F.sum("w").alias("k"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0)).alias("own"))
+        state = stored(state.withColumn("c", F.col("v")))
+        kept, best, first = state, None, None
+        for turn in range(turns + 1):
+            done = stored(move_round(state, rounds, twice_m, level * 100 + turn))
+            q, wants = modularity_sum(done, twice_m)
+            first = q if first is None else first
+            if best is None or q > best:
+                kept, best = done.select("v", "c"), q
+            if not wants:
+                break
+            state = done.select("v", "k", "own", F.col("next").alias("c"))
+        reached.append(best / twice_m ** 2)
+        if best == first:  # nothing was gained: further levels would repeat this one
+            break
+        found = stored(found.join(kept.select(F.col("v").alias("community"), "c"), "community")
+                       .select("v", F.col("c").alias("community")))
+        graph = (rounds.edges.join(kept.select(F.col("v").alias("src"), F.col("c").alias("a")), "src")
+                 .join(kept.select(F.col("v").alias("dst"), F.col("c").alias("b")), "dst")
+                 .groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+    return found, reached
+
+
+def communities(edges: DataFrame, levels: int = 3, turns: int = 8) -> DataFrame:
+    """``(v, kind, community)`` by modularity, every vertex once."""
+    found, _ = louvain(edges, levels, turns)
+    return found.select("v", _kind("v"), "community")
 
 
 def community_risk(comm: DataFrame, cards: DataFrame, min_size: int = 3, k: int = 20) -> DataFrame:
