@@ -1,4 +1,4 @@
-"""Structured Streaming jobs.
+"""Structured Streaming jobs.
 
 The reference scores one message at a time in processing time.  Here the
 stream is a Structured Streaming query: a file (or Kafka, when its jar is on
@@ -9,7 +9,7 @@ per batch id, so a replay after a lost executor rewrites the same output).
 
 Windowed request statistics (N8-N12) are plain windowed aggregations; the
 same functions run on a batch DataFrame (the oracle form) or on a stream
-with a watermark (N13).
+(state and watermarks: ``stateful``).
 
 Fixed values: sliding window 5 minutes every 1 minute; trend over 1 hour.
 """
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ringwise.functions.decisions import confidence, decide, segment_threshold
+from ringwise.streaming.stateful import ALL_ROUTES
 
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("transaction_id", T.StringType()),
@@ -46,12 +47,15 @@ def to_payload(txn: DataFrame, feature_cols: list[str]) -> DataFrame:
                       F.col("isFraud").alias("is_fraud"), F.col("TransactionDT").alias("_order"))
 
 
-def replay(payload: DataFrame, path: str, rows_per_file: int = 1000) -> None:
-    """Write messages as time-ordered JSON files so a file stream replays them in order."""
+def replay(payload: DataFrame, path: str, rows_per_file: int = 1000, first: int | None = None) -> None:
+    """Write messages (all, or the ``first`` so many in time) as time-ordered JSON files so a file stream replays
+    them in order; a file holds at most ``rows_per_file`` messages."""
+    if first is not None:
+        payload = payload.orderBy("_order", "transaction_id").limit(first)
     n = payload.count()
     parts = max(1, -(-n // rows_per_file))
     (payload.repartitionByRange(parts, "_order").sortWithinPartitions("_order").drop("_order")
-     .write.mode("overwrite").json(path))
+     .write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).json(path))
 
 
 def read_txn_stream(spark: SparkSession, fmt: str = "json", path: str | None = None,
@@ -105,17 +109,6 @@ def route_stream(scored: DataFrame, sinks: str, checkpoint: str):
             .foreachBatch(lambda b, i: route(b, i, sinks)).start())
 
 
-def dedup(stream: DataFrame, key: str = "transaction_id", ts: str = "ts", watermark: str = "1 hour") -> DataFrame:
-    """Drop repeated transaction ids within the watermark."""
-    return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
-
-
-def alert_log(alerts: DataFrame, blocks: DataFrame, ts: str = "ts", watermark: str = "1 hour") -> DataFrame:
-    """The two alert topics as one log; decision set by topic; each id kept once."""
-    u = alerts.withColumn("decision", F.lit("FLAG")).unionByName(blocks.withColumn("decision", F.lit("BLOCK")))
-    return dedup(u, "transaction_id", ts, watermark)
-
-
 def running_stats(scored: DataFrame) -> DataFrame:
     """Running totals per decision (update / complete output mode)."""
     return scored.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.avg("fraud_probability").alias("mean_p"))
@@ -139,14 +132,14 @@ def error_share(req: DataFrame, win: str = "5 minutes", slide: str = "1 minute")
                     F.try_divide(F.col("errors").cast("double"), F.col("n").cast("double")).alias("error_share")))
 
 
-def latency_quantiles(req: DataFrame, win: str = "5 minutes", slide: str = "1 minute", exact: bool = True,
-                      routes=("/api/v1/predict", "/api/v1/explain")) -> DataFrame:
-    """p50 / p95 / p99 of request duration per sliding window and route (exact in batch,
-    ``percentile_approx`` on a stream)."""
-    q = (F.percentile("duration_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))) if exact
-         else F.percentile_approx("duration_ms", [0.5, 0.95, 0.99], 10000))
-    return (req.where(F.col("route").isin(*routes)).groupBy(F.window("ts", win, slide).alias("w"), "route")
-            .agg(q.alias("q"))
+def latency_quantiles(req: DataFrame, win: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """Exact p50 / p95 / p99 of request duration per sliding window, per route and over all routes.
+
+    One buffer per window and route: the form for checks and small windows; ``stateful.latency_windows`` keeps sketches.
+    """
+    q = F.percentile("duration_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    panels = req.withColumn("route", F.explode(F.array("route", F.lit(ALL_ROUTES))))
+    return (panels.groupBy(F.window("ts", win, slide).alias("w"), "route").agg(q.alias("q"))
             .select(F.col("w.start").alias("window_start"), "route", F.col("q")[0].alias("p50"),
                     F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99")))
 
@@ -167,16 +160,6 @@ def decision_mix(pred: DataFrame, win: str = "1 hour") -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def windowed(req: DataFrame, watermark: str = "10 minutes", kind: str = "tumbling") -> DataFrame:
-    """Event-time windows with a watermark - tumbling, sliding, or per-card session windows."""
-    r = req.withWatermark("ts", watermark)
-    if kind == "session":
-        return r.groupBy(F.session_window("ts", "30 minutes").alias("w"), "card_id").agg(
-            F.count(F.lit(1)).alias("n"))
-    w = F.window("ts", "5 minutes", "1 minute") if kind == "sliding" else F.window("ts", "5 minutes")
-    return r.groupBy(w.alias("w"), "route").agg(F.count(F.lit(1)).alias("n"))
-
-
 def _seconds(text: str) -> int:
     n, unit = text.split()
     return int(n) * {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600}[unit]

@@ -71,16 +71,3 @@ def test_synthesis_repeats_and_counts(spark):
     m = augment.mix(t, 0.2, seed=1)
     assert m.where("synthetic").count() == max(1, int(0.2 * n))
     assert m.count() == n + max(1, int(0.2 * n))
-
-
-def test_dedup_within_watermark(spark):
-    base = checkpoint_dir(spark).rstrip("/") + f"/test-dedup-{uuid.uuid4().hex}"
-    rows = [("t1", "2024-01-01 00:00:00"), ("t1", "2024-01-01 00:05:00"), ("t2", "2024-01-01 00:06:00")]
-    spark.createDataFrame(rows, "transaction_id string, ts string") \
-        .withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{base}/in")
-    s = spark.readStream.schema("transaction_id string, ts timestamp").parquet(f"{base}/in")
-    q = st.dedup(s).writeStream.format("memory").queryName("dedup_out").outputMode("append") \
-        .option("checkpointLocation", f"{base}/ckpt").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(r.transaction_id for r in spark.table("dedup_out").collect()) == ["t1", "t2"]
