@@ -1,9 +1,7 @@
 """Sources, sinks and merges.
 
-Files are read with declared schemas (no inference).  Merges are written as
-DataFrame plans - latest row per key inside the incoming batch (one
-``row_number`` per key), then a full outer join with ``coalesce`` - and
-written to a new folder per batch id, so replaying a batch is harmless.
+Files are read with declared schemas (no inference).  Merges are plans of
+``ringwise.sources.merge``.
 """
 
 from __future__ import annotations
@@ -12,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ringwise.sources.merge import fold, merge
+
 INT_TYPES = (("tinyint", -128, 127), ("smallint", -32768, 32767), ("int", -2147483648, 2147483647))
 
 
@@ -44,6 +44,18 @@ def narrow_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return rows.withColumn("narrow_type", F.when(F.col("kind") == "float", F.lit("float")).otherwise(t)).drop("kind")
 
 
+def cast_narrow(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """A2 applied: every numeric column in the type that ``narrow_types`` names (one row a column reaches the driver)."""
+    kinds = {r["column"]: r["narrow_type"] for r in narrow_types(df, cols).collect()}
+    return df.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in df.columns])
+
+
+def read_features(spark: SparkSession, path: str, first: int | None = None, order: str = "TransactionID") -> DataFrame:
+    """A3: the feature Parquet, or its ``first`` so many rows in ``order``."""
+    df = spark.read.parquet(path)
+    return df if first is None else df.orderBy(order).limit(first)
+
+
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """A4: edge CSV with ids as text (blank -> null) and ``is_fraud`` from true / 1 / yes."""
     schema = ("transaction_id long, card_id string, device_id string, email_id string, addr_id string, "
@@ -83,45 +95,32 @@ def ring_report(dev: DataFrame, email: DataFrame, addr: DataFrame, found: DataFr
             .unionByName(top(addr, "address", "address")))
 
 
-def latest_per_key(batch: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return batch.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-
-
 def upsert(target: DataFrame, batch: DataFrame, key: str, replace: list[str], keep_if_null: list[str] = (),
            order: str = "created_at") -> DataFrame:
-    """A10: all ``replace`` fields take the batch value; ``keep_if_null`` fields keep the old value when the
-    new one is null; new keys are inserted."""
-    b = latest_per_key(batch, key, order)
-    t, n = target.alias("t"), b.alias("n")
-    j = t.join(n, F.col(f"t.{key}") == F.col(f"n.{key}"), "full_outer")
-    cols = [F.coalesce(F.col(f"n.{key}"), F.col(f"t.{key}")).alias(key)]
-    for c in target.columns:
-        if c == key:
-            continue
-        if c in keep_if_null:
-            cols.append(F.coalesce(F.col(f"n.{c}"), F.col(f"t.{c}")).alias(c))
-        elif c in replace:
-            cols.append(F.when(F.col(f"n.{key}").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"t.{c}")).alias(c))
-        else:
-            cols.append(F.col(f"t.{c}").alias(c))
-    return j.select(*cols)
-
-
-def fill_label(target: DataFrame, batch: DataFrame, key: str = "transaction_id",
-               label: str = "is_fraud_label") -> DataFrame:
-    """Only the label is touched: ``coalesce(new, old)``."""
-    b = batch.select(key, F.col(label).alias("_new")).groupBy(key).agg(F.max("_new").alias("_new"))
-    return (target.join(b, key, "left").withColumn(label, F.coalesce("_new", label)).drop("_new"))
-
-
-def insert_absent(target: DataFrame, batch: DataFrame, key: str = "transaction_id") -> DataFrame:
-    """Insert rows whose key is not present yet (first copy of duplicates in the batch)."""
-    fresh = batch.dropDuplicates([key]).join(target.select(key), key, "left_anti")
+    """A10: ``replace`` fields take the batch's last value, ``keep_if_null`` fields its last non-null one where there is
+    one; new keys are inserted with all their columns."""
+    return merge(target, batch, key, [order], replace, keep_if_null)
+
+
+def fill_label(target: DataFrame, batch: DataFrame, key: str = "transaction_id", label: str = "is_fraud_label",
+               order: str | None = None, insert: bool = False) -> DataFrame:
+    """Only the label is touched, by the latest one that is known; ``insert`` adds keys that are new."""
+    return merge(target, batch, key, [order] if order else [], fill=[label], insert=insert)
+
+
+def insert_absent(target: DataFrame, batch: DataFrame, key: str = "transaction_id", order: str | None = None) -> DataFrame:
+    """Insert rows whose key is not present yet (the first copy in ``order``, ties by the whole row)."""
+    fresh = fold(batch.select(*target.columns), key, [order] if order else []).join(target.select(key), key, "left_anti")
     return target.unionByName(fresh.select(*target.columns))
 
 
-def backfill(target: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
-    """Copy a label onto rows by id, keeping an existing value."""
-    lab = labels.select(key, F.col(label).alias("_l")).dropDuplicates([key])
-    return target.join(lab, key, "left").withColumn(label, F.coalesce(F.col(label), F.col("_l"))).drop("_l")
+def backfill(target: DataFrame, labels: DataFrame, key: str, label: str, order: str | None = None) -> DataFrame:
+    """The latest known label of an id replaces the one that its row has; ids without a row are ignored."""
+    return merge(target, labels, key, [order] if order else [], fill=[label], insert=False)
+
+
+def upsert_embedding(target: DataFrame, batch: DataFrame, key: str = "transaction_id", order: str = "created_at") -> DataFrame:
+    """L2: ``batch(key, embedding, is_fraud_label, decision, order)``: the first vector of an id stays, its label is the
+    last row's known label, else whether that row was blocked."""
+    truth = F.coalesce("is_fraud_label", F.col("decision") == "BLOCK")
+    return merge(target, batch.select(key, "embedding", truth.alias("is_fraud"), order), key, [order], replace=["is_fraud"])
