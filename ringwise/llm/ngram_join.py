@@ -11,6 +11,12 @@ tile.  A document takes the keys of its own band and of the lower bands a linked
 rare case that so many parts of both are empty that the counting would not hold, empty parts are keys as well.  No
 link is lost; random neighbours do not meet, because a key needs many equal shingles, not one.
 
+*Rare keys first.*  Linked documents have all but ``D`` of their non-empty parts in common.  With the keys of a band in
+one order, rarest first, each of the two therefore holds their first common key among its ``D + 1`` first ones, so a
+document enters only those tiles; keys that only it has come first and need no tile at all.  Bands deal more parts than
+counting needs, so what many documents share (a passage) is what is left out.  Sets with too few non-empty parts for the
+counting enter all tiles.
+
 *Signatures.*  Each set is also hashed into a bitmap.  A bit of A that B lacks stands for a shingle of A that B lacks,
 so ``|A and B| <= |A| - bits(A & ~B)``, and the same for B; pairs whose bound is too low are dropped before their texts
 are fetched.  What remains is decided by intersecting the two sorted shingle arrays.
@@ -27,9 +33,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringwise.llm.arrow import chunks, mix, word_hashes
@@ -44,6 +49,8 @@ FILTER_BITS = 1 << 23
 BLOCK = 512
 #: A band's largest size over its smallest.
 BAND = 1.5
+#: Parts dealt beyond the D + 2 that counting needs, as a share of D: so many frequent keys a document can leave out.
+SPARE = 0.5
 _U = np.uint64
 _ODD = mix(np.arange(1, 9, dtype=np.uint64)) | _U(1)
 
@@ -86,7 +93,7 @@ def tile_keys(s: np.ndarray, threshold: int, tops: np.ndarray, differ: np.ndarra
         d = int(differ[band])
         if d == 0:
             continue  # only equal sets link
-        parts = d + 2 + d // 16
+        parts = d + 2 + int(d * SPARE)
         part = (s % _U(parts)).astype(np.int64)
         g = mix(s + _U(band))
         if n < 1 << 20:  # sums of 32-bit halves are exact in doubles
@@ -97,7 +104,7 @@ def tile_keys(s: np.ndarray, threshold: int, tops: np.ndarray, differ: np.ndarra
             np.add.at(lo, part, g & _U(0xFFFFFFFF))
             np.add.at(hi, part, g >> _U(32))
         full = np.bincount(part, minlength=parts) > 0
-        keys = mix(lo + hi * _ODD[4] + np.arange(1, parts + 1, dtype=np.uint64) * _ODD[5] + _U(band + 1) * _ODD[6])
+        keys = mix(lo + hi * _ODD[4] + np.arange(1, parts + 1, dtype=np.uint64) * _ODD[5] + np.array([band + 1], np.uint64) * _ODD[6:7])
         keys = keys >> _U(6) | _U(band) << _U(58)
         count = int(full.sum())
         out.append(keys[full] if count > d else keys)
@@ -202,12 +209,10 @@ def exact(pairs: DataFrame, texts: DataFrame, n: int, threshold: int) -> DataFra
 
 
 def _tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
-    """``rows(tile, i, j, block, node, component, n_shingles, bits, band, keys, full)`` -> pairs (a, b) of two components
-    that may link.
+    """``rows(tile, i, j, block, node, component, n_shingles, bits, band)`` -> pairs (a, b) of two components that may link.
 
-    Rows come sorted by (tile, i, j); each such run holds two blocks at most (one if i = j).  A pair counts in the tiles
-    of its smaller set's band.  There at most D(smaller size) parts differ, so all other non-empty parts of either set are
-    keys of both: a pair that has fewer keys in common cannot link.  Sizes and bitmaps must not rule it out either.
+    Rows come sorted by (tile, i, j); each such run holds two blocks at most (one if i = j).  A pair is looked at in the
+    tiles of its smaller set's band; sizes and bitmaps must not rule it out.
     """
     tops, _ = bands(threshold)
 
@@ -218,25 +223,20 @@ def _tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
             size = t.column("n_shingles").to_numpy()
             bits = _words64(t.column("bits").combine_chunks())
             block = t.column("block").to_numpy()
-            full = t.column("full").to_numpy().astype(np.int64)
-            i, j, band, shared = (t.column(c)[0].as_py() for c in ("i", "j", "band", "keys"))
+            i, j, band = (t.column(c)[0].as_py() for c in ("i", "j", "band"))
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
             for a in range(0, len(left), 64):
                 own = left[a:a + 64]
                 inter = bound(bits[own, None], bits[None, right], size[own, None], size[None, right])
                 ok = links(inter, size[own, None], size[None, right], threshold)
                 ok &= comp[own, None] != comp[None, right]
-                smaller = np.minimum(size[own, None], size[None, right])
-                ok &= np.searchsorted(tops, smaller) == band
+                ok &= np.searchsorted(tops, np.minimum(size[own, None], size[None, right])) == band
                 if i == j:
                     ok &= node[own, None] < node[None, right]
                 x, y = np.nonzero(ok)
                 if len(x):
                     u, v = node[own[x]], node[right[y]]
-                    need = np.maximum(full[own[x]], full[right[y]]) - smaller[x, y] * (100 - threshold) // threshold
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(need),
-                         pa.array(np.full(len(u), shared, np.int64))], names=["a", "b", "need", "keys"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
 
         held: list[pa.Table] = []
         last = None
@@ -255,31 +255,22 @@ def _tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
         if held:
             yield from meet(pa.concat_tables(held))
 
-    met = rows.select("tile", "i", "j", "block", "node", "component", "n_shingles", "bits", "band", "keys", "full") \
-        .repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j") \
-        .mapInArrow(run, "a long, b long, need long, keys long")
-    return (met.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("keys").alias("keys"))
-            .where("keys >= need").select("a", "b"))
+    return (rows.select("tile", "i", "j", "block", "node", "component", "n_shingles", "bits", "band")
+            .repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+            .mapInArrow(run, "a long, b long").distinct())
 
 
-def may_hold(ids: DataFrame) -> Column:
-    """Filter on ``doc_id`` that is true for all of ``ids(doc_id)`` and false for most others: a hashed bitmap.
+def may_hold(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: true where ``ids(doc_id)`` holds their doc_id, false for most others.
 
-    The bitmap has FILTER_BITS bits whatever the number of ids (that is all that is collected and sent); with very many
-    ids it lets more rows pass, and the exact join behind it takes longer.
+    A hashed bitmap of FILTER_BITS bits whatever the number of ids, sent to every task as a table of 63-bit words (2 MB at
+    most); with very many ids more rows pass, and the exact join behind it takes longer.
     """
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = (ids.select(bit.alias("b")).selectExpr("b div 63 as w", "shiftleft(1L, cast(b % 63 as int)) as v")
-             .groupBy("w").agg(F.bit_or("v").alias("v")).toArrow())
-    table = np.zeros(FILTER_BITS // 63 + 1, np.int64)
-    table[words.column("w").to_numpy()] = words.column("v").to_numpy()
-
-    @F.pandas_udf("boolean")
-    def maybe(b: pd.Series) -> pd.Series:
-        word, at = np.divmod(b.fillna(0).to_numpy(np.int64), 63)
-        return pd.Series((table[word] >> at & 1).astype(bool))
-
-    return maybe(bit)
+    words = stored(ids.select(bit.alias("b")).selectExpr("b div 63 as _w", "shiftleft(1L, cast(b % 63 as int)) as v")
+                   .groupBy("_w").agg(F.bit_or("v").alias("_v")))
+    return (rows.withColumn("_b", bit).withColumn("_w", F.expr("_b div 63")).join(F.broadcast(words), "_w", "left")
+            .withColumn("maybe", F.expr("coalesce(getbit(_v, cast(_b % 63 as int)) = 1, false)")).drop("_b", "_w", "_v"))
 
 
 def near_groups(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFrame:
@@ -293,24 +284,38 @@ def near_groups(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFrame:
     sig = stored(signatures(docs, n, threshold))
     nodes = sig.where("n_shingles > 0 and doc_id is not null")
 
+    tops, differ = bands(threshold)
     # equal sets: one node, the smallest id
     same = (nodes.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("c"))
             .where("c > 1").drop("c"))
     copies = stored(nodes.select("doc_id", "n_shingles", "d1", "d2").join(same, ["n_shingles", "d1", "d2"])
                     .where("doc_id <> node").select("doc_id", "node").distinct())
 
-    # tiles with two documents or more; tiles of a band with the same members are one, with so many keys
-    keyed = nodes.select("doc_id", F.explode("keys").alias("key"))
+    # tiles with two documents or more, copies aside
+    known = copies.select("doc_id").distinct()
+    marked = may_hold(nodes, known)
+    nodes = (marked.where("not maybe").unionByName(marked.where("maybe").join(known, "doc_id", "left_anti"))
+             .drop("maybe"))
     over = "over (partition by key)"
-    shared = (keyed.selectExpr("doc_id as node", "cast(shiftrightunsigned(key, 58) as int) as band", f"count(1) {over} as c", f"min(doc_id) {over} as leader",
-                               f"bit_xor(xxhash64(doc_id)) {over} as members")
-              .where("c > 1").groupBy("node", "leader", "c", "members", "band").agg(F.count(F.lit(1)).alias("keys"))
-              .join(copies.select(F.col("doc_id").alias("node")), "node", "left_anti")
-              .select("node", "leader", F.xxhash64("leader", "c", "members", "band").alias("tile"), "band", "keys"))
-    shared = stored(shared)
+    keyed = (nodes.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
+             .selectExpr("node", "key", f"count(1) {over} as c", f"min(node) {over} as leader",
+                         f"bit_xor(xxhash64(node)) {over} as members").where("c > 1")
+             .withColumn("band", F.shiftrightunsigned("key", 58).cast("int")))
+    # of a band's keys the rarest D + 1, those that no other document has being the first
+    most = F.array(*[F.lit(int(d)) for d in differ])
+    held = (nodes.select(F.col("doc_id").alias("node"), "n_shingles", F.explode(F.arrays_zip("bands", "fulls")).alias("b"))
+            .select("node", F.col("b.bands").alias("band"), F.col("b.fulls").alias("full"),
+                    F.least(F.expr(f"n_shingles * {100 - threshold} div {threshold}"), most[F.col("b.bands")]).alias("differ")))
+    mine = "over (partition by node, band"
+    rare = (keyed.join(held, ["node", "band"])
+            .selectExpr("*", f"row_number() {mine} order by c, key) as nth", f"count(1) {mine}) as common")
+            .where("full <= differ or nth <= differ + 1 - (full - common)"))
+    # tiles of a band with the same members are one
+    shared = stored(rare.groupBy("node", "leader", "c", "members", "band").agg(F.count(F.lit(1)).alias("keys"))
+                    .select("node", "leader", F.xxhash64("leader", "c", "members", "band").alias("tile"), "band", "keys"))
 
     meet = shared.select(F.col("node").alias("doc_id")).distinct()
-    texts = stored(docs.where(may_hold(meet)).join(meet, "doc_id", "left_semi"))
+    texts = stored(may_hold(docs, meet).where("maybe").drop("maybe").join(meet, "doc_id", "left_semi"))
 
     star = (shared.where("node <> leader").groupBy("node").agg(F.min("leader").alias("leader"))
             .select(F.col("leader").alias("a"), F.col("node").alias("b")))
@@ -318,7 +323,7 @@ def near_groups(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFrame:
     comp = connected_components(first.toDF("u", "v"))
 
     # tiles that still hold two components
-    labelled = (shared.select("node", "tile", "band", "keys").join(comp, "node", "left")
+    labelled = (shared.select("node", "tile", "band").join(comp, "node", "left")
                 .withColumn("component", F.coalesce("component", "node")))
     mixed = (labelled.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                           F.count(F.lit(1)).alias("c"))
@@ -327,8 +332,7 @@ def near_groups(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFrame:
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k"))
-            .join(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "bits", "bands", "fulls"), "node")
-            .withColumn("full", F.expr("fulls[cast(array_position(bands, band) as int) - 1]")))
+            .join(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "bits"), "node"))
     rest = stored(_tile_pairs(rows, threshold))
     second = exact(rest, texts, n, threshold)
 
