@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from ringwise.llm.arrow import chunks
 from ringwise.session import stored
 
-#: Words whose ids a worker keeps in each of two generations.
-CACHE_WORDS = 300_000
+#: Words, and as many words without their punctuation, whose ids a worker keeps in each of two generations.
+CACHE_WORDS = 200_000
 
 
 def fill(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
@@ -155,6 +155,11 @@ class Encoder:
             return self._whole(word.decode())
         return self.cores[m[1]] + (self.words[m[2]] if m[2] else b"")
 
+    def forget(self) -> None:
+        for kept in (self.words, self.cores):
+            kept.clear()
+            kept.old = {}
+
     def encode(self, text: bytes) -> bytes:
         if b"<|" in text:
             return self._whole(text.decode("utf-8", "replace"))
@@ -162,7 +167,7 @@ class Encoder:
 
 
 def encoder_of(tokenizer_json: str) -> Encoder:
-    """The worker's encoder: kept from task to task with its caches, as workers are reused."""
+    """The worker's encoder, kept from task to task; a task forgets its words when it ends, as idle workers add up."""
     held = sys.modules.setdefault("_ringwise_encoders", types.ModuleType("_ringwise_encoders")).__dict__
     key = str(zlib.crc32(tokenizer_json.encode())) + str(len(tokenizer_json))
     if key not in held:
@@ -202,6 +207,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
                                                  names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "full",
                                                         "file", "rank"])
+        encoder.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
