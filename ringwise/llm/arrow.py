@@ -6,6 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: Rows of an Arrow batch of whole texts: both sides of the pipe hold one, so it has to stay small for long texts.
+BATCH_ROWS = 1000
 
 #: Bytes of text that one numpy step looks at; a longer single text is one step of its own.
 CHUNK_BYTES = 1 << 20
@@ -17,6 +21,13 @@ _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 _U = np.uint64
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of the session's Arrow batches by BATCH_ROWS; a smaller bound stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (wrapping arithmetic)."""
     x = x.astype(np.uint64, copy=True)
