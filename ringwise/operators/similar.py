@@ -69,14 +69,21 @@ def sign_index(emb: DataFrame, id_col: str = "vec_id", col: str = "embedding", d
 
     def sign(batches):
         for b in batches:
-            x = b.column("unit").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dims)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((x @ planes > 0) @ weights, pa.int64())],
+            flat = b.column(col).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            x = np.where(np.isfinite(flat), flat, 0.0).reshape(b.num_rows, dims)  # L1, a batch at a time
+            size = np.sqrt((x ** 2).sum(axis=1, keepdims=True))
+            x = np.divide(x, size, out=x, where=size > 0)
+            units = pa.ListArray.from_arrays(np.arange(0, x.size + 1, dims, dtype=np.int32), x.reshape(-1))
+            yield pa.RecordBatch.from_arrays([b.column("id"), units, pa.array((x @ planes > 0) @ weights, pa.int64())],
                                              names=["id", "unit", "sig"])
-    units = unit_vector(emb.where(F.size(col) == dims).select(F.col(id_col).alias("id"), col), col, "unit")
-    signed = stored(units.select("id", "unit").mapInArrow(sign, f"id {id_type}, unit array<double>, sig long"))
+    signed = stored(emb.where(F.size(col) == dims).select(F.col(id_col).alias("id"), col)
+                    .mapInArrow(sign, f"id {id_type}, unit array<double>, sig long"))
     n = signed.count()
     blocks = max(1, min(MOST_BLOCKS, -(-n // block_rows)))
-    return stored(signed.repartitionByRange(blocks, "sig", "id").select("id", "unit", F.spark_partition_id().alias("block")))
+    dealt = stored(signed.repartitionByRange(blocks, "sig", "id").select("id", "unit", F.spark_partition_id().alias("part")))
+    # a session may deal into more partitions than asked for: neighbouring ones are one block
+    parts = (dealt.agg(F.max("part")).first()[0] or 0) + 1
+    return dealt.select("id", "unit", F.expr(f"cast(part * {blocks}L div {max(parts, blocks)} as int)").alias("block"))
 
 
 def _matrix(table, name: str = "unit") -> np.ndarray:
