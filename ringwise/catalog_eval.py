@@ -132,6 +132,19 @@ def q_i4(spark, sf):
     return ev.curve(lab(spark, sf))
 
 
+@register("i4_pr_area", with_base(f"""
+SELECT round(sum((recall - r0) * (precision + p0) / 2), 9) AS pr_area, count(*) AS points FROM (
+  SELECT precision, recall, coalesce(lag(recall) OVER (ORDER BY threshold DESC), 0.0) AS r0,
+    coalesce(lag(precision) OVER (ORDER BY threshold DESC), 1.0) AS p0
+  FROM (SELECT threshold, CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) AS precision,
+          coalesce(CAST(tp AS DOUBLE) / nullif(CAST(P AS DOUBLE), 0), 0.0) AS recall
+        FROM (SELECT threshold, sum(pos) OVER (ORDER BY threshold DESC) AS tp, sum(neg) OVER (ORDER BY threshold DESC) AS fp,
+          sum(pos) OVER () AS P FROM (SELECT p AS threshold, sum(y) AS pos, sum(1 - y) AS neg FROM lab GROUP BY p) a) b) c) d
+""", lab=LAB))
+def q_i4_area(spark, sf):
+    return ev.pr_area(ev.curve(lab(spark, sf)))
+
+
 @register("i5_best_threshold", with_base(f"""
 SELECT threshold, precision, recall, f1, meets_floors FROM (
   SELECT threshold, precision, recall, 2*precision*recall / (precision + recall + {D('1e-12')}) AS f1,
@@ -246,8 +259,7 @@ def q_i12(spark, sf):
     return ev.histogram(lab(spark, sf))
 
 
-@register("i13_compare", with_base(f"""
-SELECT model, tp, fp, fn, tn, precision, recall, f1, accuracy, false_positive_rate, auc FROM (
+I13_SQL = f"""
   SELECT m.model, tp, fp, fn, tn, prec AS precision, rec AS recall,
     coalesce(CASE WHEN prec + rec <> 0 THEN 2*prec*rec / (prec + rec) END, 0.0) AS f1,
     coalesce(CAST(tp + tn AS DOUBLE) / nullif(CAST(tp+fp+fn+tn AS DOUBLE), 0), 0.0) AS accuracy,
@@ -262,10 +274,17 @@ SELECT model, tp, fp, fn, tn, precision, recall, f1, accuracy, false_positive_ra
         FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY s
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below
               FROM (SELECT model, s, sum(y) AS pos, sum(1 - y) AS neg FROM two GROUP BY model, s) q) r
-        GROUP BY model) a ON a.model = m.model) z""",
+        GROUP BY model) a ON a.model = m.model"""
+
+
+@register("i13_compare", with_base("""
+SELECT * FROM both_models UNION ALL
+SELECT 'difference', b.tp - a.tp, b.fp - a.fp, b.fn - a.fn, b.tn - a.tn, b.precision - a.precision, b.recall - a.recall,
+  b.f1 - a.f1, b.accuracy - a.accuracy, b.false_positive_rate - a.false_positive_rate, b.auc - a.auc
+FROM both_models a, both_models b WHERE a.model = 'p' AND b.model = 'p2'""",
     two=f"""
   SELECT 'p' AS model, isFraud AS y, fraud_probability AS s FROM transactions UNION ALL
-  SELECT 'p2', isFraud, least({D(1)}, fraud_probability + {D(0.05)} * isFraud) FROM transactions"""))
+  SELECT 'p2', isFraud, least({D(1)}, fraud_probability + {D(0.05)} * isFraud) FROM transactions""", both_models=I13_SQL))
 def q_i13(spark, sf):
     t = txn(spark, sf).select(F.col("isFraud").alias("y"), F.col("fraud_probability").alias("p"),
                               F.least(F.lit(1.0), F.col("fraud_probability") + 0.05 * F.col("isFraud")).alias("p2"))

@@ -5,8 +5,9 @@ is bucketed once (``b`` with ``b/100 <= p < (b+1)/100``, compared as doubles
 exactly like ``p >= i/100``), counts and cents are aggregated per
 ``(group, b)`` with partial aggregation, and a suffix sum over at most 101
 buckets per group gives the confusion counts at every grid threshold.
-AUC and curves group by distinct score first (4-decimal scores: at most
-10,001 groups) before their cumulative windows.
+AUC and curves group by distinct score first; their cumulative counts are
+running totals over range partitions (``plans.running``), so raw scores of
+any number of digits never meet in one task.
 
 Money is summed in integer cents so every engine gets identical totals.
 
@@ -24,6 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringwise.functions.num import cents, ratio_round, safe_div
+from ringwise.functions.params import scalar_row
+from ringwise.plans.quantile import exact_quantiles
+from ringwise.plans.running import running_totals
 
 FRAUD_MULT, FP_MULT, COST_FLAG, FLAG_RATE = 4.60, 1.63, 16.33, 0.014
 COST_FN, COST_FP = 2000, 50
@@ -31,11 +35,15 @@ CUTOFFS = (10, 20, 30, 40, 50, 60, 70, 80, 90, 95)
 
 
 def bucket(p) -> Column:
-    """Grid bucket of a score: largest ``b`` in [0, 100] with ``p >= b/100`` (p below 0 -> -1)."""
+    """Grid bucket of a score: largest ``b`` in [0, 100] with ``p >= b/100``.
+
+    A score below 0, a null or a NaN reaches no threshold of the grid: bucket -1.
+    """
     p = F.col(p) if isinstance(p, str) else p
+    p = F.when(p.isNull() | F.isnan(p) | (p < 0), F.lit(-1.0)).otherwise(F.least(p, F.lit(1.0)))
     b0 = F.floor(p * 100).cast("long")
     b = (F.when(p < b0 / 100.0, b0 - 1).when(p >= (b0 + 1) / 100.0, b0 + 1).otherwise(b0))
-    return F.least(b, F.lit(100))
+    return F.greatest(F.least(b, F.lit(100)), F.lit(-1))
 
 
 def labelled(pred: DataFrame) -> DataFrame:
@@ -48,7 +56,10 @@ def labelled(pred: DataFrame) -> DataFrame:
 
 def threshold_table(df: DataFrame, by: list[str] | None = None, p: str = "p", y: str = "y",
                     amt: str = "amt_cents") -> DataFrame:
-    """Confusion counts and cents at every grid threshold ``i/100``, i = 0..100, per group."""
+    """Confusion counts and cents at every grid threshold ``i/100``, i = 0..100, per group.
+
+    Every row counts at every threshold: those without a score, or with one below 0, are never flagged (fn or tn).
+    """
     by = list(by or [])
     keys = by or ["_all"]
     d = df if by else df.withColumn("_all", F.lit(0))
@@ -58,7 +69,7 @@ def threshold_table(df: DataFrame, by: list[str] | None = None, p: str = "p", y:
                   F.sum(F.when(F.col(y) == 0, F.col(amt)).otherwise(0)).cast("long").alias("cneg")))
     # both branches below read the same aggregate, so its exchange is reused: the input is scanned once
     grid = per_b.select(*keys).distinct().select(
-        *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(100).cast("long"))).alias("i"))
+        *keys, F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(100).cast("long"))).alias("i"))
     j = grid.join(per_b, keys + ["i"], "left").na.fill(0, ["pos", "neg", "cpos", "cneg"])
     whole = Window.partitionBy(*keys)
     w = Window.partitionBy(*keys).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
@@ -68,7 +79,7 @@ def threshold_table(df: DataFrame, by: list[str] | None = None, p: str = "p", y:
                    F.sum("cpos").over(whole).alias("CP"), F.sum("cneg").over(whole).alias("CN"))
     out = out.select(*keys, "i", "tp", "fp", (F.col("P") - F.col("tp")).alias("fn"),
                      (F.col("N") - F.col("fp")).alias("tn"), "tp_cents", "fp_cents",
-                     (F.col("CP") - F.col("tp_cents")).alias("fn_cents"))
+                     (F.col("CP") - F.col("tp_cents")).alias("fn_cents")).where(F.col("i") >= 0)
     return out if by else out.drop("_all")
 
 
@@ -99,43 +110,54 @@ def metrics(conf: DataFrame) -> DataFrame:
                        F.coalesce(safe_div(fp, fp + tn), F.lit(0.0)).alias("false_positive_rate"))
 
 
+def score_counts(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None) -> DataFrame:
+    """``(by, s, pos, neg)``: positives and negatives per distinct score, aggregated before any shuffle."""
+    return df.groupBy(*(by or []), F.col(p).alias("s")).agg(F.sum(y).cast("long").alias("pos"),
+                                                           F.sum(1 - F.col(y)).cast("long").alias("neg"))
+
+
 def auc(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None) -> DataFrame:
     """ROC AUC with ties counted half; null when a group has one class only."""
+    return auc_of_counts(score_counts(df, y, p, by), by)
+
+
+def auc_of_counts(per_s: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """I3 from ``score_counts``: negatives below each score by running totals, pair counts as decimals of 38 digits."""
     by = list(by or [])
-    keys = by or ["_all"]
-    d = df if by else df.withColumn("_all", F.lit(0))
-    per_s = d.groupBy(*keys, F.col(p).alias("s")).agg(F.sum(y).cast("long").alias("pos"),
-                                                      F.sum(1 - F.col(y)).cast("long").alias("neg"))
-    w = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    cum = per_s.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    out = cum.groupBy(*keys).agg(
-        F.sum(F.col("pos") * F.col("neg_below") * 2 + F.col("pos") * F.col("neg")).alias("twice_num"),
-        F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    res = out.select(*keys, F.when((F.col("P") > 0) & (F.col("N") > 0),
-                                   F.col("twice_num") / (2.0 * F.col("P") * F.col("N"))).alias("auc"),
-                     F.col("P").alias("positives"), F.col("N").alias("negatives"))
-    return res if by else res.drop("_all")
+    cum = running_totals(per_s, by, "s", ["neg"])
+    pos, neg = F.col("pos").cast("decimal(19,0)"), F.col("neg").cast("decimal(19,0)")
+    pairs = (pos * (F.col("before_neg").cast("decimal(19,0)") * F.lit(2).cast("decimal(1,0)") + neg).cast("decimal(19,0)"))
+    out = cum.groupBy(*by).agg(F.sum(pairs.cast("decimal(28,0)")).alias("twice"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return out.select(*by, F.when((F.col("P") > 0) & (F.col("N") > 0),
+                                  F.col("twice").cast("double") / (2.0 * F.col("P") * F.col("N"))).alias("auc"),
+                      F.col("P").alias("positives"), F.col("N").alias("negatives"))
 
 
 def curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """I4: one ROC / precision-recall point per distinct score (threshold = score), with PR area pieces."""
-    per_s = df.groupBy(F.col(p).alias("threshold")).agg(F.sum(y).cast("long").alias("pos"),
-                                                        F.sum(1 - F.col(y)).cast("long").alias("neg"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy(F.lit(1))
-    c = per_s.select("threshold", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"),
-                     F.sum("pos").over(tot.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-                     .alias("P"),
-                     F.sum("neg").over(tot.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-                     .alias("N"))
-    c = c.select("threshold", "tp", "fp", F.coalesce(safe_div("tp", "P"), F.lit(0.0)).alias("tpr"),
-                 F.coalesce(safe_div("fp", "N"), F.lit(0.0)).alias("fpr"),
-                 safe_div("tp", F.col("tp") + F.col("fp")).alias("precision"),
-                 F.coalesce(safe_div("tp", "P"), F.lit(0.0)).alias("recall"))
-    o = Window.orderBy(F.desc("threshold"))
-    prev_r = F.coalesce(F.lag("recall").over(o), F.lit(0.0))
-    prev_p = F.coalesce(F.lag("precision").over(o), F.lit(1.0))
-    return c.withColumn("pr_area_piece", (F.col("recall") - prev_r) * (F.col("precision") + prev_p) / 2)
+    """I4: one ROC / precision-recall point per distinct score (threshold = score), with PR area pieces.
+
+    Counts above a score come from running totals over range partitions; the point before it follows from the same
+    counts without the score's own rows, so no window runs over the curve.
+    """
+    per_s = score_counts(df, y, p)
+    cum = running_totals(per_s, [], "s", ["pos", "neg"], descending=True)
+    total = scalar_row(per_s.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")))
+    c = cum.select(F.col("s").alias("threshold"), F.col("before_pos").cast("long").alias("_tp0"),
+                   F.col("before_neg").cast("long").alias("_fp0"), "pos", "neg", total.alias("_all")).select(
+        "threshold", "_tp0", "_fp0", (F.col("_tp0") + F.col("pos")).alias("tp"), (F.col("_fp0") + F.col("neg")).alias("fp"),
+        F.col("_all.P").alias("_p"), F.col("_all.N").alias("_n"))
+    tpr = F.coalesce(safe_div("tp", "_p"), F.lit(0.0))
+    precision = safe_div("tp", F.col("tp") + F.col("fp"))
+    recall0 = F.coalesce(safe_div("_tp0", "_p"), F.lit(0.0))
+    precision0 = F.coalesce(safe_div("_tp0", F.col("_tp0") + F.col("_fp0")), F.lit(1.0))
+    return c.select("threshold", "tp", "fp", tpr.alias("tpr"), F.coalesce(safe_div("fp", "_n"), F.lit(0.0)).alias("fpr"),
+                    precision.alias("precision"), tpr.alias("recall"),
+                    ((tpr - recall0) * (precision + precision0) / 2).alias("pr_area_piece"))
+
+
+def pr_area(points: DataFrame) -> DataFrame:
+    """I4: area under the precision-recall curve (trapezoids) and the number of its points."""
+    return points.agg(F.round(F.sum("pr_area_piece"), 9).alias("pr_area"), F.count(F.lit(1)).alias("points"))
 
 
 def best_threshold(pts: DataFrame, precision_min: float = 0.70, recall_min: float = 0.75) -> DataFrame:
@@ -267,15 +289,21 @@ def histogram(lab: DataFrame) -> DataFrame:
                     "total", "fraud", (F.col("total") - F.col("fraud")).alias("legit")))
 
 
-def compare(df: DataFrame, a: str, b: str, y: str = "y", threshold: float = 0.5) -> DataFrame:
-    """Confusion, metrics and AUC for two score columns side by side, plus the difference."""
-    rows = []
-    for name in (a, b):
-        d = df.select(F.col(y).alias("y"), F.col(name).alias("p"))
-        conf = metrics(confusion(d.withColumn("yhat", (F.col("p") >= threshold).cast("int"))))
-        rows.append(conf.withColumn("model", F.lit(name))
-                    .join(auc(d).select("auc").withColumn("model", F.lit(name)), "model"))
-    return rows[0].unionByName(rows[1])
+def compare(df: DataFrame, a: str, b: str, y: str = "y", threshold=0.5) -> DataFrame:
+    """Confusion, metrics and AUC for two score columns side by side, and a row ``difference`` (second less first).
+
+    ``threshold`` is a number or a Column, such as the threshold of each row's segment.
+    """
+    cut = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    both = df.select(F.col(y).alias("y"), cut.alias("_cut"), F.explode(F.array(*[
+        F.struct(F.lit(name).alias("model"), F.col(name).cast("double").alias("p")) for name in (a, b)])).alias("_m")
+    ).select("y", "_cut", "_m.model", "_m.p")
+    conf = metrics(confusion(both.withColumn("yhat", (F.col("p") >= F.col("_cut")).cast("int")), by=["model"]))
+    rows = conf.join(auc(both, by=["model"]).select("model", "auc"), "model")
+    figures = [c for c in rows.columns if c != "model"]
+    change = rows.agg(F.lit("difference").alias("model"), *[
+        (F.max(F.when(F.col("model") == b, F.col(c))) - F.max(F.when(F.col("model") == a, F.col(c)))).alias(c) for c in figures])
+    return rows.unionByName(change)
 
 
 def segment_metrics(df: DataFrame, seg: str = "customer_segment") -> DataFrame:
@@ -311,10 +339,8 @@ def money(ev: DataFrame, per_prediction: float = 0.002) -> DataFrame:
 def latency_profile(df: DataFrame, col: str = "latency_ms", by: list[str] | None = None) -> DataFrame:
     """Mean, p50/p95/p99 (exact, linear), max and count of a latency column.
 
-    Without groups the quantiles come from the distributed exact sort (``plans.quantile``)."""
+    Without groups the quantiles come from rank bracketing (``plans.quantile``)."""
     if not by:
-        from ringwise.functions.params import scalar_row
-        from ringwise.plans.quantile import exact_quantiles
         qs = scalar_row(exact_quantiles(df, col, [0.5, 0.95, 0.99]))
         return df.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(col), 9).alias("mean_ms"),
                       F.max(col).alias("max_ms")).select(

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringwise.functions.params import scalar_row
-from ringwise.plans.quantile import exact_quantiles
+from ringwise.plans.quantile import quantiles_of
+from ringwise.session import stored
 
 EPS = "0.000001"
 _U = "log1p(coalesce(uid_count, 0))"
@@ -115,12 +116,11 @@ def upstream(txn: DataFrame) -> DataFrame:
 
 def fit_params(df: DataFrame) -> DataFrame:
     """Global fraud rate, 0.75 quantile of the relative amount, 0.25 quantile of D15 (one row)."""
-    # exact quantiles by a distributed sort (no single buffer of all distinct values)
-    rel = exact_quantiles(df, "uid_Amt_Relative_Check", [0.75])
-    d15 = exact_quantiles(df, "D15", [0.25])
+    # the three columns are written once: the upstream plan has joins, and the quantiles read it three times
+    df = stored(df.select("isFraud", "uid_Amt_Relative_Check", "D15"))
+    cuts = scalar_row(quantiles_of(df, [("uid_Amt_Relative_Check", 0.75), ("D15", 0.25)]))
     return df.agg(F.avg("isFraud").alias("global_fraud_rate")).select(
-        "global_fraud_rate", scalar_row(rel)["q0"].alias("relative_amt_high_cut"),
-        scalar_row(d15)["q0"].alias("d15_recent_low_cut"))
+        "global_fraud_rate", cuts["q0"].alias("relative_amt_high_cut"), cuts["q1"].alias("d15_recent_low_cut"))
 
 
 def _apply(df: DataFrame, formulas: dict, keep=("TransactionID",)) -> DataFrame:

@@ -32,7 +32,7 @@ def _score(d1, d15, p=None):
 def fit_segments(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row ``d1_min d1_max d15_min d15_max regular_cut vip_cut``.
 
-    Exact quantiles (linear interpolation) come from a distributed sort
+    Exact quantiles (linear interpolation) come from rank bracketing
     (``plans.quantile``); ``approx=True`` switches to ``percentile_approx``.
     """
     base = df.select(_null_nan("D1").alias("D1"), _null_nan("D15").alias("D15"))
@@ -42,7 +42,6 @@ def fit_segments(df: DataFrame, approx: bool = False) -> DataFrame:
     if approx:
         q = scored.agg(F.percentile_approx("s", [REGULAR_Q, VIP_Q], 100000).alias("q"))
     else:
-        # exact quantiles by a distributed sort (no single buffer of all distinct scores)
         q = exact_quantiles(scored, "s", [REGULAR_Q, VIP_Q]).select(F.array("q0", "q1").alias("q"))
     qs = scalar_row(q)
     return mm.select("d1_min", "d1_max", "d15_min", "d15_max",
