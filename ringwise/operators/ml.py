@@ -4,21 +4,28 @@ The reference trains a boosted-tree library in one process and explains rows
 with tree SHAP; here training is ``pyspark.ml`` (distributed), the class
 weight is one aggregation, and per-row attributions come from a logistic
 model as ``w * (x - mean)`` - linear, exact and computed in the JVM.
+
+Each category column is hashed into slots of its own, so a column may have
+any number of categories, and every slot belongs to one column: importances
+and attributions of a column are the sums over its slots.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, VectorAssembler
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringwise.functions.params import scalar_row
 
 GRAPH_FEATURES = ("device_fraud_rate", "device_card_velocity", "connected_fraud_cards",
                   "email_fraud_rate", "address_fraud_rate", "graph_risk_score")
+#: Slots that each category column is hashed into.
+SLOTS = 64
 
 
 def class_weight(df: DataFrame, label: str = "isFraud") -> DataFrame:
@@ -29,10 +36,14 @@ def class_weight(df: DataFrame, label: str = "isFraud") -> DataFrame:
 
 
 def train(df: DataFrame, num_cols: list[str], cat_cols: list[str], label: str = "isFraud", model: str = "gbt",
-          max_iter: int = 20, max_depth: int = 4, seed: int = 7):
-    """H1: fit ``Pipeline(StringIndexer, VectorAssembler, classifier)`` with class weights."""
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in cat_cols]
-    vec = VectorAssembler(inputCols=list(num_cols) + [f"{c}_idx" for c in cat_cols], outputCol="features",
+          max_iter: int = 20, max_depth: int = 4, seed: int = 7, slots: int = SLOTS):
+    """H1: fit ``Pipeline(FeatureHasher per category column, VectorAssembler, classifier)`` with class weights.
+
+    The vector holds the numeric columns in order, then ``slots`` entries of each category column (1 at the slot that
+    its value hashes to).  Any number of categories trains; those that share a slot are not told apart.
+    """
+    hashers = [FeatureHasher(inputCols=[c], outputCol=f"{c}_slots", categoricalCols=[c], numFeatures=slots) for c in cat_cols]
+    vec = VectorAssembler(inputCols=list(num_cols) + [f"{c}_slots" for c in cat_cols], outputCol="features",
                           handleInvalid="keep")
     if model == "gbt":
         clf = GBTClassifier(labelCol=label, featuresCol="features", weightCol="weight", maxIter=max_iter,
@@ -40,39 +51,61 @@ def train(df: DataFrame, num_cols: list[str], cat_cols: list[str], label: str =
     else:
         clf = LogisticRegression(labelCol=label, featuresCol="features", weightCol="weight", maxIter=max_iter,
                                  regParam=0.01, standardization=True)
-    return Pipeline(stages=idx + [vec, clf]).fit(class_weight(df, label))
+    return Pipeline(stages=hashers + [vec, clf]).fit(class_weight(df, label))
+
+
+def column_spans(model) -> list[tuple[str, int, int]]:
+    """``(column, first, end)`` of every input column in the feature vector of a fitted pipeline."""
+    slots = {h.getOutputCol(): (h.getInputCols()[0], h.getNumFeatures()) for h in model.stages[:-2]}
+    spans, at = [], 0
+    for c in model.stages[-2].getInputCols():
+        name, width = slots.get(c, (c, 1))
+        spans.append((name, at, at + width))
+        at += width
+    return spans
 
 
 def score(model, df: DataFrame) -> DataFrame:
     """H3: probability of the positive class per row."""
     out = model.transform(df)
-    return out.withColumn("model_probability", vector_to_array("probability")[1]).drop(
-        "features", "rawPrediction", "probability")
+    return out.withColumn("model_probability", vector_to_array("probability")[1]).select(*df.columns, "model_probability")
 
 
-def importances(model, names: list[str], keep=GRAPH_FEATURES) -> DataFrame:
-    """H9: tree feature importances joined to names (the six graph features by default)."""
+def importances(model, keep=GRAPH_FEATURES) -> DataFrame:
+    """H9: tree feature importances per input column (the six graph features by default, all with ``keep=None``)."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    rows = [(n, float(v)) for n, v in zip(names, imp) if not keep or n in keep]
+    imp = model.stages[-1].featureImportances.toArray()
+    rows = [(n, float(imp[lo:hi].sum())) for n, lo, hi in column_spans(model) if not keep or n in keep]
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def attributions(model, df: DataFrame, names: list[str], k: int = 10, id_col: str = "TransactionID") -> DataFrame:
-    """H8: per row the top-``k`` linear attributions ``w_j * (x_j - mean_j)`` by absolute value."""
-    lr = model.stages[-1]
-    w = F.array(*[F.lit(float(x)) for x in lr.coefficients.toArray()])
-    feats = model.transform(df).select(id_col, vector_to_array("features").alias("x"))
-    means = scalar_row(feats.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.avg("v").alias("m"))
-                       .agg(F.sort_array(F.collect_list(F.struct("j", "m"))).alias("ms")))["ms"]
-    contrib = feats.withColumn("_m", means).select(
-        id_col, F.posexplode(F.zip_with("x", "_m", lambda x, m: x - m["m"])).alias("j", "dx"))
-    names_arr = F.array(*[F.lit(n) for n in names])
-    a = contrib.select(id_col, F.element_at(names_arr, F.col("j") + 1).alias("feature"),
-                       (F.element_at(w, F.col("j") + 1) * F.col("dx")).alias("attribution"))
-    win = Window.partitionBy(id_col).orderBy(F.desc(F.abs("attribution")), "feature")
-    return a.withColumn("rank", F.row_number().over(win)).where(F.col("rank") <= k)
+def attributions(model, df: DataFrame, k: int = 10, id_col: str = "TransactionID") -> DataFrame:
+    """H8: per row the top-``k`` linear attributions ``sum of w_j * (x_j - mean_j)`` of a column by absolute value.
+
+    The means are one aggregation; the rest stays inside the row: the attributions of all columns are an array, sorted
+    and cut there (ties by name), so nothing is exploded before the cut and nothing is shuffled.  No rows give no rows.
+    """
+    w = [float(x) for x in model.stages[-1].coefficients.toArray()]
+    feats = model.transform(df).select(id_col, "features")
+    if feats.isEmpty():
+        return df.sparkSession.createDataFrame([], f"{id_col} long, feature string, attribution double, rank int")
+    centre = [float(v) for v in feats.agg(Summarizer.mean(F.col("features")).alias("m")).first()["m"]]  # one number per feature
+    x = F.col("x")
+
+    def attribution(lo: int, hi: int) -> Column:
+        if hi - lo == 1:
+            return w[lo] * (x[lo] - centre[lo])
+        weights = F.array(*[F.lit(v) for v in w[lo:hi]])
+        at_mean = sum(a * b for a, b in zip(w[lo:hi], centre[lo:hi]))
+        return F.aggregate(F.zip_with(F.slice(x, lo + 1, hi - lo), weights, lambda a, b: a * b), F.lit(0.0),
+                           lambda t, v: t + v) - at_mean
+
+    every = F.array(*[F.struct((-F.abs(a)).alias("order"), F.lit(n).alias("feature"), a.alias("attribution"))
+                      for n, a in ((n, attribution(lo, hi)) for n, lo, hi in column_spans(model))])
+    top = F.slice(F.array_sort(every), 1, k)
+    return (feats.select(id_col, vector_to_array("features").alias("x")).select(id_col, F.posexplode(top).alias("_r", "_a"))
+            .select(id_col, "_a.feature", "_a.attribution", (F.col("_r") + 1).alias("rank")))
 
 
 def fed_avg(df: DataFrame, feature_cols: list[str], label: str = "isFraud", parts: int = 5, rounds: int = 3,
