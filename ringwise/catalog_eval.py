@@ -14,7 +14,7 @@ from ringwise.checks.oracle import with_base
 from ringwise.functions.decisions import SEGMENT_THRESHOLDS
 from ringwise.functions.keys import card_key
 from ringwise.operators import evaluate as ev
-from ringwise.operators import scoring
+from ringwise.operators import review, scoring
 from ringwise.sources import adapter
 
 ACTIVE = ev.active_threshold(SEGMENT_THRESHOLDS)
@@ -326,8 +326,32 @@ def q_i16(spark, sf):
     return ev.money(ev.evaluation(lab(spark, sf), ACTIVE))
 
 
+@register("i16_money_by_segment", with_base(f"""
+SELECT customer_segment, CAST(floor(tp_cents / {D(100)} * {D(4.6)} + {D(0.5)}) AS BIGINT) AS saved,
+  CAST(floor(fn_cents / {D(100)} * {D(4.6)} + {D(0.5)}) AS BIGINT) AS lost,
+  CAST(floor(fp_cents / {D(100)} * {D(1.63)} + {D(0.5)}) AS BIGINT) AS fp_cost
+FROM (SELECT customer_segment,
+  CAST(sum(CASE WHEN h AND y = 1 THEN amt_cents ELSE 0 END) AS BIGINT) AS tp_cents,
+  CAST(sum(CASE WHEN h AND y = 0 THEN amt_cents ELSE 0 END) AS BIGINT) AS fp_cents,
+  CAST(sum(CASE WHEN NOT h AND y = 1 THEN amt_cents ELSE 0 END) AS BIGINT) AS fn_cents
+  FROM (SELECT *, p >= {D(repr(ACTIVE))} AS h FROM lab) x
+  WHERE customer_segment IN ('VIP', 'Regular', 'New') GROUP BY customer_segment) a""", lab=LAB))
+def q_i16_segments(spark, sf):
+    return ev.money_by_segment(ev.by_segment(lab(spark, sf), ACTIVE))
+
+
+@register("i18_override_decisions", with_base(f"""
+SELECT CASE WHEN p >= {D(0.65)} THEN 1 ELSE 0 END AS yhat, customer_segment, count(*) AS n, count_if(y = 1) AS frauds
+FROM lab GROUP BY ALL""", lab=LAB))
+def q_i18(spark, sf):
+    """What an override of 0.65 for every segment decides."""
+    in_force = ev.thresholds_in_force(SEGMENT_THRESHOLDS, 0.65)
+    return scoring.binary(lab(spark, sf), p="p", thresholds=in_force).groupBy("yhat", "customer_segment").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("frauds"))
+
+
 @register("i17_latency_profile", with_base("""
-SELECT count(*) AS n, round(avg(latency_ms), 9) AS mean_ms, quantile_cont(latency_ms, 0.5) AS p50_ms,
+SELECT count(*) AS n, round(count(*) * 1000.0 / sum(latency_ms), 6) AS rows_per_second, round(avg(latency_ms), 9) AS mean_ms, quantile_cont(latency_ms, 0.5) AS p50_ms,
   quantile_cont(latency_ms, 0.95) AS p95_ms, quantile_cont(latency_ms, 0.99) AS p99_ms, max(latency_ms) AS max_ms
 FROM predictions"""))
 def q_i17(spark, sf):
@@ -341,6 +365,20 @@ def q_i19(spark, sf):
     return ev.nearest(ev.profit_sweep(lab(spark, sf)), 0.72)
 
 
+@register("i19_best_points", with_base(f"""
+SELECT * FROM ({SWEEP_SQL}) s ORDER BY net_impact DESC, threshold LIMIT 10""", lab=LAB_AMT, grid=grid_sql(5, 95)))
+def q_i19_best(spark, sf):
+    return ev.best_points(ev.profit_sweep(lab(spark, sf)))
+
+
+@register("k12_confusion_shares", with_base("""
+SELECT cell, count, coalesce(count * 100.0 / nullif(sum(count) OVER (), 0), 0.0) AS percent FROM (
+  SELECT 'tp' AS cell, tp AS count FROM conf UNION ALL SELECT 'fp', fp FROM conf UNION ALL
+  SELECT 'fn', fn FROM conf UNION ALL SELECT 'tn', tn FROM conf) x""", lab=LAB, conf=CONF_SQL))
+def q_k12_cells(spark, sf):
+    return review.confusion_shares(ev.confusion(_h4(spark, sf)))
+
+
 MISSED_SQL = f"""
   SELECT DISTINCT k.card_id FROM keyed k JOIN predictions pr ON pr.transaction_id = CAST(k.TransactionID AS VARCHAR)
   WHERE k.isFraud = 1 AND NOT (pr.fraud_probability >= {THRESHOLD_SQL.format(seg='pr.customer_segment')})"""

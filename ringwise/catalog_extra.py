@@ -18,6 +18,7 @@ from ringwise.sources import adapter
 
 NUM = ["TransactionAmt", "card1", "card2", "addr1", "addr2", "dist1", "dist2", "C1", "C14", "D1", "D15"]
 CAT = ["ProductCD", "card4", "card6", "P_emaildomain", "R_emaildomain", "DeviceType", "DeviceInfo", "id_15"]
+LABELLED = ["C1", "C14", "D1", "D15", "dist1", "addr1", "P_emaildomain", "R_emaildomain", "TransactionAmt"]
 HASH_SQL = "(CAST(('0x' || substr(md5(CAST({c} AS VARCHAR)), 1, 8)) AS BIGINT) % 100)"
 
 
@@ -49,6 +50,17 @@ def q_b9(spark, sf):
                                                          F.sum("isFraud").cast("long").alias("frauds"))
 
 
+@register("b11_label_names", with_base("\nUNION ALL ".join(
+    f"SELECT '{c}' AS feature, count({c}) AS filled, '{prep.FEATURE_LABELS.get(c, c)}' AS label FROM transactions"
+    for c in LABELLED)))
+def q_b11(spark, sf):
+    """Rows that have each feature, with the feature's readable name (the code itself where there is none)."""
+    filled = txn(spark, sf).agg(*[F.count(c).alias(c) for c in LABELLED])
+    rows = filled.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("filled")) for c in LABELLED]))
+                         .alias("_r")).select("_r.feature", "_r.filled")
+    return prep.label_names(rows)
+
+
 @register("b10_sample", with_base("""
 SELECT TransactionID, isFraud, TransactionAmt FROM transactions
 ORDER BY md5(CAST(TransactionID AS VARCHAR)), TransactionID LIMIT 100"""))

@@ -142,7 +142,7 @@ def q_j2(spark, sf):
     return policy.reward_table(labelled(pred(spark, sf)))
 
 
-@register("j4_compare_strategies", with_base(f"""
+J4_SQL = f"""
 SELECT strategy, sum(r) AS total_reward, avg(r) AS mean_reward,
   count_if(action IN ('FLAG','BLOCK') AND f) AS tp, count_if(action IN ('FLAG','BLOCK') AND NOT f) AS fp,
   count_if(action NOT IN ('FLAG','BLOCK') AND f) AS fn,
@@ -159,7 +159,10 @@ FROM (SELECT *, CAST({REWARD_SQL} AS DOUBLE) AS r FROM (
   SELECT 'stored' AS strategy, decision AS action, f, seg FROM lp UNION ALL
   SELECT 'threshold_0.5', CASE WHEN fraud_probability >= 0.5 THEN 'BLOCK' ELSE 'APPROVE' END, f, seg FROM lp UNION ALL
   SELECT 'approve_all', 'APPROVE', f, seg FROM lp) s) x
-GROUP BY strategy""", lp=LABP))
+GROUP BY strategy"""
+
+
+@register("j4_compare_strategies", with_base(J4_SQL, lp=LABP))
 def q_j4(spark, sf):
     lab = labelled(pred(spark, sf))
     return policy.compare_strategies(lab, {
@@ -168,6 +171,14 @@ def q_j4(spark, sf):
         "approve_all": F.lit("APPROVE")})
 
 
+@register("j4_strategy_difference", with_base("""
+SELECT 'stored - threshold_0.5' AS strategy, round(b.recall - a.recall, 4) AS recall, round(b.precision - a.precision, 4) AS precision,
+  round(b.f1 - a.f1, 4) AS f1, round(b.total_reward - a.total_reward, 0) AS total_reward
+FROM j4 a, j4 b WHERE a.strategy = 'threshold_0.5' AND b.strategy = 'stored'""", lp=LABP, j4=J4_SQL))
+def q_j4_difference(spark, sf):
+    return policy.strategy_difference(q_j4(spark, sf), "threshold_0.5", "stored")
+
+
 @register("j5_best_action", with_base(f"""
 SELECT p_decile, segment, risk_high, arg_max(action, [mean_reward, -ord]) AS best_action,
   max(mean_reward) AS best_mean_reward, max(n) AS n

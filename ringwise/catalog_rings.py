@@ -101,7 +101,7 @@ def _ring_list(spark, sf):
     t, cards, edges = _base(spark, sf)
     tables = {"device": (g.device_nodes(t), "device_id"), "email": (g.email_nodes(t), "email_id"),
               "address": (g.address_nodes(t), "addr_id")}
-    return edges, rings.ring_list(edges, cards, tables)
+    return edges, rings.ring_list(edges, cards, tables), cards
 
 
 @register("g6_ring_list", _g("SELECT * FROM g6", "edges", "cards", "devices", "emails", "addrs",
@@ -184,26 +184,27 @@ SELECT c.card_id, c.fraud_rate, c.total_txn, d.node_id AS device, m.node_id AS e
 FROM cards c
 LEFT JOIN (SELECT * FROM edges WHERE node_type = 'device') d ON d.card_id = c.card_id
 LEFT JOIN (SELECT * FROM edges WHERE node_type = 'email') m ON m.card_id = c.card_id
-LEFT JOIN (SELECT * FROM edges WHERE node_type = 'address') a ON a.card_id = c.card_id
-WHERE c.fraud_txn > 0""", "edges", "cards"))
+LEFT JOIN (SELECT * FROM edges WHERE node_type = 'address') a ON a.card_id = c.card_id""", "edges", "cards"))
 def q_g18(spark, sf):
     t, cards, edges = _base(spark, sf)
-    return rings.card_lookup(edges, cards, None, g.fraud_cards(cards))
+    return rings.card_lookup(edges, cards, cards)
 
 
 @register("g21_ring_picture", _g("""
-SELECT ring_type || ':' || ring_id AS id, 'ring' AS kind, fraud_count, NULL::VARCHAR AS source, NULL::VARCHAR AS target
+SELECT ring_type || ':' || ring_id AS id, 'ring' AS kind, fraud_count, NULL::BOOLEAN AS is_fraud,
+  NULL::VARCHAR AS source, NULL::VARCHAR AS target
 FROM top8 UNION ALL
-SELECT DISTINCT card_id, 'card', NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR FROM mem UNION ALL
-SELECT NULL::VARCHAR, 'link', NULL::BIGINT, node_type || ':' || node_id, card_id FROM mem""",
+SELECT card_id, 'card', NULL::BIGINT, fraud_txn > 0, NULL::VARCHAR, NULL::VARCHAR FROM cards
+WHERE card_id IN (SELECT card_id FROM mem) UNION ALL
+SELECT NULL::VARCHAR, 'link', NULL::BIGINT, NULL::BOOLEAN, node_type || ':' || node_id, card_id FROM mem""",
     "edges", "cards", "devices", "emails", "addrs", ng=NG, own=NODE_OWN, g6=G6_SQL,
     top8="SELECT * FROM g6 ORDER BY fraud_count DESC, ring_type, ring_id LIMIT 8",
     mem="""
   SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY e.node_type, e.node_id ORDER BY e.card_id) AS rn
     FROM edges e JOIN top8 t ON t.ring_type = e.node_type AND t.ring_id = e.node_id) x WHERE rn <= 8"""))
 def q_g21(spark, sf):
-    edges, rl = _ring_list(spark, sf)
-    return rings.ring_picture(rl, edges)
+    edges, rl, cards = _ring_list(spark, sf)
+    return rings.ring_picture(rl, edges, cards)
 
 
 @register("a7_ring_report")

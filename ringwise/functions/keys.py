@@ -46,7 +46,7 @@ def with_node_keys(txn: DataFrame) -> DataFrame:
 
 
 def legacy_node_ids(txn: DataFrame) -> DataFrame:
-    """The older key set - device, IP (``id_15``) and the purchaser/recipient email pair.
+    """The older key set - device, IP (``id_15``, in a table without it ``id_01``) and the purchaser/recipient email pair.
 
     Missing parts read as ``None`` text, so every transaction has all four nodes.
     """
@@ -55,6 +55,6 @@ def legacy_node_ids(txn: DataFrame) -> DataFrame:
         "TransactionID", "isFraud",
         card_key().alias("card_id"),
         F.concat_ws("-", F.coalesce("DeviceType", none), F.coalesce("DeviceInfo", none)).alias("device_id"),
-        F.coalesce("id_15", none).alias("ip_id"),
+        F.coalesce(F.col("id_15" if "id_15" in txn.columns else "id_01").cast("string"), none).alias("ip_id"),
         F.concat_ws("-", F.coalesce("P_emaildomain", none), F.coalesce("R_emaildomain", none)).alias("email_id"),
     )

@@ -336,19 +336,25 @@ def money(ev: DataFrame, per_prediction: float = 0.002) -> DataFrame:
                      safe_div(net, spend).alias("return_per_cost"))
 
 
+def money_by_segment(segments: DataFrame) -> DataFrame:
+    """I16 by segment: saved, lost and false-positive cost in whole units, from the rows of I11."""
+    return segments.select("customer_segment", *[F.floor(F.col(c) * m + 0.5).cast("long").alias(n) for c, m, n in (
+        ("real_tp_amt", FRAUD_MULT, "saved"), ("real_fn_amt", FRAUD_MULT, "lost"), ("real_fp_amt", FP_MULT, "fp_cost"))])
+
+
 def latency_profile(df: DataFrame, col: str = "latency_ms", by: list[str] | None = None) -> DataFrame:
-    """Mean, p50/p95/p99 (exact, linear), max and count of a latency column.
+    """Mean, p50/p95/p99 (exact, linear), max and count of a latency column, and rows per second one after another.
 
     Without groups the quantiles come from rank bracketing (``plans.quantile``)."""
     if not by:
         qs = scalar_row(exact_quantiles(df, col, [0.5, 0.95, 0.99]))
         return df.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(col), 9).alias("mean_ms"),
-                      F.max(col).alias("max_ms")).select(
-            "n", "mean_ms", qs["q0"].alias("p50_ms"), qs["q1"].alias("p95_ms"), qs["q2"].alias("p99_ms"), "max_ms")
+                      F.max(col).alias("max_ms"), F.sum(col).alias("_all")).select(
+            "n", F.round(safe_div(F.col("n") * 1000.0, "_all"), 6).alias("rows_per_second"), "mean_ms", qs["q0"].alias("p50_ms"), qs["q1"].alias("p95_ms"), qs["q2"].alias("p99_ms"), "max_ms")
     q = F.percentile(col, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
     return (df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(col), 9).alias("mean_ms"),
-                                        q.alias("_q"), F.max(col).alias("max_ms"))
-            .select(*(by or []), "n", "mean_ms", F.col("_q")[0].alias("p50_ms"), F.col("_q")[1].alias("p95_ms"),
+                                        q.alias("_q"), F.max(col).alias("max_ms"), F.sum(col).alias("_all"))
+            .select(*(by or []), "n", F.round(safe_div(F.col("n") * 1000.0, "_all"), 6).alias("rows_per_second"), "mean_ms", F.col("_q")[0].alias("p50_ms"), F.col("_q")[1].alias("p95_ms"),
                     F.col("_q")[2].alias("p99_ms"), "max_ms"))
 
 
@@ -357,6 +363,23 @@ def active_threshold(defaults: dict, override: float | None = None) -> float:
     return float(override) if override is not None else sum(defaults.values()) / max(1, len(defaults))
 
 
+def thresholds_in_force(defaults: dict, override: float | None = None) -> dict:
+    """Threshold per segment: the override (0.01 to 0.99, four digits) for all of them, else their defaults.
+
+    The result is the ``thresholds`` argument of the scoring operators; no override means a reset.
+    """
+    if override is None:
+        return dict(defaults)
+    if not 0.01 <= override <= 0.99:
+        raise ValueError(f"threshold {override} is not between 0.01 and 0.99")
+    return {seg: round(float(override), 4) for seg in defaults}
+
+
+def best_points(sweep: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` points of the profit sweep with the highest net (the lower threshold on ties), best first."""
+    return sweep.orderBy(F.desc("net_impact"), "threshold").limit(k)
+
+
 def nearest(curve_df: DataFrame, t: float, col: str = "threshold") -> DataFrame:
     """The curve point closest to ``t`` (lower threshold on ties)."""
     return curve_df.orderBy(F.abs(F.col(col) - t), col).limit(1)

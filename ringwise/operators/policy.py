@@ -76,6 +76,16 @@ def compare_strategies(lab: DataFrame, strategies: dict) -> DataFrame:
                          F.lit(0.0)))
 
 
+def strategy_difference(compared: DataFrame, first: str, second: str) -> DataFrame:
+    """What strategy ``second`` changes against ``first``: recall, precision, F1 (4 digits) and total reward (whole)."""
+    def change(c: str, digits: int) -> Column:
+        of = [F.max(F.when(F.col("strategy") == s, F.col(c))) for s in (second, first)]
+        return F.round(of[0] - of[1], digits).alias(c)
+
+    return compared.agg(F.lit(f"{second} - {first}").alias("strategy"), change("recall", 4), change("precision", 4),
+                        change("f1", 4), change("total_reward", 0))
+
+
 def state_cell(p="fraud_probability", seg="customer_segment", risk="graph_risk_score") -> list[Column]:
     """Binned state: probability decile, segment, graph risk at/above 0.5."""
     pc = F.col(p)

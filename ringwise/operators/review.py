@@ -118,6 +118,15 @@ def row_counts(tables: dict) -> DataFrame:
     return out.select("table", "rows")
 
 
+def confusion_shares(conf: DataFrame) -> DataFrame:
+    """The confusion cells as rows with their percent of all (0 of an empty table)."""
+    cells = ("tp", "fp", "fn", "tn")
+    total = sum((F.col(c) for c in cells[1:]), F.col(cells[0]))
+    return conf.select(total.alias("_n"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("cell"), F.col(c).alias("count")) for c in cells])).alias("_c")).select(
+        "_c.cell", "_c.count", F.coalesce(F.try_divide(F.col("_c.count") * 100.0, F.col("_n")), F.lit(0.0)).alias("percent"))
+
+
 def shares(df: DataFrame, by: str = "decision") -> DataFrame:
     """Count and percent of the total per value of ``by``."""
     c = df.groupBy(by).count()

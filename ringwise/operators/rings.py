@@ -168,7 +168,7 @@ def lift(found: DataFrame, total_fraud: int, base_recall: float, saving: float =
         (F.col("found") * F.lit(saving)).alias("savings"))
 
 
-def card_lookup(edges: DataFrame, cards: DataFrame, node_tables: dict, ids: DataFrame) -> DataFrame:
+def card_lookup(edges: DataFrame, cards: DataFrame, ids: DataFrame) -> DataFrame:
     """A card with its devices, emails and addresses; optional matches keep the row product."""
     c = cards.join(ids.select("card_id").distinct(), "card_id", "left_semi")
     out = c
@@ -178,23 +178,28 @@ def card_lookup(edges: DataFrame, cards: DataFrame, node_tables: dict, ids: Data
     return out.select("card_id", "fraud_rate", "total_txn", "device", "email", "address")
 
 
-def ring_picture(ring_list_df: DataFrame, edges: DataFrame, k: int = 8, cards_per_ring: int = 8) -> DataFrame:
-    """Node and link rows of the top ``k`` rings, up to ``cards_per_ring`` member cards each."""
+def ring_picture(ring_list_df: DataFrame, edges: DataFrame, cards: DataFrame, k: int = 8, cards_per_ring: int = 8) -> DataFrame:
+    """Node and link rows of the top ``k`` rings, up to ``cards_per_ring`` member cards each.
+
+    ``is_fraud`` marks the cards with a fraud of their own (null for rings and links).
+    """
     top = ring_list_df.orderBy(F.desc("fraud_count"), "ring_type", "ring_id").limit(k)
     members = (edges.join(top.select(F.col("ring_type").alias("node_type"), F.col("ring_id").alias("node_id")),
                           ["node_type", "node_id"], "left_semi"))
     w = Window.partitionBy("node_type", "node_id").orderBy("card_id")
     m = members.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cards_per_ring)
     ring_nodes = top.select(F.concat_ws(":", "ring_type", "ring_id").alias("id"), F.lit("ring").alias("kind"),
-                            "fraud_count")
-    card_nodes = m.select(F.col("card_id").alias("id"), F.lit("card").alias("kind"),
-                          F.lit(None).cast("long").alias("fraud_count")).distinct()
+                            "fraud_count", F.lit(None).cast("boolean").alias("is_fraud"))
+    card_nodes = m.select("card_id").distinct().join(cards.select("card_id", "fraud_txn"), "card_id", "left").select(
+        F.col("card_id").alias("id"), F.lit("card").alias("kind"), F.lit(None).cast("long").alias("fraud_count"),
+        (F.coalesce("fraud_txn", F.lit(0)) > 0).alias("is_fraud"))
     links = m.select(F.concat_ws(":", "node_type", "node_id").alias("source"), F.col("card_id").alias("target"))
-    return (ring_nodes.unionByName(card_nodes).select("id", "kind", "fraud_count",
+    return (ring_nodes.unionByName(card_nodes).select("id", "kind", "fraud_count", "is_fraud",
                                                       F.lit(None).cast("string").alias("source"),
                                                       F.lit(None).cast("string").alias("target"))
             .unionByName(links.select(F.lit(None).cast("string").alias("id"), F.lit("link").alias("kind"),
-                                      F.lit(None).cast("long").alias("fraud_count"), "source", "target")))
+                                      F.lit(None).cast("long").alias("fraud_count"),
+                                      F.lit(None).cast("boolean").alias("is_fraud"), "source", "target")))
 
 
 def lift_df(found: DataFrame, stats: DataFrame, saving: float = 120.0) -> DataFrame:

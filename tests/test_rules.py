@@ -63,3 +63,23 @@ def test_two_hot_nodes_and_a_wide_card(spark, max_nodes):
     b = {r.card_id: r.n_fraud for r in other_fraud_counts_naive(edges, fraud).collect()}
     assert len(a) == len({r[0] for r in rows})
     assert {k: v for k, v in a.items() if v} == b
+
+
+def test_threshold_override_and_reset():
+    from ringwise.operators.evaluate import thresholds_in_force
+    defaults = {"VIP": 0.72, "Regular": 0.88}
+    assert thresholds_in_force(defaults) == defaults
+    assert thresholds_in_force(defaults, 0.123456) == {"VIP": 0.1235, "Regular": 0.1235}
+    with pytest.raises(ValueError):
+        thresholds_in_force(defaults, 1.2)
+
+
+def test_legacy_keys_fall_back_to_the_other_address_column(spark):
+    from ringwise.functions.keys import legacy_node_ids
+    cols = "TransactionID long, isFraud int, card1 int, card2 double, card3 double, DeviceType string, DeviceInfo string, " \
+           "P_emaildomain string, R_emaildomain string, {}"
+    row = (1, 0, 1, 2.0, 3.0, None, "x", "a", None)
+    old = legacy_node_ids(spark.createDataFrame([(*row, -5.0), (*row, None)], cols.format("id_01 double")))
+    assert [r.ip_id for r in old.collect()] == ["-5.0", "None"]
+    both = legacy_node_ids(spark.createDataFrame([(*row, "found", -5.0)], cols.format("id_15 string, id_01 double")))
+    assert both.first().ip_id == "found"
