@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Virtual slots.
 SLOTS = 4096
+#: Equal records that one row of their count is dealt out to in one go.
+BLOCK = 65_536
 #: Bytes that a record takes besides its text.
 OVERHEAD = 8
 
@@ -24,16 +26,34 @@ def record_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
 
 
-def virtual_slot(doc_id: Column, slots: int = SLOTS) -> Column:
-    """Virtual slot of a record: by its id only."""
-    return F.pmod(F.xxhash64(doc_id.cast("string"), F.lit("vslot")), F.lit(slots)).cast("int")
+def virtual_slot(slots: int = SLOTS) -> Column:
+    """Virtual slot of a record: by its id, size, checksum and, among records equal in these, the number of the copy."""
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("vslot"), "size", "text_crc32", "copy"),
+                  F.lit(slots)).cast("int")
 
 
-def slot_sizes(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``vslot, bytes, rows`` of every virtual slot, empty ones included."""
-    held = docs.groupBy(virtual_slot(F.col("doc_id"), slots).alias("vslot")).agg(
-        F.sum(record_size(F.col("text"))).alias("bytes"), F.count(F.lit(1)).alias("rows"))
-    every = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("vslot"))
+def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``doc_id, size, text_crc32, copy, vslot``, one row per document.
+
+    Equal records differ in ``copy`` (0 ..), so that a null or repeated id never fills one virtual slot.  They are counted
+    before any shuffle and dealt from the count, in blocks that many tasks share where there are many copies.
+    """
+    counted = docs.select("doc_id", record_size(F.col("text")).alias("size"),
+                          F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
+                          ).groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_n"))
+    few = counted.where(F.col("_n") <= BLOCK).withColumn("_first", F.lit(0).cast("long"))
+    many = (counted.where(F.col("_n") > BLOCK)
+            .withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(BLOCK).cast("long"))))
+            .repartition("doc_id", "size", "text_crc32", "_first"))
+    last = F.least(F.col("_n"), F.col("_first") + BLOCK) - 1
+    every = few.unionByName(many).select("doc_id", "size", "text_crc32", F.explode(F.sequence("_first", last)).alias("copy"))
+    return every.withColumn("vslot", virtual_slot(slots))
+
+
+def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """``vslot, bytes, rows`` of every virtual slot, empty ones included, from ``records``."""
+    held = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    every = rows.sparkSession.range(slots).select(F.col("id").cast("int").alias("vslot"))
     return every.join(held, "vslot", "left").select(
         "vslot", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("rows", F.lit(0)).alias("rows"))
 
@@ -86,19 +106,16 @@ def newest_map(spark: SparkSession, path: str) -> DataFrame:
     return maps.where(F.col("version") == maps.agg(F.max("version")).scalar())
 
 
-def assign(docs: DataFrame, slot_map: DataFrame, sizes: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id, size, text_crc32, shard, slot, vslot``.
+def assign(rows: DataFrame, slot_map: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``records`` -> ``doc_id, size, text_crc32, shard, slot, vslot``.
 
     ``slot`` is the record's place in its shard, gapless from 0: virtual slots of a shard follow each other by number,
-    and records of a virtual slot by id, size and checksum.
+    and records of a virtual slot by id, size, checksum and copy.
     """
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     base = (slot_map.join(sizes, "vslot")
             .select("vslot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base")))
-    rows = docs.select("doc_id", record_size(F.col("text")).alias("size"),
-                       F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-                       virtual_slot(F.col("doc_id"), slots).alias("vslot"))
-    place = Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32")
+    place = Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32", "copy")
     ranked = rows.withColumn("rank", F.row_number().over(place))
     return ranked.join(F.broadcast(base), "vslot").select(  # one row per virtual slot
         "doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - 1).cast("long").alias("slot"), "vslot")
@@ -107,12 +124,14 @@ def assign(docs: DataFrame, slot_map: DataFrame, sizes: DataFrame, slots: int =
 def shard(docs: DataFrame, shards: int, path: str, slots: int = SLOTS) -> DataFrame:
     """Assign all ``docs`` to ``shards`` shards of near equal bytes; the map's versions are stored under ``path``.
 
-    If maps are stored there, the newest is edited, else the first one is made.  A null text has no bytes, a null
-    doc_id hashes like any other value; rows that repeat a doc_id share its virtual slot; an empty table gives no rows.
+    If maps are stored there, the newest is edited, else the first one is made.  A null text has no bytes; a null or
+    repeated doc_id is one value among others, and its records spread over the virtual slots by size, checksum and copy;
+    an empty table gives no rows; other columns of ``docs`` are not looked at.
     """
     from ringwise.session import stored
     spark = docs.sparkSession
-    sizes = stored(slot_sizes(docs, slots))
+    rows = stored(records(docs, slots))  # read twice: sizes and places; the texts are read once
+    sizes = stored(slot_sizes(rows, slots))
     try:
         current = newest_map(spark, path)
     except Exception as e:
@@ -121,4 +140,4 @@ def shard(docs: DataFrame, shards: int, path: str, slots: int = SLOTS) -> DataFr
         store_map(first_map(spark, shards, slots), path)
         current = newest_map(spark, path)
     store_map(rebalance(current, sizes, shards), path)
-    return assign(docs, newest_map(spark, path), sizes, slots)
+    return assign(rows, newest_map(spark, path), sizes)

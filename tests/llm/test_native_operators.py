@@ -39,6 +39,49 @@ def test_sharding_query(spark):
     assert {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
 
 
+@pytest.mark.parametrize("block", [sharding.BLOCK, 7])
+def test_null_and_repeated_ids_spread(spark, tmp_path, monkeypatch, block):
+    """A third null ids, a third one id with one text, the rest distinct: shards stay near equal, nothing is lost."""
+    monkeypatch.setattr(sharding, "BLOCK", block)
+    docs = [(None, f"text {i} of nobody") for i in range(3000)] + [(7, "the same text again")] * 3000
+    docs += [(100 + i, f"text {i} of one") for i in range(3000)] + [(None, None)] * 50
+    df = spark.createDataFrame([(i, t, 5, 5) for i, t in docs], "doc_id long, text string, size int, copy int").repartition(6)
+    rows = sharding.shard(df, 8, str(tmp_path / "maps")).collect()
+    want = sorted((i is None, i or 0, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in docs)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r["size"], r.text_crc32) for r in rows) == want
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r)
+    assert all(sorted(x.slot for x in v) == list(range(len(v))) for v in by.values())
+    sums = [sum(x["size"] for x in by[s]) for s in range(8)]
+    assert max(sums) < 1.02 * min(sums)
+
+
+def test_rebalance_equals_a_plain_greedy(spark):
+    """The map's edit against the same rule in plain Python."""
+    r = random.Random(8)
+    sizes = {v: r.choice([0, 0, 5, 5, 40, 900]) * r.randrange(1, 50) for v in range(120)}
+    shard_of = {v: r.randrange(5) for v in range(120)}
+    shards = 4
+    mean = sum(sizes.values()) / shards
+    new, load, moved = {}, [0] * shards, []
+    for s in range(5):
+        held = 0
+        for v in sorted((v for v in shard_of if shard_of[v] == s), key=lambda v: (-sizes[v], v)):
+            held += sizes[v]
+            if s < shards and (held <= mean or sizes[v] == 0):
+                new[v], load[s] = s, load[s] + sizes[v]
+            else:
+                moved.append(v)
+    for v in sorted(moved, key=lambda v: (-sizes[v], v)):
+        to = load.index(min(load))
+        new[v], load[to] = to, load[to] + sizes[v]
+    got = sharding.rebalance(
+        spark.createDataFrame([(0, v, s) for v, s in shard_of.items()], "version int, vslot int, shard int"),
+        spark.createDataFrame([(v, b, 1) for v, b in sizes.items()], "vslot int, bytes long, rows long"), shards).collect()
+    assert {x.vslot: x.shard for x in got} == new and {x.version for x in got} == {1}
+
+
 def test_sharding_grows_by_editing_the_map(spark, tmp_path):
     r = random.Random(1)
     docs = [(i, "x" * r.choice((0, 5, 50, 400))) for i in range(800)] + [(900, None), (None, "null id"), (901, "y" * 3000)]
