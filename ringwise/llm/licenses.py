@@ -3,7 +3,9 @@
 A text is normalised as a whole (lower case, letters and digits only); line ends and sentence ends stay as marks between its
 words.  A known licence sentence starts and ends at such marks and may hold any of them, so it is found on one line, wrapped
 or in a commented block, and whether or not it holds a colon, a semicolon or "v. 2.0".  Each is replaced by its identifier;
-version numbers are parameters of an identifier.  Licence rules
+version numbers are parameters of an identifier,
+and so is the expression of an SPDX line that has no sentence of its own (words joined by full stops; it ends
+with its line).  Licence rules
 are sequences of identifiers, tried in order: where a rule's sequence stands in the text's identifier sequence, those
 identifiers are used up and the licence is reported, so a long rule goes before the rules whose sentences it contains.
 Known sentences that no rule used are reported as ``Unmatched``.
@@ -55,8 +57,35 @@ SENTENCES = [
     ("cc-by-nd", "(this work is )?licensed under( a)? cc by nd #"),
     ("cc-by-sa", "(this work is )?licensed under( a)? cc by sa #"),
     ("cc-by", "(this work is )?licensed under( a)? cc by #"),
+    ("spdx-other", "spdx license identifier [a-z0-9]+ .*"),
+    ("agpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero "
+                  "general public license as published by the free software foundation either version # of the license or at "
+                  "your option any later version"),
+    ("lgpl-free", "this (library|program) is free software you can redistribute it and or modify it under the terms of the gnu "
+                  "(lesser|library) general public license as published by the free software foundation either version # of the "
+                  "license or at your option any later version"),
+    ("gfdl-grant", "permission is granted to copy distribute and or modify this document under the terms of the gnu free "
+                   "documentation license version # or any later version published by the free software foundation .*"),
+    ("perl-same", "this (program|library|module) is free software you can redistribute it and or modify it under the same terms as "
+                  "perl( itself)?"),
+    ("isc-grant", "permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby "
+                  "granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib-asis", "this software is provided as is without any express or implied warranty"),
+    ("bsl-named", "(this (work|file|software) is )?(distributed|licensed) under the boost software license version # .*"),
+    ("epl-named", "this program and the accompanying materials are made available under the terms of the eclipse public license"
+                  "( v| version)? # .*"),
+    ("unlicense-free", "this is free and unencumbered software released into the public domain"),
+    ("odbl-named", "(this (work|data|database) is )?(made available|licensed) under the open database license .*"),
     ("reserved", "all rights reserved"),
 ]
+#: Full names of the Creative Commons licences.
+CREATIVE_COMMONS = {
+    "cc-by-nc-nd": "attribution noncommercial noderivatives", "cc-by-nc-sa": "attribution noncommercial sharealike",
+    "cc-by-nc": "attribution noncommercial", "cc-by-nd": "attribution noderivatives", "cc-by-sa": "attribution sharealike",
+    "cc-by": "attribution",
+}
+SENTENCES += [(f"{name}-full", "((this (work|document|text|article|page) is )?licensed under( a| the)? )?creative commons "
+               f"{words} # (international|unported|generic)( public)?( licen[cs]e)?") for name, words in CREATIVE_COMMONS.items()]
 
 #: Licence rules in the order in which they are tried (identifier sequences).
 RULES = [
@@ -83,11 +112,24 @@ RULES = [
     ("CC-BY-ND", ["cc-by-nd"]),
     ("CC-BY-SA", ["cc-by-sa"]),
     ("CC-BY", ["cc-by"]),
+    ("SPDX", ["spdx-other"]),
+    ("AGPL-or-later-header", ["agpl-free", "gpl-hope"]),
+    ("AGPL-or-later", ["agpl-free"]),
+    ("LGPL-or-later", ["lgpl-free"]),
+    ("GFDL-or-later", ["gfdl-grant"]),
+    ("Perl", ["perl-same"]),
+    ("ISC", ["isc-grant"]),
+    ("Zlib", ["zlib-asis"]),
+    ("BSL", ["bsl-named"]),
+    ("EPL", ["epl-named"]),
+    ("Unlicense", ["unlicense-free"]),
+    ("ODbL", ["odbl-named"]),
     ("All-rights-reserved", ["reserved"]),
 ]
+RULES += [(name.upper(), [f"{name}-full"]) for name in CREATIVE_COMMONS]
 
 #: A text can only have known sentences if it holds one of these words.
-_HINT = "licen|spdx|permission|copyright|software|redistribution|version|reserved|domain|cc0|program"
+_HINT = "licen|spdx|creative|permission|copyright|software|redistribution|version|reserved|domain|cc0|program"
 _VERSION = "[0-9](?:[0-9 ]*[0-9])?"
 
 
@@ -134,7 +176,13 @@ def known_sentences(text: Column) -> Column:
 
 def identify(sentence: Column) -> Column:
     """``identifier@version`` of a normalised sentence (version empty if it has none), null if it is not known."""
-    version = F.replace(F.regexp_extract(sentence, f"(?:version|v|by|nc|nd|sa|gpl|cc0) ({_VERSION})", 1), F.lit(" "), F.lit("."))
+    version = F.regexp_extract(sentence, f"(?:version|v|by|nc|nd|sa|gpl|cc0|eclipse public license|attribution|commercial|derivatives|alike) "
+                                         f"({_VERSION})", 1)
+    # the parameter of an SPDX line without a sentence of its own is its whole expression
+    expression = F.regexp_extract(sentence, "^spdx license identifier (.*)$", 1)
+    own = "|".join(p[len("spdx license identifier "):] for n, p in SENTENCES if n.startswith("spdx-") and n != "spdx-other")
+    version = F.when((expression != "") & ~expression.rlike(f"^(?:{own.replace('#', _VERSION)})$"), expression).otherwise(version)
+    version = F.replace(version, F.lit(" "), F.lit("."))
     out = F.lit(None).cast("string")
     for name, pattern in reversed(SENTENCES):
         out = F.when(sentence.rlike(_pattern(pattern)), F.lit(name)).otherwise(out)

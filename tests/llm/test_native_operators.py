@@ -226,6 +226,31 @@ WORDINGS = {
                 "this software without specific prior written permission.",
     "mpl-named@2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "cc0-named": "This work is dedicated to the public domain.",
+    "spdx-other@isc": "SPDX-License-Identifier: ISC",
+    "agpl-free@3": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General "
+                   "Public License as published\nby the Free Software Foundation, either version 3 of the License, or\n(at your option) "
+                   "any later version.",
+    "lgpl-free@2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                     "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+                     "option) any later version.",
+    "gfdl-grant@1.3": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free "
+                      "Documentation License, Version 1.3 or any later version published by the Free Software Foundation; with no "
+                      "Invariant Sections.",
+    "perl-same@": "This library is free software; you can redistribute it and/or modify it under the same terms as Perl itself.",
+    "isc-grant@": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+                  "provided that the above copyright notice and this permission notice appear in all copies.",
+    "zlib-asis@": "This software is provided 'as-is', without any express or implied warranty.",
+    "bsl-named@1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file)",
+    "epl-named@2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+                     "which is available at their site",
+    "unlicense-free@": "This is free and unencumbered software released into the public domain.",
+    "odbl-named@": "This database is made available under the Open Database License",
+    "cc-by-full@4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-full@3.0": "Creative Commons Attribution-ShareAlike 3.0 Unported License",
+    "cc-by-nd-full@4.0": "Creative Commons Attribution-NoDerivatives 4.0 International",
+    "cc-by-nc-full@2.5": "Licensed under the Creative Commons Attribution-NonCommercial 2.5 Generic Licence",
+    "cc-by-nc-sa-full@4.0": "Creative Commons Attribution NonCommercial ShareAlike 4.0 International Public License",
+    "cc-by-nc-nd-full@4.0": "Creative Commons Attribution NonCommercial NoDerivatives 4.0 International License",
     "cc-by-nc-nd@4.0": "This work is licensed under a CC BY-NC-ND 4.0.", "cc-by-nc-sa@4.0": "This work is licensed under a CC BY-NC-SA 4.0.",
     "cc-by-nc@4.0": "This work is licensed under a CC BY-NC 4.0.", "cc-by-nd@4.0": "This work is licensed under a CC BY-ND 4.0.",
     "cc-by-sa@4.0": "This work is licensed under a CC BY-SA 4.0.", "cc-by@4.0": "This work is licensed under a CC BY 4.0.",
@@ -249,6 +274,50 @@ def test_every_known_sentence_in_its_canonical_wording(spark):
     assert not wrong, wrong
 
 
+@pytest.mark.parametrize("line,want", [
+    ("ISC", "SPDX@isc"), ("MIT OR Apache-2.0", "SPDX@mit.or.apache.2.0"), ("MPL-2.0", "SPDX@mpl.2.0"), ("AGPL-3.0-only", "SPDX@agpl.3.0.only"), ("BSD-2-Clause", "SPDX@bsd.2.clause"),
+    ("LGPL-2.1-or-later", "SPDX@lgpl.2.1.or.later"), ("GPL-2.0-only WITH Classpath-exception-2.0", "SPDX@gpl.2.0.only.with.classpath.exception.2.0"),
+    ("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-2.0-only", "GPL@2.0")])
+def test_spdx_lines(spark, line, want):
+    df = spark.createDataFrame([(1, f"// SPDX-License-Identifier: {line}\nint main;")], "doc_id long, text string")
+    assert licenses.scan(df).first().licenses == [want]
+
+
+def test_hyphenated_creative_commons_name(spark):
+    """A name of more than 30 letters without a space, on one line and wrapped after it."""
+    line = "This work is licensed under a\n{} Commons Attribution-NonCommercial-ShareAlike 4.0\nInternational License."
+    df = spark.createDataFrame([(1, line.format("Creative"))], "doc_id long, text string")
+    assert licenses.scan(df).first().licenses == ["CC-BY-NC-SA@4.0"]
+
+
+def test_rules_equal_a_plain_matcher(spark):
+    """Random orders of known sentences among other text; rules applied by lists in plain Python."""
+    r = random.Random(21)
+    filler = ["The sea was calm that day.", "Version control is of use.", "No permission was asked, and none was given."]
+    docs, want = [], []
+    for d in range(150):
+        ids = [r.choice(list(WORDINGS)) for _ in range(r.randrange(0, 7))]
+        if r.random() < 0.5:
+            name, seq = r.choice(licenses.RULES)
+            at = r.randrange(len(ids) + 1)
+            ids[at:at] = [next(k for k in WORDINGS if k.split("@")[0] == s) for s in seq]
+        parts = [p for k in ids for p in [WORDINGS[k]] + r.sample(filler, r.randrange(0, 2))]
+        docs.append((d, "\n\n".join(parts)))
+        found, work = [], list(ids)
+        for name, seq in licenses.RULES:
+            i = 0
+            while i + len(seq) <= len(work):
+                if [x and x.split("@")[0] for x in work[i:i + len(seq)]] == seq:
+                    found.append((name + "@" + work[i].partition("@")[2]).rstrip("@"))
+                    work[i:i + len(seq)] = [None]
+                i += 1
+        found += ["Unmatched:" + x.split("@")[0] for x in work if x]
+        want.append(([k if "@" in k else k + "@" for k in ids], list(dict.fromkeys(found))))
+    got = {x.doc_id: (x.sentence_ids, x.licenses) for x in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for d, w in enumerate(want):
+        assert got[d] == w, docs[d][1]
+
+
 def test_wrapped_licence_texts(spark):
     def block(*keys):
         return "\n *\n".join(textwrap.fill(WORDINGS[k], 72, initial_indent=" * ", subsequent_indent=" * ") for k in keys)
