@@ -112,12 +112,12 @@ def _requests(spark, sf):
     return stored(sf_.delivered(adapter.requests(spark, sf), F.col("ts") + late))
 
 
-def _run(spark, rows, name, result, start=None, stop_after=None):
+def _run(spark, rows, name, result, start=None, stop_after=None, most=None):
     """Deliver ``rows`` to ``result(stream)`` and return the folder its files are in."""
     base = _base(spark, name)
     start = start or sf_.to_files
     sf_.feed({f"{base}/in": rows}, lambda: start(result(sf_.read_stream(spark, f"{base}/in", rows)), f"{base}/out",
-                                                 f"{base}/ckpt"), stop_after)
+                                                 f"{base}/ckpt"), stop_after, most)
     return base
 
 
@@ -183,7 +183,7 @@ def q_n3(spark, sf):
         return sf_.once_to_files(sf_.alert_log(alerts, blocks), f"{base}/out", f"{base}/ckpt", "transaction_id")
     for folder, rows in topics.items():
         rows.limit(0).drop("slot").write.mode("append").parquet(folder)
-    sf_.feed(topics, start)
+    sf_.feed(topics, start, most=sf_.DELIVERIES)  # each id once wherever a delivery ends
     return spark.read.parquet(f"{base}/out").select("transaction_id", "fraud_probability", "ts", "decision")
 
 
@@ -211,7 +211,7 @@ def q_n4(spark, sf):
         sf_.delivered(again, F.col("ts") + F.expr("INTERVAL 7 DAYS"))))
     base = _run(spark, rows, "n4", lambda s: sf_.policy_stream(s, scored, best).select(
         "transaction_id", "fraud_probability", "decision", "customer_segment", "policy_action"),
-        lambda r, out, ckpt: sf_.once_to_files(r, out, ckpt, "transaction_id"))
+        lambda r, out, ckpt: sf_.once_to_files(r, out, ckpt, "transaction_id"), most=sf_.DELIVERIES)
     return spark.read.parquet(f"{base}/out").drop("batch")
 
 
@@ -234,5 +234,5 @@ def q_n5(spark, sf):
     p = adapter.predictions(spark, sf).select("transaction_id", "decision", "fraud_probability", "created_at")
     rows = stored(sf_.delivered(p, F.col("created_at")))
     base = _run(spark, rows, "n5", lambda s: st.running_stats(s).withColumn("mean_p", F.round("mean_p", 9)),
-                sf_.complete_to_files)
+                sf_.complete_to_files, most=sf_.DELIVERIES)
     return spark.read.parquet(f"{base}/out/batch={sf_.committed(spark, f'{base}/ckpt')}")

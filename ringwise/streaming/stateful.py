@@ -1,7 +1,9 @@
 """Stateful streams with bounded state (N3-N6, N10, N13, N14): append mode, watermarks, file sinks.
 
 Input comes in deliveries: all rows of one slot of arrival time are added to the input folder and processed before the
-next slot comes, so a run's watermark, and with it the set of late rows, depends on the data alone.  After a slot the
+next slot comes, so a run's watermark, and with it the set of late rows, depends on the data alone.  A stream whose result
+does not hang on where deliveries end may take several slots in one, so that a longer time costs larger deliveries and not
+more of them.  After a slot the
 watermark is the latest event time seen so far less the delay; a row whose window ends at or before it is dropped, and
 windows, sessions and remembered ids that it has passed leave the state.  Results go to file sinks: windowed results
 when their window is closed, tables that take each key once through ``append_once``, whose folder per batch is written
@@ -11,6 +13,7 @@ again when a batch is replayed.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 #: Microseconds of one delivery slot (five days), and the delay that watermarks allow.
 SLOT_MICROS, DELAY = 5 * 86_400_000_000, "10 minutes"
 SESSION_GAP = "30 minutes"
+#: Deliveries (and micro-batches) that a backlog is taken in where their ends are free.
+DELIVERIES = 12
 
 
 def delivered(rows: DataFrame, arrival: Column) -> DataFrame:
@@ -25,24 +30,40 @@ def delivered(rows: DataFrame, arrival: Column) -> DataFrame:
     return rows.withColumn("slot", (F.unix_micros(arrival) / F.lit(SLOT_MICROS)).cast("long"))
 
 
-def feed(inputs: dict[str, DataFrame], start: Callable, stop_after: int | None = None) -> list[int]:
+def slot_ranges(inputs: dict[str, DataFrame], most: int | None = None) -> list[tuple[int, int]]:
+    """First and last slot of every delivery: each slot by itself, or ``most`` runs of slots at most with about as many rows.
+
+    Only slots that have rows begin or end a run; with ``most`` no more than so many numbers reach the driver.
+    """
+    slots = reduce(DataFrame.unionByName, [rows.select("slot") for rows in inputs.values()])
+    if most is None:
+        return [(r.slot, r.slot) for r in slots.distinct().orderBy("slot").collect()]
+    r = slots.agg(F.min("slot").alias("lo"), F.percentile_approx("slot", [(i + 1) / most for i in range(most)]).alias("ends"),
+                  F.max("slot").alias("hi")).first()
+    if r.lo is None:
+        return []
+    ends = sorted({*r.ends, r.hi})
+    return list(zip([r.lo] + [e + 1 for e in ends[:-1]], ends))
+
+
+def feed(inputs: dict[str, DataFrame], start: Callable, stop_after: int | None = None, most: int | None = None) -> list[int]:
     """Deliver ``inputs`` (folder -> rows with ``slot``) slot by slot to the query that ``start()`` returns.
 
-    Returns the slots that were delivered; ``stop_after`` of them at most.  The number of slots depends on the time that
-    the rows span, not on how many there are.
+    Returns the last slot of each delivery; ``stop_after`` of them at most.  The number of slots depends on the time that
+    the rows span, not on how many there are; ``most`` bounds the number of deliveries, each of whole slots in order.
     """
-    slots = sorted({r.slot for rows in inputs.values() for r in rows.select("slot").distinct().collect()})[:stop_after]
+    ranges = slot_ranges(inputs, most)[:stop_after]
     query = None
     try:
-        for slot in slots:
+        for first, last in ranges:
             for folder, rows in inputs.items():
-                rows.where(F.col("slot") == slot).drop("slot").write.mode("append").parquet(folder)
+                rows.where(F.col("slot").between(first, last)).drop("slot").write.mode("append").parquet(folder)
             query = query or start()
             query.processAllAvailable()
     finally:
         if query is not None:
             query.stop()
-    return slots
+    return [last for _, last in ranges]
 
 
 def read_stream(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:

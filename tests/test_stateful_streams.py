@@ -122,3 +122,23 @@ def test_feed_of_nothing(spark, slots):
     rows.limit(0).drop("slot").write.parquet(f"{b}/in")
     got = sf_.feed({f"{b}/in": rows}, lambda: sf_.once_to_files(sf_.read_stream(spark, f"{b}/in", rows), f"{b}/out", f"{b}/c", "request_id"))
     assert got == list(range(slots))
+
+
+@pytest.mark.parametrize("days", [3, 40])
+def test_a_longer_backlog_takes_no_more_deliveries(spark, days):
+    rows = [(i, "a", i * 60, i * 5 // 24) for i in range(24 * days // 5)] + [(0, "a", 0, days)]
+    df = spark.createDataFrame([(i, at(m), s) for i, _, m, s in rows], "request_id long, ts timestamp, slot long")
+    b = base(spark)
+    got = sf_.feed({f"{b}/in": df}, lambda: sf_.once_to_files(sf_.read_stream(spark, f"{b}/in", df), f"{b}/out", f"{b}/c", "request_id"),
+                   most=4)
+    assert len(got) <= 4 and got == sorted(got) and got[-1] == days
+    assert sf_.committed(spark, f"{b}/c") < 4
+    assert sorted(r.request_id for r in spark.read.parquet(f"{b}/out").collect()) == sorted({i for i, *_ in rows})
+    ranges = sf_.slot_ranges({"x": df}, 4)
+    assert all(lo <= hi for lo, hi in ranges) and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_a_trigger_takes_its_share_of_the_backlog():
+    from ringwise.streaming import stream as st
+    assert st.files_per_trigger(1) == "4"
+    assert all(files / int(st.files_per_trigger(files)) <= sf_.DELIVERIES for files in (100, 1800, 10_800))
