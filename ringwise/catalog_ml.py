@@ -20,7 +20,7 @@ def _train_frame(spark, sf):
     from ringwise.operators.features import upstream
     from ringwise.operators.prep import prepare
     t = upstream(txn_mat(spark, sf))
-    return prepare(attach(t, build_graph_features(t)), NUM, CAT, keep=("TransactionID", "isFraud"))
+    return ml.dealt(prepare(attach(t, build_graph_features(t)), NUM, CAT, keep=("TransactionID", "isFraud")))
 
 
 def _model(spark, sf, kind="gbt"):

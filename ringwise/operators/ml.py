@@ -21,11 +21,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringwise.functions.params import scalar_row
+from ringwise.session import stored
 
 GRAPH_FEATURES = ("device_fraud_rate", "device_card_velocity", "connected_fraud_cards",
                   "email_fraud_rate", "address_fraud_rate", "graph_risk_score")
 #: Slots that each category column is hashed into.
 SLOTS = 64
+#: Rows of the training table in a task.
+TASK_ROWS = 50_000
+
+
+def dealt(df: DataFrame, key: str = "TransactionID", rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` stored once, read in partitions of about ``rows`` rows by a hash of ``key``.
+
+    Training keeps a row as one number per feature whatever its size on disk, so partitions that Spark cuts by bytes would
+    grow to gigabytes in a task's memory; and every round of training, scoring or averaging would compute ``df`` again.
+    """
+    whole = stored(df)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return whole.repartition(max(tasks, -(-whole.count() // rows)), key)
 
 
 def class_weight(df: DataFrame, label: str = "isFraud") -> DataFrame:

@@ -57,3 +57,13 @@ def test_attributions_are_whole_and_stay_in_the_row(spark, rows):
 def test_attributions_of_no_rows(rows):
     model = ml.train(rows.where("TransactionID < 300"), ["noise", "hint"], ["domain"], model="lr", max_iter=2)
     assert ml.attributions(model, rows.where("TransactionID < 0")).count() == 0
+
+
+def test_training_tasks_hold_a_bounded_number_of_rows(spark, rows):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        parts = [c for c in ml.dealt(rows, rows=300).rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert sum(parts) == 6000 and len(parts) == 20 and max(parts) < 450
