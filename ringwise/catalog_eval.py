@@ -384,8 +384,9 @@ MISSED_SQL = f"""
   WHERE k.isFraud = 1 AND NOT (pr.fraud_probability >= {THRESHOLD_SQL.format(seg='pr.customer_segment')})"""
 
 
-def scored_txn(spark, sf):
-    t = txn(spark, sf)
+def scored_txn(spark, sf, t=None):
+    """Transactions with their binary prediction; ``t``: a stored transactions table to read them from."""
+    t = txn(spark, sf) if t is None else t
     pr = adapter.predictions(spark, sf, t).select("transaction_id", "customer_segment",
                                                   F.col("fraud_probability").alias("p"))
     keyed = t.select(F.col("TransactionID").cast("string").alias("transaction_id"), "isFraud",

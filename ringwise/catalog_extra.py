@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ringwise.catalog import _g, register, txn
+from ringwise.catalog import _g, register, txn, txn_mat
 from ringwise.catalog_eval import LAB, scored_txn
 from ringwise.catalog_rings import CLEARED_DEV, SCORED_SQL
 from ringwise.checks.graph_sql import THRESHOLD_SQL, seg_label_sql, seg_score_sql
@@ -14,6 +14,7 @@ from ringwise.operators import features as fx
 from ringwise.operators import graph as g
 from ringwise.operators import policy, prep, rings, scoring
 from ringwise.operators.segments import fit_segments
+from ringwise.session import stored
 from ringwise.sources import adapter
 
 NUM = ["TransactionAmt", "card1", "card2", "addr1", "addr2", "dist1", "dist2", "C1", "C14", "D1", "D15"]
@@ -115,11 +116,11 @@ FROM (SELECT count_if(isFraud = 1 AND yhat = 1) AS tp0, count_if(isFraud = 0 AND
               AND fraud_probability >= CAST(0.15 AS DOUBLE) THEN 1 ELSE yhat END AS y_graph FROM scored) s) c""",
     "keyed", "checks2", scored=SCORED_SQL, flagged=CLEARED_DEV))
 def q_i15(spark, sf):
-    t = txn(spark, sf)
-    cards, edges = g.card_nodes(t), g.typed_edges(t)
-    sc = scored_txn(spark, sf).withColumnRenamed("p", "fraud_probability")
+    t = txn_mat(spark, sf)
+    cards, edges = stored(g.card_nodes(t)), stored(g.typed_edges(t))
+    sc = scored_txn(spark, sf, t).withColumnRenamed("p", "fraud_probability")
     flagged = rings.check_batch(edges, cards, sc.where(F.col("yhat") == 0).select("card_id").distinct(), 2, True)
-    o = rings.override(sc, flagged).withColumn("y", F.col("isFraud"))
+    o = stored(rings.override(sc, flagged).select(F.col("isFraud").alias("y"), "yhat", "y_graph"))
     base = ev.confusion(o, "y", "yhat")
     graph = ev.confusion(o, "y", "y_graph")
     return ev.override_impact(base, graph)

@@ -10,6 +10,7 @@ from ringwise.checks.graph_sql import ratio_round_sql
 from ringwise.operators import evaluate as ev
 from ringwise.operators import graph as g
 from ringwise.operators import rings
+from ringwise.session import stored
 
 NG = """
   SELECT e.node_type, e.node_id, count(*) AS card_count,
@@ -37,7 +38,7 @@ G3_SQL = f"""
 
 def _base(spark, sf):
     t = txn_mat(spark, sf)
-    return t, g.card_nodes(t), g.typed_edges(t)
+    return t, stored(g.card_nodes(t)), stored(g.typed_edges(t))  # every step of a check reads both again
 
 
 @register("g1_device_rings", _g("SELECT * FROM g1", "edges", "cards", "devices", ng=NG, g1=G1_SQL))
@@ -82,7 +83,7 @@ FROM mc WHERE device_frauds >= 2 OR email_frauds >= 2 OR address_frauds >= 2""",
     "keyed", "checks2", missed=MISSED_SQL, mc=MISSED_CHECK))
 def q_g4(spark, sf):
     t, cards, edges = _base(spark, sf)
-    return rings.missed_in_rings(edges, cards, ev.missed_cards(scored_txn(spark, sf)))
+    return rings.missed_in_rings(edges, cards, ev.missed_cards(scored_txn(spark, sf, t)))
 
 
 NODE_OWN = """
@@ -127,7 +128,7 @@ SELECT card_id, device_frauds, 0 AS email_frauds, 0 AS address_frauds, device_fr
 FROM mc WHERE device_frauds >= 2""", "keyed", "checks2", missed=MISSED_SQL, mc=MISSED_CHECK))
 def q_g9(spark, sf):
     t, cards, edges = _base(spark, sf)
-    out = rings.check_batch(edges, cards, ev.missed_cards(scored_txn(spark, sf)), 2, device_only=True)
+    out = rings.check_batch(edges, cards, ev.missed_cards(scored_txn(spark, sf, t)), 2, device_only=True)
     return out.withColumn("email_frauds", F.lit(0)).withColumn("address_frauds", F.lit(0))
 
 
@@ -136,7 +137,7 @@ SELECT card_id, device_frauds, email_frauds, address_frauds, total_connections
 FROM mc WHERE total_connections >= 2""", "keyed", "checks2", missed=MISSED_SQL, mc=MISSED_CHECK))
 def q_g10(spark, sf):
     t, cards, edges = _base(spark, sf)
-    return rings.check_batch(edges, cards, ev.missed_cards(scored_txn(spark, sf)), 2, device_only=False)
+    return rings.check_batch(edges, cards, ev.missed_cards(scored_txn(spark, sf, t)), 2, device_only=False)
 
 
 SCORED_SQL = """
@@ -156,7 +157,7 @@ SELECT transaction_id, yhat, CASE WHEN yhat = 0 AND card_id IN (SELECT card_id F
     "keyed", "checks2", scored=SCORED_SQL, flagged=CLEARED_DEV))
 def q_g13(spark, sf):
     t, cards, edges = _base(spark, sf)
-    sc = scored_txn(spark, sf).withColumnRenamed("p", "fraud_probability")
+    sc = scored_txn(spark, sf, t).withColumnRenamed("p", "fraud_probability")
     cleared = sc.where(F.col("yhat") == 0).select("card_id").distinct()
     flagged = rings.check_batch(edges, cards, cleared, 2, device_only=True)
     return rings.override(sc, flagged).select("transaction_id", "yhat", "y_graph")
@@ -171,7 +172,7 @@ FROM (SELECT (SELECT count(*) FROM mc WHERE device_frauds >= 2 OR email_frauds >
   FROM scored) x""", "keyed", "checks2", missed=MISSED_SQL, mc=MISSED_CHECK, scored=SCORED_SQL))
 def q_g14(spark, sf):
     t, cards, edges = _base(spark, sf)
-    sc = scored_txn(spark, sf)
+    sc = scored_txn(spark, sf, t)
     found = rings.missed_in_rings(edges, cards, ev.missed_cards(sc))
     stats = sc.agg(F.count_if(F.col("isFraud") == 1).alias("total"),
                    (F.count_if((F.col("isFraud") == 1) & (F.col("yhat") == 1)).cast("double")
@@ -212,7 +213,7 @@ def q_a7(spark, sf):
     """Report lines - summary and the top 10 of each ring table."""
     from ringwise.sources.io import ring_report
     t, cards, edges = _base(spark, sf)
-    sc = scored_txn(spark, sf)
+    sc = scored_txn(spark, sf, t)
     found = rings.missed_in_rings(edges, cards, ev.missed_cards(sc))
     total = t.where(F.col("isFraud") == 1).count()
     base_recall = sc.where((F.col("isFraud") == 1) & (F.col("yhat") == 1)).count() / max(1, total)

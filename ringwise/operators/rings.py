@@ -18,6 +18,7 @@ from ringwise.functions.decisions import RING_THRESHOLD, risk_step, ring_type
 from ringwise.functions.num import ratio_round
 from ringwise.operators.graph import fraud_cards
 from ringwise.plans.shared_links import other_fraud_counts
+from ringwise.session import stored
 
 FLOORS = {"device": (3, 2), "email": (5, 3), "address": (10, 5)}
 
@@ -73,17 +74,18 @@ def card_check(edges: DataFrame, cards: DataFrame, ids: DataFrame | None = None,
     ``ids`` (a ``card_id`` column) restricts the output; unknown ids get zeros.
     """
     e = edges.where(F.col("node_type").isin(*link_types))
+    fraud = fraud_cards(cards)
     if ids is not None:
+        ids = stored(ids.select("card_id").distinct())
         # only links of the asked cards plus the fraud cards' links are needed
-        e = e.join(ids.select("card_id").distinct(), "card_id", "left_semi").unionByName(
-            e.join(fraud_cards(cards), "card_id", "left_semi")).distinct()
-    counts = other_fraud_counts(e, fraud_cards(cards))
+        e = e.join(ids.unionByName(fraud.select("card_id")).distinct().hint("merge"), "card_id", "left_semi")
+    counts = other_fraud_counts(e, fraud)
     wide = counts.groupBy("card_id").agg(*[
         F.sum(F.when(F.col("node_type") == t, F.col("n_fraud")).otherwise(0)).alias(f"{t}_frauds")
         for t in ("device", "email", "address")])
-    base = ids.select("card_id").distinct() if ids is not None else cards.select("card_id")
+    base = ids if ids is not None else cards.select("card_id")
     d, em, a = F.col("device_frauds"), F.col("email_frauds"), F.col("address_frauds")
-    return (base.join(wide, "card_id", "left").na.fill(0, ["device_frauds", "email_frauds", "address_frauds"])
+    return (base.join(wide.hint("merge"), "card_id", "left").na.fill(0, ["device_frauds", "email_frauds", "address_frauds"])
             .withColumn("total_connections", d + em + a)
             .withColumn("in_fraud_ring", F.col("total_connections") >= RING_THRESHOLD)
             .withColumn("ring_risk_score", risk_step("total_connections"))

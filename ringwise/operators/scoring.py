@@ -18,6 +18,7 @@ from ringwise.operators import graph as g
 from ringwise.operators.graph_features import build_graph_features
 from ringwise.operators.rings import card_check
 from ringwise.operators.segments import assign_online, fit_segments
+from ringwise.session import stored
 
 
 def binary(df: DataFrame, thresholds: dict | None = None, p: str = "fraud_probability",
@@ -31,13 +32,13 @@ def score_records(txn: DataFrame, thresholds: dict | None = None, seg_params: Da
     """H7: one scored record per transaction."""
     params = seg_params if seg_params is not None else fit_segments(txn)
     if graph is None or checks is None:
-        cards, edges = g.card_nodes(txn), g.typed_edges(txn)
+        cards, edges = stored(g.card_nodes(txn)), stored(g.typed_edges(txn))  # read by the features and by every step of the check
         graph = graph if graph is not None else build_graph_features(txn, cards, edges)
         checks = checks if checks is not None else card_check(edges, cards)
     rows = assign_online(txn.withColumn("card_id", card_key()), params)
-    stored = graph.select("card_id", F.col("graph_risk_score").alias("stored_risk"))
+    risks = graph.select("card_id", F.col("graph_risk_score").alias("stored_risk"))
     chk = checks.select("card_id", "in_fraud_ring", "ring_risk_score", "total_connections", "ring_type")
-    j = (rows.join(stored, "card_id", "left").join(chk, "card_id", "left")
+    j = (rows.join(risks, "card_id", "left").join(chk, "card_id", "left")
          .withColumn("in_fraud_ring", F.coalesce("in_fraud_ring", F.lit(False)))
          .withColumn("stored_risk", F.coalesce("stored_risk", F.lit(0.0))))
     risk = F.when(F.col("in_fraud_ring"), F.greatest("stored_risk", "ring_risk_score")).otherwise(F.col("stored_risk"))

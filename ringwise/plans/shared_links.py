@@ -23,7 +23,9 @@ few nodes:
 4. A fraud card is in every one of its own nodes' sets, so it subtracts 1.
 
 Everything is joins and partially-aggregated group-bys on Spark.  The links, the cards' signatures and the sets' links
-are written once into the shared folder, because every later step reads them.
+are written once into the shared folder, because every later step reads them.  Their files are much smaller than their
+rows in memory, so the joins are asked to merge: by the size of the files a side that grows with the cards would be sent
+through the driver.
 """
 
 from __future__ import annotations
@@ -50,10 +52,12 @@ def subsets(links: DataFrame) -> DataFrame:
     sets = links.groupBy(*_SIG, "n_fraud_cards").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
     # few bytes become many rows: spread the sets over all tasks before they are cut
     tasks = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = sets.repartition(tasks, *_SIG).withColumn("mask", F.explode(F.expr("sequence(1, shiftleft(1, size(nodes)) - 1)"))).withColumn(
-        "part", F.expr("filter(nodes, (n, i) -> getbit(mask, i) = 1)"))
-    return part.select(*_SIG, "n_fraud_cards", F.xxhash64("part.a").alias("t1"), F.xxhash64("part.b").alias("t2"),
-                       F.when(F.size("part") % 2 == 1, 1).otherwise(-1).alias("sign"))
+    # every node doubles the subsets made so far; the hashes of a subset are its nodes' hashes joined by exclusive or
+    none = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(-1).alias("s")))
+    every = F.aggregate("nodes", none, lambda made, n: F.concat(made, F.transform(made, lambda t: F.struct(
+        t["a"].bitwiseXOR(n["a"]).alias("a"), t["b"].bitwiseXOR(n["b"]).alias("b"), (-t["s"]).alias("s")))))
+    part = sets.repartition(tasks, *_SIG).select(*_SIG, "n_fraud_cards", F.explode(F.slice(every, 2, F.size(every))).alias("t"))
+    return part.select(*_SIG, "n_fraud_cards", F.col("t.a").alias("t1"), F.col("t.b").alias("t2"), F.col("t.s").alias("sign"))
 
 
 def _by_subsets(links: DataFrame) -> DataFrame:
@@ -61,7 +65,7 @@ def _by_subsets(links: DataFrame) -> DataFrame:
     parts = subsets(links)
     count = (parts.where("n_fraud_cards > 0").groupBy("node_type", "t1", "t2")
              .agg(F.sum("n_fraud_cards").alias("c")))
-    return (parts.select(*_SIG, "t1", "t2", "sign").join(count, ["node_type", "t1", "t2"])
+    return (parts.select(*_SIG, "t1", "t2", "sign").join(count.hint("merge"), ["node_type", "t1", "t2"])
             .groupBy(*_SIG).agg(F.sum(F.col("sign") * F.col("c")).alias("n")))
 
 
@@ -69,14 +73,14 @@ def _by_anchor(links: DataFrame, fe: DataFrame) -> DataFrame:
     """``(signature, n)``: cards of ``fe(big, node_type, node_id, f)`` that lie on a node of the set, of those with the
     set's ``big``."""
     nf = fe.groupBy("big", "node_type", "node_id").agg(F.count(F.lit(1)).alias("nf"))
-    live = links.select("big", *_SIG, "node_id").join(nf, ["big", "node_type", "node_id"])
+    live = links.select("big", *_SIG, "node_id").join(nf.hint("merge"), ["big", "node_type", "node_id"])
     best = (live.groupBy(*_SIG).agg(F.max(F.struct("nf", "node_id")).alias("a"))
             .select(*_SIG, F.col("a.node_id").alias("anchor"), F.col("a.nf").alias("anchor_nf")))
-    others = live.join(best, _SIG).where("node_id <> anchor").select("big", *_SIG, "node_id", "anchor")
-    extra = (others.join(fe, ["big", "node_type", "node_id"])
-             .join(fe.withColumnRenamed("node_id", "anchor"), ["big", "f", "node_type", "anchor"], "left_anti")
+    others = live.join(best.hint("merge"), _SIG).where("node_id <> anchor").select("big", *_SIG, "node_id", "anchor")
+    extra = (others.join(fe.hint("merge"), ["big", "node_type", "node_id"])
+             .join(fe.withColumnRenamed("node_id", "anchor").hint("merge"), ["big", "f", "node_type", "anchor"], "left_anti")
              .select(*_SIG, "f").distinct().groupBy(*_SIG).agg(F.count(F.lit(1)).alias("extra")))
-    return best.join(extra, _SIG, "left").select(*_SIG, (F.col("anchor_nf") + F.coalesce("extra", F.lit(0))).alias("n"))
+    return best.join(extra.hint("merge"), _SIG, "left").select(*_SIG, (F.col("anchor_nf") + F.coalesce("extra", F.lit(0))).alias("n"))
 
 
 def other_fraud_counts(edges: DataFrame, fraud: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
@@ -85,24 +89,24 @@ def other_fraud_counts(edges: DataFrame, fraud: DataFrame, max_nodes: int = MAX_
     ``edges``: distinct ``(card_id, node_type, node_id)``; ``fraud``: ``card_id`` of fraud cards.
     """
     ff = fraud.select("card_id").distinct().withColumn("self", F.lit(1))
-    every = stored(edges.select("card_id", "node_type", "node_id").join(ff, "card_id", "left")
+    every = stored(edges.select("card_id", "node_type", "node_id").join(ff.hint("merge"), "card_id", "left")
                    .withColumn("self", F.coalesce("self", F.lit(0))))
     fe = every.where("self = 1").select("node_type", "node_id", F.col("card_id").alias("f"))
-    live = stored(every.join(fe.select("node_type", "node_id").distinct(), ["node_type", "node_id"], "left_semi"))
+    live = stored(every.join(fe.select("node_type", "node_id").distinct().hint("merge"), ["node_type", "node_id"], "left_semi"))
     cards = stored(live.groupBy("card_id", "node_type", "self")
                    .agg(F.count(F.lit(1)).alias("deg"), _h("s1").alias("h1"), _h("s2").alias("h2")))
     sets = cards.groupBy(*_SIG).agg(F.min("card_id").alias("card_id"), F.sum("self").alias("n_fraud_cards"))
-    links = stored(sets.join(live.drop("self"), ["card_id", "node_type"]).drop("card_id")
+    links = stored(sets.join(live.drop("self").hint("merge"), ["card_id", "node_type"]).drop("card_id")
                    .withColumn("big", F.col("deg") > max_nodes))
     wide = cards.where((F.col("deg") > max_nodes) & (F.col("self") == 1)).select(F.col("card_id").alias("f"), "node_type")
 
     # a set of many nodes meets every fraud card by its anchor, a set of few nodes only the fraud cards of many
     met = fe.withColumn("big", F.lit(True)).unionByName(
-        fe.join(wide, ["f", "node_type"], "left_semi").withColumn("big", F.lit(False)))
+        fe.join(wide.hint("merge"), ["f", "node_type"], "left_semi").withColumn("big", F.lit(False)))
     n_union = (_by_subsets(links.where("not big")).unionByName(_by_anchor(links, met))
                .groupBy(*_SIG).agg(F.sum("n").alias("n")))
-    found = cards.join(n_union, _SIG).select("card_id", "node_type", (F.col("n") - F.col("self")).alias("n"))
-    return (every.select("card_id", "node_type").distinct().join(found, ["card_id", "node_type"], "left")
+    found = cards.join(n_union.hint("merge"), _SIG).select("card_id", "node_type", (F.col("n") - F.col("self")).alias("n"))
+    return (every.select("card_id", "node_type").distinct().join(found.hint("merge"), ["card_id", "node_type"], "left")
             .select("card_id", "node_type", F.coalesce("n", F.lit(0)).cast("long").alias("n_fraud")))
 
 

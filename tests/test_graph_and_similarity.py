@@ -139,3 +139,35 @@ def test_odd_vectors_copies_and_few_rows(spark):
     two = lists(similar.similar_many(df.where("vec_id < 2"), F.lit(True), 6, dims=4))
     assert {k: len(v) for k, v in two.items()} == {0: 1, 1: 1}
     assert similar.similar_many(df.limit(0), F.lit(True), 6, dims=4).count() == 0
+
+
+def test_no_side_of_the_card_check_passes_the_driver(spark):
+    from ringwise.plans.shared_links import other_fraud_counts, other_fraud_counts_naive
+    edges = spark.createDataFrame([(f"c{c}", "device", f"d{(c * 7 + j * 3) % 11}") for c in range(40) for j in range(1 + c % 5)],
+                                  "card_id string, node_type string, node_id string").distinct()
+    fraud = spark.createDataFrame([(f"c{c}",) for c in range(0, 40, 3)], "card_id string")
+    for most in (12, 2):
+        out = other_fraud_counts(edges, fraud, most)
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        want = {(r.card_id, r.node_type): r.n_fraud for r in other_fraud_counts_naive(edges, fraud).collect()}
+        got = {(r.card_id, r.node_type): r.n_fraud for r in out.collect()}
+        assert {k: v for k, v in got.items() if v} == want
+
+
+def test_queries_pass_a_block_in_batches(spark):
+    from ringwise.operators import similar as sm
+    rng = np.random.default_rng(3)
+    emb = spark.createDataFrame([(i, [float(v) for v in rng.standard_normal(8)]) for i in range(900)], "vec_id long, embedding array<double>")
+    out = sm.similar_many(emb, F.col("id") % 2 == 0, k=3, dims=8, block_rows=200)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan  # a group of all a block's queries would be held at once
+    x = np.array([r.embedding for r in emb.orderBy("vec_id").collect()])
+    x /= np.sqrt((x ** 2).sum(axis=1, keepdims=True))
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.a, {})[r["rank"]] = r.b
+    for a in range(0, 900, 2):
+        s = np.round(x @ x[a], 9)
+        s[a] = -np.inf
+        assert [got[a][k] for k in (1, 2, 3)] == sorted(range(900), key=lambda j: (-s[j], j))[:3]
+    assert len(got) == 450
