@@ -10,6 +10,7 @@ documents that look like trusted ones stay whatever their language or topic.
 
 Everything is DataFrame expressions: words and n-gram buckets are arrays inside the row, counts are one group-by over
 at most ``BUCKETS`` keys with map-side partial sums, and the log ratios come back as one array of that fixed size.
+All trusted documents are counted, and the threshold is an exact quantile over all of them.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ringwise.plans.quantile import exact_quantiles
+from ringwise.session import stored
+
 #: Buckets of the two multinomials.
 BUCKETS = 1 << 14
-#: Trusted documents that the target multinomial and the threshold are fitted on, at most: those with the smallest
-#: hash of their id.
-TRUSTED = 20_000
+#: Bits for each id of a bitmap that marks ids: about one other id in sixteen meets a set bit too.
+BITS = 16
 #: Share of the trusted documents that may score below the threshold before the margin is taken off.
 TAIL = 0.01
 MARGIN = 0.05
@@ -98,19 +101,69 @@ def grams(h: Column) -> Column:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """Ids of the trusted documents of ``labels(doc_id, quality, toxic)``: good quality, not toxic; at most TRUSTED."""
+    """Ids of all trusted documents of ``labels(doc_id, quality, toxic)``: good quality, not toxic."""
     return (labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null")
-            .select(F.col("doc_id").cast("long").alias("_q_id")).distinct()
-            .orderBy(F.xxhash64("_q_id"), "_q_id").limit(TRUSTED))
+            .select(F.col("doc_id").cast("long").alias("_q_id")).distinct())
+
+
+def marked(ids: DataFrame, level: int) -> tuple[DataFrame, int]:
+    """Bitmaps ``(part, bits)`` with a set bit at the hash of every one of ``ids(_q_id)``, and how many bits there are."""
+    size = (ids.count() * BITS // 32_768 + 1) * 32_768
+    bit = _bit(level, size)
+    return stored(ids.groupBy(F.bitmap_bucket_number(bit).alias("_q_part"))
+                  .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_q_map"))), size
+
+
+def _bit(level: int, size: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("_q_id"), F.lit(level)), F.lit(size))
+
+
+def meets(rows: DataFrame, level: int, maps: DataFrame, size: int) -> DataFrame:
+    """``rows(_q_id, ...)`` with ``_q_met``: whether the id's bit is set (null id: not).  Every task gets the bitmaps."""
+    at = F.bitmap_bit_position(_bit(level, size))
+    byte = F.conv(F.hex(F.substring(F.col("_q_map"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = F.col("_q_id").isNotNull() & F.col("_q_map").isNotNull() & (F.getbit(F.coalesce(byte, F.lit(0)), (at % 8).cast("int")) == 1)
+    return (rows.withColumn("_q_part", F.bitmap_bucket_number(_bit(level, size))).join(F.broadcast(maps), "_q_part", "left")
+            .withColumn("_q_met", met).drop("_q_part", "_q_map"))
+
+
+def trusted_docs(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``trusted(_q_id)``, without moving a text.
+
+    A cascade of bitmaps decides exactly for the ids of ``docs``: the first marks the trusted ids, the second the others
+    that meet it, the third the trusted ones that meet the second, and so on until nothing is met by mistake.  A row is
+    trusted if the number of bitmaps that it meets one after another is odd.  Only ids are shuffled; the bitmaps take some
+    two bytes for each trusted id, and each is about a sixteenth of the one two places before.
+    """
+    rows = docs.withColumn("_q_id", F.col("doc_id").cast("long"))
+    ids = rows.select("_q_id").where("_q_id is not null").distinct()
+    seen = stored(ids.join(trusted.withColumn("_q_good", F.lit(True)), "_q_id", "left"))
+    inside = seen.where("_q_good").select("_q_id")
+    outside = seen.where("_q_good is null").select("_q_id")
+    rows, level = rows.withColumn("_q_met", F.lit(True)).withColumn("_q_n", F.lit(0)), 0
+    while not inside.isEmpty():
+        maps, size = marked(inside, level)
+        rows = meets(rows.withColumnRenamed("_q_met", "_q_on"), level, maps, size)
+        rows = rows.withColumn("_q_met", F.col("_q_on") & F.col("_q_met")).drop("_q_on") \
+            .withColumn("_q_n", F.col("_q_n") + F.col("_q_met").cast("int"))
+        inside, outside = stored(meets(outside, level, maps, size).where("_q_met").select("_q_id")), inside
+        level += 1
+    return rows.where("_q_n % 2 = 1").select(*docs.columns)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> Column:
-    """Array literal-like column: log(p_trusted / p_raw) of every bucket, as a scalar subquery."""
-    marked = (docs.join(F.broadcast(trusted), F.col("doc_id") == F.col("_q_id"), "left")  # at most TRUSTED ids
-              .select(F.col("_q_id").isNotNull().cast("long").alias("t"), F.explode(grams(F.col("_q_hash"))).alias("b")))
-    counts = marked.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("good"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select(
-        "b", (F.coalesce("raw", F.lit(0)) + SMOOTHING).alias("raw"), (F.coalesce("good", F.lit(0)) + SMOOTHING).alias("good"))
+    """Array literal-like column: log(p_trusted / p_raw) of every bucket, as a scalar subquery.
+
+    ``docs`` and ``trusted`` (the trusted ones of them) are ``with_words`` rows.
+    """
+    def counts(rows, name):
+        return (rows.select(F.explode(grams(F.col("_q_hash"))).alias("b")).groupBy("b")
+                .agg(F.count(F.lit(1)).alias(name)))
+
+    every = (docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
+             .join(counts(docs, "raw"), "b", "left").join(counts(trusted, "good"), "b", "left").select(
+        "b", (F.coalesce("raw", F.lit(0)) + SMOOTHING).alias("raw"), (F.coalesce("good", F.lit(0)) + SMOOTHING).alias("good")))
+    every = stored(every)  # asked for by the threshold and by the result
     rows = every.agg(F.array_sort(F.collect_list(F.struct("b", "good", "raw"))).alias("x"),  # BUCKETS rows
                      F.sum("good").alias("all_good"), F.sum("raw").alias("all_raw"))
     shift = F.log(F.col("all_raw") / F.col("all_good"))
@@ -127,16 +180,16 @@ def score(ratios: Column, h: str = "_q_hash") -> Column:
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``with_words`` rows of ``docs`` with ``llr``, ``threshold`` and the base counts."""
     rows = with_words(docs)
-    good = trusted_ids(labels)
-    ratios = log_ratios(with_words(docs.select("doc_id", "text")), good)
+    texts = docs.select("doc_id", "text")
+    good = with_words(trusted_docs(texts, trusted_ids(labels)))
+    ratios = log_ratios(with_words(texts), good)
 
     def with_score(df):
         return df.withColumn("_q_w", ratios).withColumn("_q_grams", grams(F.col("_q_hash"))) \
             .withColumn("llr", score(F.col("_q_w"))).drop("_q_w", "_q_grams")
 
-    fitted = with_score(with_words(docs.select("doc_id", "text").join(
-        F.broadcast(good), F.col("doc_id") == F.col("_q_id"), "left_semi")))
-    threshold = fitted.agg((F.percentile("llr", F.lit(TAIL)) - MARGIN).alias("t")).scalar()  # TRUSTED rows at most
+    fitted = stored(with_score(good).select("llr"))
+    threshold = exact_quantiles(fitted, "llr", [TAIL]).select((F.col("q0") - MARGIN).alias("t")).scalar()
     return base_rules(with_score(rows)).withColumn("threshold", F.coalesce(threshold, F.lit(float("-inf"))))
 
 

@@ -7,6 +7,7 @@ import re
 import textwrap
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -389,3 +390,24 @@ def test_words_split_like_the_contract(spark):
     df = spark.createDataFrame([(t,) for t in odd_texts()], "text string")
     for r in quality.with_words(df).select(F.col("_q_text").alias("t"), F.col("_q_words").alias("w")).collect():
         assert r.w == [x for x in re.split(r"[\x20\x09-\x0D]+", r.t) if x]
+
+
+def test_all_trusted_documents_count(spark):
+    n = 20_500
+    labels = spark.range(n).selectExpr("id * 3 as doc_id", "1 as quality", "0 as toxic").union(
+        spark.createDataFrame([(1, 0, 0), (4, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int"))
+    ids = quality.trusted_ids(labels)
+    assert ids.count() == n
+    docs = spark.range(3 * n + 50).selectExpr("if(id % 1000 = 7, null, id) as doc_id", "cast(id as string) as text")
+    docs = docs.unionByName(docs.where("doc_id = 3"))  # a repeated id is trusted both times
+    got = [r.doc_id for r in quality.trusted_docs(docs, ids).collect()]
+    assert sorted(got) == sorted([3 * i for i in range(n) if 3 * i % 1000 != 7] + [3])
+    assert quality.trusted_docs(docs, ids.where("false")).count() == 0
+
+
+def test_threshold_is_the_quantile_of_all_trusted(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(0, 59), i -> concat('w', (i * (id + 3)) % 97))) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 = 0 as int) as quality", "0 as toxic")
+    rows = quality.judge(docs, labels).collect()
+    want = np.quantile([r.llr for r in rows if r.doc_id % 2 == 0], quality.TAIL) - quality.MARGIN
+    assert {round(r.threshold, 12) for r in rows} == {round(float(want), 12)}
