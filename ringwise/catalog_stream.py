@@ -73,9 +73,9 @@ def q_n1(spark, sf):
     from ringwise.operators.rings import card_check
     from ringwise.operators.segments import fit_segments
     base = checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
-    t = txn(spark, sf)
-    st.replay(st.to_payload(t, ["fraud_probability", "D1", "D15"]), f"{base}/in", rows_per_file=5000)
-    msgs = st.read_txn_stream(spark, "json", f"{base}/in", {"maxFilesPerTrigger": "4"})
+    t = txn_mat(spark, sf)
+    files = st.replay(st.to_payload(t, ["fraud_probability", "D1", "D15"]), f"{base}/in", rows_per_file=5000)
+    msgs = st.read_txn_stream(spark, "json", f"{base}/in", {"maxFilesPerTrigger": st.files_per_trigger(files)})
     # static sides are materialised once (reliable checkpoint), not recomputed per micro-batch
     risk = cut_lineage(card_check(g.typed_edges(t), g.card_nodes(t)))
     params = cut_lineage(fit_segments(t))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ringwise.functions.decisions import confidence, decide, segment_threshold
-from ringwise.streaming.stateful import ALL_ROUTES
+from ringwise.streaming.stateful import ALL_ROUTES, DELIVERIES
 
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("transaction_id", T.StringType()),
@@ -47,15 +47,24 @@ def to_payload(txn: DataFrame, feature_cols: list[str]) -> DataFrame:
                       F.col("isFraud").alias("is_fraud"), F.col("TransactionDT").alias("_order"))
 
 
-def replay(payload: DataFrame, path: str, rows_per_file: int = 1000, first: int | None = None) -> None:
+def replay(payload: DataFrame, path: str, rows_per_file: int = 1000, first: int | None = None) -> int:
     """Write messages (all, or the ``first`` so many in time) as time-ordered JSON files so a file stream replays
-    them in order; a file holds at most ``rows_per_file`` messages."""
+    them in order; a file holds at most ``rows_per_file`` messages.  Returns the number of parts, about that of files."""
     if first is not None:
         payload = payload.orderBy("_order", "transaction_id").limit(first)
     n = payload.count()
     parts = max(1, -(-n // rows_per_file))
     (payload.repartitionByRange(parts, "_order").sortWithinPartitions("_order").drop("_order")
      .write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).json(path))
+    return parts
+
+
+def files_per_trigger(files: int, least: int = 4, batches: int = DELIVERIES) -> str:
+    """Files that a micro-batch takes at most: ``least``, or so many that a backlog of ``files`` is done in ``batches``.
+
+    Every micro-batch joins the whole card table, so their number must not grow with the backlog.
+    """
+    return str(max(least, -(-files // batches)))
 
 
 def read_txn_stream(spark: SparkSession, fmt: str = "json", path: str | None = None,
