@@ -5,7 +5,6 @@ from __future__ import annotations
 from ringwise.catalog import _g, register, txn, txn_mat
 from ringwise.operators import graph as g
 from ringwise.operators import graph_algo as ga
-from ringwise.session import stored
 
 ITERS, DAMP = 30, 0.85
 
@@ -82,7 +81,7 @@ _RANK = {**_ctes, "ranks": _body}
 
 def _comm(spark, sf):
     t = txn_mat(spark, sf)
-    e = stored(g.typed_edges(t))
+    e = ga.VertexGraph(g.typed_edges(t))  # one graph for communities and ranks
     return t, e, ga.communities(e, LEVELS, TURNS)
 
 

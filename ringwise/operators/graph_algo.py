@@ -3,8 +3,8 @@
 Vertices are cards plus typed nodes (``device:<id>``, ``email:<id>``,
 ``address:<id>``); every distinct card-node link is an undirected edge, so
 parallel links of different types count separately.  Iterations are
-DataFrame joins and group-bys over edges bucketed by source; lineage is cut
-in ``spark.checkpoint.dir``.
+DataFrame joins and group-bys over edges bucketed by source, on vertex numbers
+that stand in the order of the names; lineage is cut in ``spark.checkpoint.dir``.
 
 Fixed values: PageRank 30 rounds, damping 0.85, start rank 1,
 un-normalised form ``0.15 + 0.85 * sum(rank / degree)``; community risk keeps
@@ -17,32 +17,82 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringwise.plans.edge_rounds import EdgeRounds
-from ringwise.session import stored
+from ringwise.session import bucketed, stored
+
+
+def _pairs(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("card_id").alias("src"), F.concat_ws(":", "node_type", "node_id").alias("dst"))
+
+
+def _both_ways(one: DataFrame) -> DataFrame:
+    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
 def vertex_edges(edges: DataFrame) -> DataFrame:
     """Undirected edge list ``(src, dst)`` over card and typed-node vertices (both directions)."""
-    node = F.concat_ws(":", "node_type", "node_id")
-    one = edges.select(F.col("card_id").alias("src"), node.alias("dst"))
-    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return _both_ways(_pairs(edges))
+
+
+class VertexGraph:
+    """The card-node graph on numbers: ``names(v, name)``, ``degrees(v, k, own)`` and rounds over ``(src, dst, w, to_k)``.
+
+    Numbers ascend with the names, so the smallest number is the smallest name.  The names are sorted and written once,
+    and everything later reads what was written; ``to_k`` is the degree of ``dst``.
+    """
+
+    def __init__(self, edges: DataFrame):
+        one = stored(_pairs(edges))
+        self.names = stored(_both_ways(one).select(F.col("src").alias("name")).distinct().orderBy("name")
+                            .select(F.monotonically_increasing_id().alias("v"), "name"))
+        for end in ("src", "dst"):
+            one = (one.withColumnRenamed(end, "name").join(self.names.hint("shuffle_hash"), "name").drop("name")
+                   .withColumnRenamed("v", end))
+        self.size = (self.names.agg(F.max("v")).first()[0] or 0) + 1  # above every number
+        both = _both_ways(stored(one.select("src", "dst"))).withColumn("w", F.lit(1).cast("long"))
+        self.degrees = bucketed(_degrees(both), "v")
+        self.rounds = EdgeRounds(_with_target(both, self.degrees))
+
+    def named(self, df: DataFrame, *cols: str) -> DataFrame:
+        """``df`` with the names of the vertices in ``cols`` in place of their numbers."""
+        for col in cols:
+            rest = [F.col("name").alias(c) if c == col else F.col(c) for c in df.columns]
+            df = df.join(self.names.select(F.col("v").alias(col), "name").hint("merge"), col).select(*rest)
+        return df
+
 
+def _degrees(edges: DataFrame) -> DataFrame:
+    own = F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0)
+    return edges.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("k"), F.sum(own).alias("own"))
 
-def pagerank(edges: DataFrame, iters: int = 30, d: float = 0.85, cut_every: int = 10) -> DataFrame:
+
+def _with_target(edges: DataFrame, degrees: DataFrame) -> DataFrame:
+    return edges.join(degrees.select(F.col("v").alias("dst"), F.col("k").alias("to_k")).hint("shuffle_hash"), "dst")
+
+
+def pagerank(edges: DataFrame | VertexGraph, iters: int = 30, d: float = 0.85, cut_every: int = 10) -> DataFrame:
     """``(vertex, kind, rank)`` after a fixed number of synchronous rounds.
 
-    The weighted edges lie bucketed by source: a round exchanges contributions only.
+    The edges lie bucketed by source, the degrees by vertex: a round exchanges contributions only.
     """
-    e = vertex_edges(edges)
-    deg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    # each edge carries 1/deg(src); ranks join on src, contributions aggregate on dst
-    rounds = EdgeRounds(e.join(deg, "src").select("src", "dst", (1.0 / F.col("deg")).alias("w")))
-    ranks = rounds.edges.select(F.col("src").alias("v")).distinct().withColumn("rank", F.lit(1.0))
+    graph = edges if isinstance(edges, VertexGraph) else VertexGraph(edges)
+    rounds = graph.rounds
+    ranks = graph.degrees.withColumn("rank", F.lit(1.0))
     for i in range(1, iters + 1):
-        contrib = rounds.send(ranks).groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("s"))
-        ranks = contrib.select(F.col("dst").alias("v"), (1.0 - d + d * F.col("s")).alias("rank"))
-        if i < iters and (rounds.has_hubs or i % cut_every == 0):
-            ranks = stored(ranks)  # hubs read the ranks a second time
-    return ranks.select("v", _kind("v"), F.round("rank", 9).alias("rank"))
+        share = ranks.select("v", (F.col("rank") / F.col("k")).alias("x"))
+        if rounds.has_hubs or i % cut_every == 0:
+            share = stored(share)  # hubs read the shares a second time
+        got = graph.degrees.join(_sums(rounds.send_cold(share)).hint("shuffle_hash"), "v", "left")
+        s = F.coalesce("s", F.lit(0.0))
+        if rounds.has_hubs:
+            hot = _sums(rounds.send_hot(share)).withColumnRenamed("s", "hot")
+            got = got.join(hot.hint("shuffle_hash"), "v", "left")
+            s = s + F.coalesce("hot", F.lit(0.0))
+        ranks = got.select("v", "k", (1.0 - d + d * s).alias("rank"))
+    return graph.named(ranks, "v").select("v", _kind("v"), F.round("rank", 9).alias("rank"))
+
+
+def _sums(sent: DataFrame) -> DataFrame:
+    return sent.groupBy(F.col("dst").alias("v")).agg(F.sum(F.col("x") * F.col("w")).alias("s"))
 
 
 def _kind(v: str):
@@ -53,80 +103,102 @@ def _wide(x) -> Column:
     return F.col(x).cast("decimal(38,0)") if isinstance(x, str) else x.cast("decimal(38,0)")
 
 
-def move_round(state: DataFrame, rounds: EdgeRounds, twice_m: int, turn: int) -> DataFrame:
+def _exact(x, twice_m: int) -> Column:
+    """A factor of products up to ``twice_m ** 2``: long where those fit, else a decimal."""
+    return (F.col(x) if isinstance(x, str) else x).cast("long") if twice_m < 2 ** 31 else _wide(x)
+
+
+def draws(turns: list[int]) -> Column:
+    """One bit for every turn: whether the vertex ``name`` may move in it."""
+    bit = [F.when(F.substring(F.md5(F.concat("name", F.lit(f":{turn}"))), 1, 1) < "8", 1 << i).otherwise(0)
+           for i, turn in enumerate(turns)]
+    return sum(bit[1:], bit[0]).cast("long")
+
+
+def move_round(state: DataFrame, rounds: EdgeRounds, twice_m: int, size: int, bit: int) -> DataFrame:
     """One synchronous round of community moves by modularity gain.
 
-    ``state(v, k, own, c)`` (``k`` degree, ``own`` self-loop weight, ``c`` community) -> the same with ``inside`` (weight to
-    the own community), ``next`` and ``wants``.  Joining C is worth ``w(v, C) * 2m - k * total(C)``, staying
-    ``w(v, c) * 2m - k * (total(c) - k)``; the best C (ties: smallest name) wins only when strictly better.  Half of the
-    vertices, drawn by a hash of name and turn, may move in a turn, so neighbours seldom swap places.
+    ``state(v, k, own, draw, c, total)``, a stored table (``k`` degree, ``own`` self-loop weight, ``c`` community of degree
+    ``total``) -> the same with ``inside`` (weight to the own community), ``next`` and ``wants``.  Joining C is worth
+    ``w(v, C) * 2m - k * total(C)``, staying ``w(v, c) * 2m - k * (total(c) - k)``; the best C (ties: smallest name) wins only
+    when strictly better.  Half of the vertices, drawn by a hash of name and turn, may move in a turn, so neighbours seldom
+    swap places.  The best is the smallest ``-worth * size + number`` (numbers are below ``size``), one decimal that is
+    aggregated without sorting.  Messages bring the total of their community along and edges the degree of their target, so what arrives
+    is scored where it is summed and never joined.
     """
-    m2 = F.lit(twice_m).cast("decimal(38,0)")
-    total = state.groupBy("c").agg(F.sum("k").alias("total"))
-    links = (rounds.send(state.select("v", "c")).where("src <> dst")
-             .groupBy(F.col("dst").alias("v"), F.col("c").alias("to")).agg(F.sum("w").alias("w")))
-    scored = (links.join(state.select("v", "k", "c"), "v").join(total.withColumnRenamed("c", "to"), "to")
-              .withColumn("score", _wide("w") * m2 - _wide("k") * _wide("total")))
-    best = scored.groupBy("v").agg(F.min(F.when(F.col("to") != F.col("c"), F.struct((-F.col("score")).alias("low"), "to"))).alias("best"),
-                                   F.sum(F.when(F.col("to") == F.col("c"), F.col("w"))).alias("inside"))
-    stay = _wide("inside") * m2 - _wide("k") * (_wide("total") - _wide("k"))
-    wants = F.coalesce(-F.col("best.low") > stay, F.lit(False))
-    mine = F.substring(F.md5(F.concat("v", F.lit(f":{turn}"))), 1, 1) < "8"
-    return (state.select("v", "k", "own", "c").join(total, "c").join(best, "v", "left")
-            .withColumn("inside", F.coalesce("inside", F.lit(0))).withColumn("wants", wants)
-            .select("v", "k", "own", "c", "inside", "wants",
-                    F.when(F.col("wants") & mine, F.col("best.to")).otherwise(F.col("c")).alias("next")))
+    m2 = _exact(F.lit(twice_m), twice_m)
+    sent = (rounds.send(state.select("v", "c", "total")).where("src <> dst")
+            .select(F.col("dst").alias("v"), F.col("to_k").alias("k"), F.col("c").alias("to"), "total", "w", F.lit(0).alias("mine")))
+    mine = state.select("v", "k", F.col("c").alias("to"), "total", F.lit(0).cast("long").alias("w"), F.lit(1).alias("mine"))
+    links = (sent.unionByName(mine).groupBy("v", "k", "to", "total").agg(F.sum("w").alias("w"), F.max("mine").alias("mine"))
+             .withColumn("low", _exact("k", twice_m) * _exact("total", twice_m) - _exact("w", twice_m) * m2))
+    best = links.groupBy("v").agg(F.min(F.when(F.col("mine") == 0, _wide("low") * _wide(F.lit(size)) + F.col("to"))).alias("best"),
+                                  F.sum(F.when(F.col("mine") == 1, F.col("w"))).alias("inside"))
+    stay = _exact("inside", twice_m) * m2 - _exact("k", twice_m) * _exact(F.col("total") - F.col("k"), twice_m)
+    wants = F.coalesce(F.col("best") < _wide(-stay) * _wide(F.lit(size)), F.lit(False))
+    mine = F.col("draw").bitwiseAND(F.lit(1 << bit)) != 0
+    return (state.join(best.hint("shuffle_hash"), "v").withColumn("wants", wants)
+            .select("v", "k", "own", "draw", "c", "total", "inside", "wants",
+                    F.when(F.col("wants") & mine, F.pmod("best", _wide(F.lit(size))).cast("long")).otherwise(F.col("c")).alias("next")))
 
 
 def modularity_sum(round_: DataFrame, twice_m: int) -> tuple[int, int]:
-    """Modularity times ``(2m)^2`` of the communities ``c``, exactly, and how many vertices want to move."""
-    part = round_.groupBy("c").agg(F.sum(F.col("inside") + F.col("own")).alias("i"), F.sum("k").alias("t"),
-                                   F.count_if("wants").alias("n"))
-    r = part.agg(F.sum(_wide("i")), F.sum(_wide("t") * _wide("t")), F.sum("n")).first()
+    """Modularity times ``(2m)^2`` of the communities ``c``, exactly, and how many vertices want to move.
+
+    A community's squared total is the sum of ``k * total`` over its vertices.
+    """
+    r = round_.agg(F.sum(F.col("inside") + F.col("own")), F.sum(_exact("k", twice_m) * _exact("total", twice_m)),
+                   F.count_if("wants")).first()
     return int(r[0]) * twice_m - int(r[1]), int(r[2])
 
 
-def louvain(edges: DataFrame, levels: int = 3, turns: int = 8) -> tuple[DataFrame, list[float]]:
+def _with_total(state: DataFrame) -> DataFrame:
+    return stored(state.join(state.groupBy("c").agg(F.sum("k").alias("total")), "c")
+                  .select("v", "k", "own", "draw", "c", "total"))
+
+
+def louvain(edges: DataFrame | VertexGraph, levels: int = 3, turns: int = 8) -> tuple[DataFrame, list[float]]:
     """``(v, community)`` of every vertex, and the modularity reached by each level.
 
     Blondel, Guillaume, Lambiotte and Lefebvre (2008) as DataFrame rounds: on every level the vertices move for at most
     ``turns`` turns and the best state (the earliest of equals) is kept, so modularity never falls; then communities
     become the vertices of the next level, with the weights between them.  A community is named after one of its vertices.
     """
-    graph = vertex_edges(edges).select("src", "dst", F.lit(1).cast("long").alias("w"))
-    twice_m, found, reached = None, None, []
-    for level in range(levels):
-        rounds = EdgeRounds(graph)
-        if twice_m is None:
-            twice_m = rounds.edges.agg(F.sum("w")).first()[0] or 0
-            found = rounds.edges.select(F.col("src").alias("v")).distinct().withColumn("community", F.col("v"))
-            if not twice_m:
-                return found, reached
-        state = rounds.edges.groupBy(F.col("src").alias("v")).agg(
-            F.sum("w").alias("k"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0)).alias("own"))
-        state = stored(state.withColumn("c", F.col("v")))
+    graph = edges if isinstance(edges, VertexGraph) else VertexGraph(edges)
+    twice_m = graph.degrees.agg(F.sum("k")).first()[0] or 0
+    found, reached = graph.degrees.select("v", F.col("v").alias("community")), []
+    rounds, members = graph.rounds, graph.degrees
+    for level in range(levels if twice_m else 0):
+        if level:
+            weights = stored(weights)
+            members = stored(_degrees(weights))
+            rounds = EdgeRounds(_with_target(weights, members))
+        names = graph.names.select("v", draws([level * 100 + t for t in range(turns + 1)]).alias("draw"))
+        state = stored(members.join(names.hint("merge"), "v")
+                       .select("v", "k", "own", "draw", F.col("v").alias("c"), F.col("k").alias("total")))
         kept, best, first = state, None, None
         for turn in range(turns + 1):
-            done = stored(move_round(state, rounds, twice_m, level * 100 + turn))
+            done = stored(move_round(state, rounds, twice_m, graph.size, turn))
             q, wants = modularity_sum(done, twice_m)
             first = q if first is None else first
             if best is None or q > best:
                 kept, best = done.select("v", "c"), q
-            if not wants:
+            if not wants or turn == turns:
                 break
-            state = done.select("v", "k", "own", F.col("next").alias("c"))
+            state = _with_total(done.select("v", "k", "own", "draw", F.col("next").alias("c")))
         reached.append(best / twice_m ** 2)
         if best == first:  # nothing was gained: further levels would repeat this one
             break
-        found = stored(found.join(kept.select(F.col("v").alias("community"), "c"), "community")
+        found = stored(found.join(kept.select(F.col("v").alias("community"), "c").hint("merge"), "community")
                        .select("v", F.col("c").alias("community")))
-        graph = (rounds.edges.join(kept.select(F.col("v").alias("src"), F.col("c").alias("a")), "src")
-                 .join(kept.select(F.col("v").alias("dst"), F.col("c").alias("b")), "dst")
-                 .groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
-    return found, reached
+        # what every vertex gets from a community is summed first: fewer rows, and those of hubs are spread
+        weights = (rounds.send(kept).groupBy("dst", F.col("c").alias("src")).agg(F.sum("w").alias("w"))
+                   .join(kept.withColumnRenamed("v", "dst").hint("merge"), "dst")
+                   .groupBy("src", F.col("c").alias("dst")).agg(F.sum("w").alias("w")))
+    return graph.named(found, "v", "community"), reached
 
 
-def communities(edges: DataFrame, levels: int = 3, turns: int = 8) -> DataFrame:
+def communities(edges: DataFrame | VertexGraph, levels: int = 3, turns: int = 8) -> DataFrame:
     """``(v, kind, community)`` by modularity, every vertex once."""
     found, _ = louvain(edges, levels, turns)
     return found.select("v", _kind("v"), "community")
