@@ -9,20 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringwise.session import stored
+from ringwise.session import files, stored
 
 
 def _state(edges: DataFrame):
     return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, about: int | None = None) -> DataFrame:
     """``edges(u, v)`` (longs) -> ``(node, component)`` for every node with an edge to another node.
 
     ``component`` is the smallest node reachable.  Nulls, self-loops and repeated edges are ignored; an empty
-    table gives an empty table.  Raises if ``max_rounds`` do not suffice (rounds grow with log of the size).
+    table gives an empty table.  ``about``: how many edges there are, for the number of files.  Raises if ``max_rounds`` do not suffice (rounds grow with log of the size).
     """
-    e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e = stored(e if about is None else e.coalesce(files(about)))
     state = _state(e)
     for _ in range(max_rounds):
         if not state[0]:
@@ -36,7 +37,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        e = stored(small)
+        e = stored(small.coalesce(files(state[0])))
         new = _state(e)
         if new == state:
             break

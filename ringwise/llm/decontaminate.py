@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ringwise.llm.arrow import chunks
 
@@ -193,11 +194,12 @@ def item_blocks(benchmark: DataFrame, window: int) -> Iterator[Automaton]:
 _SPANS = "array<struct<a:int,b:int>>"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, then=None, schema=None) -> DataFrame:
     """``docs`` with ``_dc_words int``, ``_dc_spans`` (hit word ranges [a, b), disjoint, in order), ``_dc_items`` (ids).
 
     All columns of ``docs`` stay; they may have any names but these.  Null text has no words.  Item ids are compared
-    as strings; repeated items count once by id; a null id is the empty string.
+    as strings; repeated items count once by id; a null id is the empty string.  ``then`` takes the last pass's batches
+    on to rows of ``schema``, in the same worker.
     """
     out = docs.select("*", F.lit(0).alias("_dc_words"), F.array().cast(_SPANS).alias("_dc_spans"),
                       F.array().cast("array<string>").alias("_dc_items"))
@@ -220,6 +222,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
                          pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
                          pa.array(items, pa.list_(pa.string()))], names=part.schema.names)
 
+        if then is not None and automaton is blocks[-1]:
+            return out.mapInArrow(lambda batches, run=run: then(run(batches)), schema)
         out = out.mapInArrow(run, out.schema)
     return out
 
@@ -248,27 +252,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, longe
     and ``n_chars``, if there is one, is counted anew for changed texts.
     """
     names = docs.columns
-    found = scan(docs, benchmark, window)
-    hit = F.aggregate("_dc_spans", F.lit(0), lambda t, x: t + x["b"] - x["a"])
-    kept = found.where(hit <= F.col("_dc_words") * F.lit(coverage))
-    dirty = F.exists("_dc_spans", lambda x: x["b"] - x["a"] > longest)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch):
-                out = []
-                for text, null, spans in zip(texts, part.column("text").is_null().to_pylist(),
-                                             part.column("_dc_spans").to_pylist()):
+                at = part.schema.get_field_index("text")
+                stay, out, dirty = [], [], []
+                for text, null, n, spans in zip(texts, part.column("text").is_null().to_pylist(),
+                                                part.column("_dc_words").to_pylist(), part.column("_dc_spans").to_pylist()):
+                    stay.append(sum(x["b"] - x["a"] for x in spans) <= n * coverage)
+                    if not stay[-1]:
+                        continue
                     spans = [(x["a"], x["b"]) for x in spans if x["b"] - x["a"] > longest]
+                    dirty.append(bool(spans))
                     out.append(None if null else _cut(text, spans).decode("utf-8", "replace") if spans
                                else text.decode("utf-8", "replace"))
-                at = part.schema.get_field_index("text")
+                mask = pa.array(stay, pa.bool_())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out, pa.string()) if i == at else c for i, c in enumerate(part.columns)],
-                    names=part.schema.names)
+                    [pa.array(out, pa.string()) if i == at else c.filter(mask) for i, c in enumerate(part.columns[:-3])]
+                    + [pa.array(dirty, pa.bool_())], names=[*part.schema.names[:-3], "_dc_dirty"])
 
-    out = kept.withColumn("_dc_dirty", dirty)
-    out = out.mapInArrow(cut, out.schema)
+    # found and cut by one worker: another one for each task would stay in the executor's memory
+    out = scan(docs, benchmark, window, cut, T.StructType([*docs.schema.fields, T.StructField("_dc_dirty", T.BooleanType())]))
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("_dc_dirty"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))

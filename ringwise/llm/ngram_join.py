@@ -39,12 +39,14 @@ from pyspark.sql import functions as F
 
 from ringwise.llm.arrow import chunks, mix, word_hashes
 from ringwise.llm.components import connected_components
-from ringwise.session import stored
+from ringwise.session import few, files, stored
 
 #: 64-bit words of a bitmap signature.
 BITMAP_WORDS = 16
 #: Bits of the filter that keeps texts without a tile partner out of the text join (1 MB).
 FILTER_BITS = 1 << 23
+#: Texts that fill a file.
+FILE_TEXTS = 5000
 #: Rows of a tile's block: a task compares two blocks.
 BLOCK = 512
 #: A band's largest size over its smallest.
@@ -266,22 +268,18 @@ def may_hold(rows: DataFrame, ids: DataFrame) -> DataFrame:
     A hashed bitmap of FILTER_BITS bits whatever the number of ids, sent to every task as a table of 63-bit words (2 MB at
     most); with very many ids more rows pass, and the exact join behind it takes longer.
     """
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
     words = stored(ids.select(bit.alias("b")).selectExpr("b div 63 as _w", "shiftleft(1L, cast(b % 63 as int)) as v")
-                   .groupBy("_w").agg(F.bit_or("v").alias("_v")))
+                   .groupBy("_w").agg(F.bit_or("v").alias("_v")).coalesce(files(FILTER_BITS // 63)))
     return (rows.withColumn("_b", bit).withColumn("_w", F.expr("_b div 63")).join(F.broadcast(words), "_w", "left")
             .withColumn("maybe", F.expr("coalesce(getbit(_v, cast(_b % 63 as int)) = 1, false)")).drop("_b", "_w", "_v"))
 
 
-def near_groups(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id, n_shingles, component_id`` (smallest doc_id reachable by links).
-
-    Words are runs without ASCII white space, A-Z lower-cased.  A text with fewer than ``n`` words is one shingle; one
-    without words (or null) has none and links with nothing.  ``doc_id`` is the document's key: rows that repeat it are
-    answered each, and rows without it get their own size and a null component.  Other columns are ignored.
-    """
+def linked(docs: DataFrame, n: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """The stored ``signatures`` of ``docs(doc_id, text)``, and ``node, component`` of every document with a link."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = stored(signatures(docs, n, threshold))
+    size = sig.count()
     nodes = sig.where("n_shingles > 0 and doc_id is not null")
 
     tops, differ = bands(threshold)
@@ -289,7 +287,7 @@ def near_groups(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFrame:
     same = (nodes.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("c"))
             .where("c > 1").drop("c"))
     copies = stored(nodes.select("doc_id", "n_shingles", "d1", "d2").join(same, ["n_shingles", "d1", "d2"])
-                    .where("doc_id <> node").select("doc_id", "node").distinct())
+                    .where("doc_id <> node").select("doc_id", "node").distinct().coalesce(files(size)))
 
     # tiles with two documents or more, copies aside
     known = copies.select("doc_id").distinct()
@@ -311,16 +309,18 @@ def near_groups(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFrame:
             .selectExpr("*", f"row_number() {mine} order by c, key) as nth", f"count(1) {mine}) as common")
             .where("full <= differ or nth <= differ + 1 - (full - common)"))
     # tiles of a band with the same members are one
-    shared = stored(rare.groupBy("node", "leader", "c", "members", "band").agg(F.count(F.lit(1)).alias("keys"))
-                    .select("node", "leader", F.xxhash64("leader", "c", "members", "band").alias("tile"), "band", "keys"))
+    shared = stored(few(rare.groupBy("node", "leader", "c", "members", "band").agg(F.count(F.lit(1)).alias("keys"))
+                        .select("node", "leader", F.xxhash64("leader", "c", "members", "band").alias("tile"), "band", "keys"),
+                        files(4 * size)))
 
     meet = shared.select(F.col("node").alias("doc_id")).distinct()
-    texts = stored(may_hold(docs, meet).where("maybe").drop("maybe").join(meet, "doc_id", "left_semi"))
+    some = may_hold(docs, meet).where("maybe").drop("maybe").join(meet.hint("merge"), "doc_id", "left_semi")
+    texts = stored(some.coalesce(1 + meet.count() // FILE_TEXTS))
 
     star = (shared.where("node <> leader").groupBy("node").agg(F.min("leader").alias("leader"))
             .select(F.col("leader").alias("a"), F.col("node").alias("b")))
-    first = stored(exact(bounded(star, nodes, threshold), texts, n, threshold))
-    comp = connected_components(first.toDF("u", "v"))
+    first = stored(few(exact(bounded(star, nodes, threshold), texts, n, threshold), files(size)))
+    comp = connected_components(first.toDF("u", "v"), about=first.count())
 
     # tiles that still hold two components
     labelled = (shared.select("node", "tile", "band").join(comp, "node", "left")
@@ -333,11 +333,23 @@ def near_groups(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFrame:
             .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k"))
             .join(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "bits"), "node"))
-    rest = stored(_tile_pairs(rows, threshold))
+    rest = stored(_tile_pairs(rows, threshold).coalesce(files(shared.count())))
     second = exact(rest, texts, n, threshold)
 
     edges = first.unionByName(second).toDF("u", "v")
-    comp = stored(connected_components(edges.unionByName(copies.toDF("u", "v"))))
+    about = first.count() + rest.count() + copies.count()
+    comp = connected_components(edges.unionByName(copies.toDF("u", "v")), about=about)
+    return sig, stored(comp.coalesce(files(2 * about)))
+
+
+def near_groups(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``doc_id, n_shingles, component_id`` (smallest doc_id reachable by links).
+
+    Words are runs without ASCII white space, A-Z lower-cased.  A text with fewer than ``n`` words is one shingle; one
+    without words (or null) has none and links with nothing.  ``doc_id`` is the document's key: rows that repeat it are
+    answered each, and rows without it get their own size and a null component.  Other columns are ignored.
+    """
+    sig, comp = linked(docs, n, threshold)
     return (sig.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .withColumn("component_id", F.coalesce("component", "doc_id"))
             .select("doc_id", "n_shingles", "component_id"))
@@ -348,5 +360,9 @@ def drop_near_copies(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFr
 
     Of rows that repeat the kept doc_id, all stay only if they are the same document; rows without doc_id stay.
     """
-    gone = (near_groups(docs, n, threshold).where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti")
+    _, comp = linked(docs, n, threshold)
+    gone = comp.where("component <> node").select(F.col("node").alias("doc_id"))
+    # only texts that the filter lets through meet the ids; merged, so that the scan keeps its tasks
+    rows = may_hold(docs.select("doc_id", F.struct("*").alias("_n_row")), gone)
+    stays = rows.where("maybe").join(gone.hint("merge"), "doc_id", "left_anti").coalesce(1 + gone.count() // FILE_TEXTS)
+    return rows.where("not maybe").select("_n_row.*").unionByName(stays.select("_n_row.*"))

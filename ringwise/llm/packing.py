@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringwise.llm.arrow import chunks
-from ringwise.session import stored
+from ringwise.session import files, stored
 
 #: Words, and as many words without their punctuation, whose ids a worker keeps in each of two generations.
 CACHE_WORDS = 200_000
@@ -223,7 +223,8 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int
     # how many pieces of a length the files before have: rank within the file -> rank among all
     per_file = cut.groupBy("length", "file").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = stored(per_file.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    n_files = files(cut.count())
+    starts = stored(per_file.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).coalesce(n_files))
     totals = {r["length"]: r["n"] for r in  # at most `capacity` rows
               starts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     whole = totals.pop(capacity, 0)
@@ -253,6 +254,6 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int
     # one row per task and length grows with the data: a sort-merge join, never a broadcast
     ranked = (cut.join(starts.select("length", "file", "before").hint("merge"), ["length", "file"])
               .select("doc_id", "start", "length", "ids_crc32", "doc_tokens",
-                      (F.col("rank") + F.col("before")).cast("long").alias("rank")))
+                      (F.col("rank") + F.col("before")).cast("long").alias("rank")).coalesce(n_files))
     return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
                                     "sequence_id long, offset long")

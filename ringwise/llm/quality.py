@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringwise.plans.quantile import exact_quantiles
-from ringwise.session import stored
+from ringwise.session import few, files, stored
 
 #: Buckets of the two multinomials.
 BUCKETS = 1 << 14
 #: Bits for each id of a bitmap that marks ids: about one other id in sixteen meets a set bit too.
 BITS = 16
+#: Bitmaps of 4 KB that fill a file.
+MAPS = 1000
 #: Share of the trusted documents that may score below the threshold before the margin is taken off.
 TAIL = 0.01
 MARGIN = 0.05
@@ -110,8 +112,9 @@ def marked(ids: DataFrame, level: int) -> tuple[DataFrame, int]:
     """Bitmaps ``(part, bits)`` with a set bit at the hash of every one of ``ids(_q_id)``, and how many bits there are."""
     size = (ids.count() * BITS // 32_768 + 1) * 32_768
     bit = _bit(level, size)
-    return stored(ids.groupBy(F.bitmap_bucket_number(bit).alias("_q_part"))
-                  .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_q_map"))), size
+    maps = (ids.groupBy(F.bitmap_bucket_number(bit).alias("_q_part"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_q_map")))
+    return stored(few(maps, 1 + size // 32_768 // MAPS)), size
 
 
 def _bit(level: int, size: int) -> Column:
@@ -137,7 +140,7 @@ def trusted_docs(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """
     rows = docs.withColumn("_q_id", F.col("doc_id").cast("long"))
     ids = rows.select("_q_id").where("_q_id is not null").distinct()
-    seen = stored(ids.join(trusted.withColumn("_q_good", F.lit(True)), "_q_id", "left"))
+    seen = stored(few(ids.join(trusted.withColumn("_q_good", F.lit(True)), "_q_id", "left"), files(docs.count())))
     inside = seen.where("_q_good").select("_q_id")
     outside = seen.where("_q_good is null").select("_q_id")
     rows, level = rows.withColumn("_q_met", F.lit(True)).withColumn("_q_n", F.lit(0)), 0
@@ -163,7 +166,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> Column:
     every = (docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
              .join(counts(docs, "raw"), "b", "left").join(counts(trusted, "good"), "b", "left").select(
         "b", (F.coalesce("raw", F.lit(0)) + SMOOTHING).alias("raw"), (F.coalesce("good", F.lit(0)) + SMOOTHING).alias("good")))
-    every = stored(every)  # asked for by the threshold and by the result
+    every = stored(few(every, files(BUCKETS)))  # asked for by the threshold and by the result
     rows = every.agg(F.array_sort(F.collect_list(F.struct("b", "good", "raw"))).alias("x"),  # BUCKETS rows
                      F.sum("good").alias("all_good"), F.sum("raw").alias("all_raw"))
     shift = F.log(F.col("all_raw") / F.col("all_good"))
@@ -188,7 +191,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return df.withColumn("_q_w", ratios).withColumn("_q_grams", grams(F.col("_q_hash"))) \
             .withColumn("llr", score(F.col("_q_w"))).drop("_q_w", "_q_grams")
 
-    fitted = stored(with_score(good).select("llr"))
+    fitted = stored(few(with_score(good).select("llr"), files(docs.count())))
     threshold = exact_quantiles(fitted, "llr", [TAIL]).select((F.col("q0") - MARGIN).alias("t")).scalar()
     return base_rules(with_score(rows)).withColumn("threshold", F.coalesce(threshold, F.lit(float("-inf"))))
 

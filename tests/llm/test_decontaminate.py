@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from ringwise.llm import decontaminate as dc
 from ringwise.llm.queries import QUERIES
 
@@ -96,3 +98,17 @@ def test_passages_are_cut_and_mostly_copied_documents_dropped(spark):
     assert out[1].text == own and out[1].n_chars == -1 and out[1]["items"] == "z" and out[4].text is None
     assert out[2].text == f"{own}. {own}" and out[2].n_chars == len(out[2].text)
     assert out[5].text == f"{own}\n"
+
+
+@pytest.mark.parametrize("block", [60, 2_000_000])
+def test_passages_are_found_and_cut_by_one_worker(spark, monkeypatch, block):
+    """Each mapInArrow of a stage holds a Python worker of its own for every running task."""
+    monkeypatch.setattr(dc, "BLOCK_WORDS", block)
+    docs, items = frames(spark, *cases())
+    out = dc.decontaminate(docs, items)
+    passes = len(list(dc.item_blocks(items, 10)))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == passes
+    found = dc.scan(docs, items).collect()
+    want = [(r.doc_id, dc._cut((r.text or "").encode(), s).decode() if s else r.text, r.spans, r.item_id) for r in found
+            if sum(x.b - x.a for x in r._dc_spans) <= r._dc_words * 0.5 for s in [[(x.a, x.b) for x in r._dc_spans if x.b - x.a > 9]]]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str) and 0 < len(want) < len(found)

@@ -107,3 +107,34 @@ def test_components(spark):
     got = {tuple(r) for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), *((x, 5) for x in range(5, 10)), (100, 100), (101, 100), (102, 100)}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_small_tables_go_to_few_files(spark, tmp_path, monkeypatch):
+    """Without coalescing by adaptive execution, small tables would be written in a file for each shuffle partition."""
+    from ringwise import session
+    folder, names = tmp_path / "shared", ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    monkeypatch.setattr(session, "checkpoint_dir", lambda _: str(folder))
+    before = {k: spark.conf.get(k) for k in names}
+    rows = planted()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    try:
+        for k, v in zip(names, ("61", "false")):
+            spark.conf.set(k, v)
+        kept = nj.drop_near_copies(df, 3, 90)
+        got = {r.doc_id for r in kept.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i for i, _, c in brute(rows, 3, 90) if i == c}
+    made = [len(list(p.glob("part-*.parquet"))) for p in folder.glob("stored-*")]
+    assert len(made) > 8 and max(made) <= 7, made
+
+
+def test_near_copies_go_whatever_the_filter_lets_through(spark, monkeypatch):
+    """With a filter of 64 bits nearly every row meets the ids; null and int ids, own columns and repeated rows stay."""
+    rows = planted()
+    monkeypatch.setattr(nj, "FILTER_BITS", 64)
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows] + [(None, rows[0][1], "n"), (None, None, "m")], "doc_id int, text string, maybe string")
+    got = sorted(((r.doc_id, r.maybe) for r in nj.drop_near_copies(df, 3, 90).collect()), key=str)
+    want = [(i, "x") for i, _, c in brute(rows, 3, 90) if i == c] + [(None, "n"), (None, "m")]
+    assert got == sorted(want, key=str)
