@@ -13,11 +13,13 @@ communities with >= 3 cards, top 20; members top 50 by PageRank.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringwise.plans.edge_rounds import EdgeRounds
-from ringwise.session import bucketed, stored
+from ringwise.session import at_once, bucketed, stored
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
@@ -99,13 +101,13 @@ def _kind(v: str):
     return F.when(F.col(v).contains(":"), F.substring_index(v, ":", 1)).otherwise(F.lit("card")).alias("kind")
 
 
-def _wide(x) -> Column:
-    return F.col(x).cast("decimal(38,0)") if isinstance(x, str) else x.cast("decimal(38,0)")
+def _wide(x: str | int) -> str:
+    return f"CAST({x} AS DECIMAL(38,0))"
 
 
-def _exact(x, twice_m: int) -> Column:
+def _exact(x: str | int, twice_m: int) -> str:
     """A factor of products up to ``twice_m ** 2``: long where those fit, else a decimal."""
-    return (F.col(x) if isinstance(x, str) else x).cast("long") if twice_m < 2 ** 31 else _wide(x)
+    return f"CAST({x} AS LONG)" if twice_m < 2 ** 31 else _wide(x)
 
 
 def draws(turns: list[int]) -> Column:
@@ -115,31 +117,33 @@ def draws(turns: list[int]) -> Column:
     return sum(bit[1:], bit[0]).cast("long")
 
 
-def move_round(state: DataFrame, rounds: EdgeRounds, twice_m: int, size: int, bit: int) -> DataFrame:
+def move_round(state: DataFrame, rounds: EdgeRounds, twice_m: int, size: int, bit: int, vertices: DataFrame | None = None) -> DataFrame:
     """One synchronous round of community moves by modularity gain.
 
-    ``state(v, k, own, draw, c, total)``, a stored table (``k`` degree, ``own`` self-loop weight, ``c`` community of degree
-    ``total``) -> the same with ``inside`` (weight to the own community), ``next`` and ``wants``.  Joining C is worth
+    ``state(v, k, own, draw, c, total)``, with hubs a stored table (``k`` degree, ``own`` self-loop weight, ``c`` community of
+    degree ``total``) -> the same with ``inside`` (weight to the own community), ``next`` and ``wants``.  ``vertices`` may be the
+    same rows without ``total`` where those are cheaper to read.  Joining C is worth
     ``w(v, C) * 2m - k * total(C)``, staying ``w(v, c) * 2m - k * (total(c) - k)``; the best C (ties: smallest name) wins only
     when strictly better.  Half of the vertices, drawn by a hash of name and turn, may move in a turn, so neighbours seldom
     swap places.  The best is the smallest ``-worth * size + number`` (numbers are below ``size``), one decimal that is
     aggregated without sorting.  Messages bring the total of their community along and edges the degree of their target, so what arrives
     is scored where it is summed and never joined.
     """
-    m2 = _exact(F.lit(twice_m), twice_m)
+    m2 = _exact(twice_m, twice_m)
     sent = (rounds.send(state.select("v", "c", "total")).where("src <> dst")
-            .select(F.col("dst").alias("v"), F.col("to_k").alias("k"), F.col("c").alias("to"), "total", "w", F.lit(0).alias("mine")))
-    mine = state.select("v", "k", F.col("c").alias("to"), "total", F.lit(0).cast("long").alias("w"), F.lit(1).alias("mine"))
-    links = (sent.unionByName(mine).groupBy("v", "k", "to", "total").agg(F.sum("w").alias("w"), F.max("mine").alias("mine"))
-             .withColumn("low", _exact("k", twice_m) * _exact("total", twice_m) - _exact("w", twice_m) * m2))
-    best = links.groupBy("v").agg(F.min(F.when(F.col("mine") == 0, _wide("low") * _wide(F.lit(size)) + F.col("to"))).alias("best"),
-                                  F.sum(F.when(F.col("mine") == 1, F.col("w"))).alias("inside"))
-    stay = _exact("inside", twice_m) * m2 - _exact("k", twice_m) * _exact(F.col("total") - F.col("k"), twice_m)
-    wants = F.coalesce(F.col("best") < _wide(-stay) * _wide(F.lit(size)), F.lit(False))
-    mine = F.col("draw").bitwiseAND(F.lit(1 << bit)) != 0
-    return (state.join(best.hint("shuffle_hash"), "v").withColumn("wants", wants)
-            .select("v", "k", "own", "draw", "c", "total", "inside", "wants",
-                    F.when(F.col("wants") & mine, F.pmod("best", _wide(F.lit(size))).cast("long")).otherwise(F.col("c")).alias("next")))
+            .selectExpr("dst AS v", "to_k AS k", "c AS to", "total", "w", "0 AS mine"))
+    mine = state.selectExpr("v", "k", "c AS to", "total", "0L AS w", "1 AS mine")
+    links = sent.union(mine).groupBy("v", "k", "to", "total").agg(F.expr("sum(w) AS w"), F.expr("max(mine) AS mine"))
+    low = f"{_exact('k', twice_m)} * {_exact('total', twice_m)} - {_exact('w', twice_m)} * {m2}"
+    best = links.groupBy("v").agg(F.expr(f"min(CASE WHEN mine = 0 THEN {_wide(low)} * {_wide(size)} + to END) AS best"),
+                                  F.expr("sum(CASE WHEN mine = 1 THEN w END) AS inside"),
+                                  F.expr("max(CASE WHEN mine = 1 THEN total END) AS total"))
+    stay = f"({_exact('inside', twice_m)} * {m2} - {_exact('k', twice_m)} * {_exact('total - k', twice_m)})"
+    rows = (state if vertices is None else vertices).select("v", "k", "own", "draw", "c")
+    return (rows.join(best.hint("shuffle_hash"), "v")
+            .selectExpr("*", f"coalesce(best < {_wide('-' + stay)} * {_wide(size)}, false) AS wants")
+            .selectExpr("v", "k", "own", "draw", "c", "total", "inside", "wants",
+                        f"CASE WHEN wants AND (draw & {1 << bit}L) <> 0 THEN CAST(pmod(best, {_wide(size)}) AS LONG) ELSE c END AS next"))
 
 
 def modularity_sum(round_: DataFrame, twice_m: int) -> tuple[int, int]:
@@ -147,14 +151,21 @@ def modularity_sum(round_: DataFrame, twice_m: int) -> tuple[int, int]:
 
     A community's squared total is the sum of ``k * total`` over its vertices.
     """
-    r = round_.agg(F.sum(F.col("inside") + F.col("own")), F.sum(_exact("k", twice_m) * _exact("total", twice_m)),
-                   F.count_if("wants")).first()
+    r = round_.selectExpr("sum(inside + own)", f"sum({_exact('k', twice_m)} * {_exact('total', twice_m)})", "count_if(wants)").first()
     return int(r[0]) * twice_m - int(r[1]), int(r[2])
 
 
 def _with_total(state: DataFrame) -> DataFrame:
-    return stored(state.join(state.groupBy("c").agg(F.sum("k").alias("total")), "c")
-                  .select("v", "k", "own", "draw", "c", "total"))
+    totals = state.groupBy("c").agg(F.sum("k").alias("total"))
+    return state.join(totals.hint("shuffle_hash"), "c").select("v", "k", "own", "draw", "c", "total")
+
+
+def _next_round(done: DataFrame, rounds: EdgeRounds, twice_m: int, size: int) -> DataFrame:
+    """The turn after ``done``, stored; its draw is the next bit, so every turn is the same code."""
+    vertices = done.selectExpr("v", "k", "own", "shiftright(draw, 1) AS draw", "next AS c")
+    if rounds.has_hubs:
+        return stored(move_round(stored(_with_total(vertices)), rounds, twice_m, size, 0))
+    return stored(move_round(_with_total(vertices), rounds, twice_m, size, 0, vertices))
 
 
 def louvain(edges: DataFrame | VertexGraph, levels: int = 3, turns: int = 8) -> tuple[DataFrame, list[float]]:
@@ -173,19 +184,23 @@ def louvain(edges: DataFrame | VertexGraph, levels: int = 3, turns: int = 8) ->
             weights = stored(weights)
             members = stored(_degrees(weights))
             rounds = EdgeRounds(_with_target(weights, members))
-        names = graph.names.select("v", draws([level * 100 + t for t in range(turns + 1)]).alias("draw"))
-        state = stored(members.join(names.hint("merge"), "v")
-                       .select("v", "k", "own", "draw", F.col("v").alias("c"), F.col("k").alias("total")))
+        drawn = draws([level * 100 + t for t in range(turns + 1)]).alias("draw")  # after the join: for the members only
+        state = stored(graph.names.join(members.hint("shuffle_hash"), "v")
+                       .select("v", "k", "own", drawn, F.col("v").alias("c"), F.col("k").alias("total")))
         kept, best, first = state, None, None
+        done = stored(move_round(state, rounds, twice_m, graph.size, 0))
         for turn in range(turns + 1):
-            done = stored(move_round(state, rounds, twice_m, graph.size, turn))
-            q, wants = modularity_sum(done, twice_m)
+            # the next turn starts while this one's figures are summed; without hubs its state is no table of its own
+            works = [partial(modularity_sum, done, twice_m)]
+            if turn < turns:
+                works.append(partial(_next_round, done, rounds, twice_m, graph.size))
+            (q, wants), *after = at_once(*works)
             first = q if first is None else first
             if best is None or q > best:
                 kept, best = done.select("v", "c"), q
-            if not wants or turn == turns:
+            if not wants or not after:
                 break
-            state = _with_total(done.select("v", "k", "own", "draw", F.col("next").alias("c")))
+            done = after[0]
         reached.append(best / twice_m ** 2)
         if best == first:  # nothing was gained: further levels would repeat this one
             break

@@ -1,11 +1,14 @@
 """Rounds over numbered vertices: one graph for communities and ranks, moves against plain Python, what is exchanged."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
+from ringwise import catalog_algo
 from ringwise.operators import graph_algo as ga
 from ringwise.plans import edge_rounds
-from ringwise.session import stored
+from ringwise.session import at_once, stored
 
 
 def typed(spark, pairs):
@@ -97,3 +100,49 @@ def test_what_hubs_send_is_summed_before_it_moves(spark, monkeypatch):
     values = stored(rounds.edges.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("x")))
     plan = rounds.send_hot(values).groupBy("dst").agg(F.sum("x"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan, plan
+
+
+def test_a_turn_without_hubs_writes_one_table(spark, monkeypatch):
+    graph = ga.VertexGraph(typed(spark, sorted(set(PAIRS))))
+    tables, moved, rounds = [], [], ga.move_round
+    monkeypatch.setattr(ga, "stored", lambda df: (tables.append(df.columns), stored(df))[1])
+    monkeypatch.setattr(ga, "move_round", lambda *a: (moved.append(rounds(*a)), moved[-1])[1])
+    ga.louvain(graph, levels=1)
+    states = [t for t in tables if {"draw", "c"} <= set(t)]
+    # the first state, then what each turn found; the old code wrote a state with totals for every turn as well
+    assert len(moved) > 2 and len(states) == 1 + len(moved), states
+    plans = [m._jdf.queryExecution().optimizedPlan().toString() for m in moved[1:]]
+    assert all("(draw" in p and "& 1)" in p for p in plans)  # one code for all turns, compiled once
+
+
+def test_draws_by_shifting_are_those_of_the_turns(spark):
+    graph = ga.VertexGraph(typed(spark, sorted(set(PAIRS))))
+    found, _ = ga.louvain(graph, levels=1, turns=3)
+    edges = [(a, b, 1) for a, b in ((r.src, r.dst) for r in graph.rounds.edges.collect())]
+    k = {r.v: r.k for r in graph.degrees.collect()}
+    name = {r.v: r.name for r in graph.names.collect()}
+    draw = {r.name: r.draw for r in graph.names.select("name", ga.draws([0, 1, 2, 3]).alias("draw")).collect()}
+    m2, comm, best = sum(k.values()), {v: v for v in k}, None
+    for turn in range(4):
+        state = [(v, k[v], 0, 2 if draw[name[v]] >> turn & 1 else 0, comm[v]) for v in sorted(k)]
+        want, total = moves(edges, state, m2)
+        q = sum(x[0] for x in want.values()) * m2 - sum(t * t for t in total.values())
+        if best is None or q > best[0]:
+            best = (q, comm)
+        comm = {v: x[2] for v, x in want.items()}
+    assert {r.v: r.community for r in found.collect()} == {name[v]: name[c] for v, c in best[1].items()}
+
+
+def test_works_at_once_run_beside_each_other_and_raise(spark):
+    met = threading.Barrier(2, timeout=60)
+    assert at_once(lambda: (met.wait(), spark.range(3).count())[1], lambda: (met.wait(), "b")[1]) == [3, "b"]
+    with pytest.raises(ZeroDivisionError):
+        at_once(lambda: spark.range(3).count(), lambda: 1 / 0)
+
+
+def test_communities_and_ranks_do_not_wait_for_each_other(spark, monkeypatch):
+    met, done = threading.Barrier(2, timeout=120), []
+    for name in ("communities", "pagerank"):
+        monkeypatch.setattr(ga, name, lambda *a, f=getattr(ga, name): (met.wait(), done.append(1), f(*a))[2])
+    catalog_algo._comm_ranks(spark, "/root/testdata/sf0.001")
+    assert len(done) == 2
