@@ -131,5 +131,5 @@ def q_g19(spark, sf):
 SELECT comm.kind AS node_type, comm.v AS node_key, community, rank AS pagerank FROM comm JOIN ranks ON comm.v = ranks.v""",
                                "edges", **_COMM, **_RANK))
 def q_g20(spark, sf):
-    t, e = _graph(spark, sf)
-    return ga.node_rings(ga.communities(e, LEVELS, TURNS), ga.pagerank(e, ITERS, DAMP))
+    t, c, r = _comm_ranks(spark, sf)
+    return ga.node_rings(c, r)
