@@ -107,7 +107,8 @@ def upstream(txn: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_card_n"))
     per_addr = (txn.where(F.col("addr1").isNotNull()).groupBy("addr1")
                 .agg(F.avg("isFraud").alias("cluster_fraud_rate")))
-    return (txn.join(per_card, "card1", "left").join(per_addr, "addr1", "left")
+    # the rows stream past the hashed cards of their part, unsorted
+    return (txn.join(per_card.hint("shuffle_hash"), "card1", "left").join(per_addr, "addr1", "left")
             .withColumn("TransactionAmt_Log", F.log1p("TransactionAmt"))
             .withColumn("uid_Amt_Relative_Check", F.try_divide(F.col("TransactionAmt"), F.col("_card_mean")))
             .withColumn("uid_count", F.coalesce("uid_count", "_card_n"))

@@ -7,14 +7,18 @@ model as ``w * (x - mean)`` - linear, exact and computed in the JVM.
 
 Each category column is hashed into slots of its own, so a column may have
 any number of categories, and every slot belongs to one column: importances
-and attributions of a column are the sums over its slots.
+and attributions of a column are the sums over its slots.  Slots that no training row fills tell nothing (no tree can split
+there, a regression gives them 0) and are left out of the vector: training keeps a number for every entry of every row.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from bisect import bisect_left
+
+from pyspark import StorageLevel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import FeatureHasher, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, VectorAssembler, VectorSlicer
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -51,13 +55,14 @@ def class_weight(df: DataFrame, label: str = "isFraud") -> DataFrame:
 
 def train(df: DataFrame, num_cols: list[str], cat_cols: list[str], label: str = "isFraud", model: str = "gbt",
           max_iter: int = 20, max_depth: int = 4, seed: int = 7, slots: int = SLOTS):
-    """H1: fit ``Pipeline(FeatureHasher per category column, VectorAssembler, classifier)`` with class weights.
+    """H1: fit ``FeatureHasher`` per category column, ``VectorAssembler``, ``VectorSlicer``, classifier with class weights.
 
-    The vector holds the numeric columns in order, then ``slots`` entries of each category column (1 at the slot that
-    its value hashes to).  Any number of categories trains; those that share a slot are not told apart.
+    The vector holds the numeric columns in order, then of each category column those of its ``slots`` entries (1 at the
+    slot that its value hashes to) that some row fills.  Any number of categories trains; those that share a slot are not
+    told apart.  The vectors are made once, and kept on the executors' disks while every pass of the fit reads them.
     """
     hashers = [FeatureHasher(inputCols=[c], outputCol=f"{c}_slots", categoricalCols=[c], numFeatures=slots) for c in cat_cols]
-    vec = VectorAssembler(inputCols=list(num_cols) + [f"{c}_slots" for c in cat_cols], outputCol="features",
+    vec = VectorAssembler(inputCols=list(num_cols) + [f"{c}_slots" for c in cat_cols], outputCol="slots",
                           handleInvalid="keep")
     if model == "gbt":
         clf = GBTClassifier(labelCol=label, featuresCol="features", weightCol="weight", maxIter=max_iter,
@@ -65,16 +70,26 @@ def train(df: DataFrame, num_cols: list[str], cat_cols: list[str], label: str =
     else:
         clf = LogisticRegression(labelCol=label, featuresCol="features", weightCol="weight", maxIter=max_iter,
                                  regParam=0.01, standardization=True)
-    return Pipeline(stages=hashers + [vec, clf]).fit(class_weight(df, label))
+    weighted = class_weight(df, label)
+    head = Pipeline(stages=hashers + [vec]).fit(weighted)
+    rows = head.transform(weighted).select(label, "weight", "slots").persist(StorageLevel.DISK_ONLY)
+    try:
+        filled = rows.agg(Summarizer.numNonZeros(F.col("slots")).alias("n")).first()["n"]  # one number per entry
+        kept = [i for i, n in enumerate(filled or [1] * (len(num_cols) + slots * len(cat_cols))) if i < len(num_cols) or n]
+        slicer = VectorSlicer(inputCol="slots", outputCol="features", indices=kept)
+        return PipelineModel([*head.stages, slicer, clf.fit(slicer.transform(rows).drop("slots"))])
+    finally:
+        rows.unpersist()
 
 
 def column_spans(model) -> list[tuple[str, int, int]]:
     """``(column, first, end)`` of every input column in the feature vector of a fitted pipeline."""
-    slots = {h.getOutputCol(): (h.getInputCols()[0], h.getNumFeatures()) for h in model.stages[:-2]}
-    spans, at = [], 0
-    for c in model.stages[-2].getInputCols():
+    *hashers, vec, slicer, _ = model.stages
+    slots = {h.getOutputCol(): (h.getInputCols()[0], h.getNumFeatures()) for h in hashers}
+    kept, spans, at = slicer.getIndices(), [], 0
+    for c in vec.getInputCols():
         name, width = slots.get(c, (c, 1))
-        spans.append((name, at, at + width))
+        spans.append((name, bisect_left(kept, at), bisect_left(kept, at + width)))
         at += width
     return spans
 
@@ -108,6 +123,8 @@ def attributions(model, df: DataFrame, k: int = 10, id_col: str = "TransactionID
     x = F.col("x")
 
     def attribution(lo: int, hi: int) -> Column:
+        if hi == lo:
+            return F.lit(0.0)
         if hi - lo == 1:
             return w[lo] * (x[lo] - centre[lo])
         weights = F.array(*[F.lit(v) for v in w[lo:hi]])

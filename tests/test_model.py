@@ -1,9 +1,15 @@
 """Training on hashed categories, holdout figures and attributions."""
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.sql import functions as F
 
+from ringwise import catalog_ml
+from ringwise.catalog import txn
 from ringwise.operators import evaluate as ev, ml, prep
+from ringwise.operators.features import upstream
+from ringwise.operators.graph_features import attach, build_graph_features
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +73,45 @@ def test_training_tasks_hold_a_bounded_number_of_rows(spark, rows):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert sum(parts) == 6000 and len(parts) == 20 and max(parts) < 450
+
+
+@pytest.mark.parametrize("kind", ["gbt", "lr"])
+def test_empty_slots_are_left_out_and_change_nothing(rows, kind):
+    one = rows.where("TransactionID < 2000").coalesce(1).sortWithinPartitions("TransactionID")
+    num, cat = ["noise", "hint"], ["domain"]
+    model = ml.train(one, num, cat, model=kind, max_iter=5, slots=256)
+    size = len(model.transform(one).first().features)
+    assert len(num) < size <= len(num) + 60  # 60 domains; the vector of before had 258 entries
+    assert ml.column_spans(model) == [("noise", 0, 1), ("hint", 1, 2), ("domain", 2, size)]
+    *hashers, vec, _, _ = model.stages
+    every = Pipeline(stages=[*hashers, vec]).fit(one).transform(ml.class_weight(one)).withColumnRenamed("slots", "features")
+    clf = (GBTClassifier(labelCol="isFraud", weightCol="weight", maxIter=5, maxDepth=4, stepSize=0.1, seed=7) if kind == "gbt" else
+           LogisticRegression(labelCol="isFraud", weightCol="weight", maxIter=5, regParam=0.01, standardization=True))
+    whole = {r.TransactionID: r.probability[1] for r in clf.fit(every).transform(every).collect()}
+    got = {r.TransactionID: r.model_probability for r in ml.score(model, one).collect()}
+    assert got == pytest.approx(whole, abs=1e-9)
+    # a category that no training row had fills no slot of its own
+    odd = one.limit(3).withColumn("domain", F.lit("never seen"))
+    assert ml.score(model, odd).count() == 3
+
+
+def test_vectors_are_made_once_and_let_go(spark, rows, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+    def count(x):
+        made.add(1)
+        return x
+    counted = rows.where("TransactionID < 500").withColumn("hint", F.udf(count, "double").asNondeterministic()("hint")).select(
+        "TransactionID", "domain", "noise", "isFraud", "hint")
+    ml.train(counted, ["noise", "hint"], ["domain"], max_iter=2)
+    assert made.value <= 1000  # the vectors, and at most once more for the class weights; every pass of the fit before
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().isEmpty()
+
+
+def test_the_graph_of_the_training_table_needs_no_feature_joins(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalog_ml, "build_graph_features", lambda t: (seen.append(t), build_graph_features(t))[1])
+    out = catalog_ml._train_frame(spark, "/root/testdata/sf0.001")
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    t = upstream(txn(spark, "/root/testdata/sf0.001"))
+    want = prep.prepare(attach(t, build_graph_features(t)), catalog_ml.NUM, catalog_ml.CAT, keep=("TransactionID", "isFraud"))
+    assert sorted(out.collect()) == sorted(want.collect())
