@@ -3,7 +3,8 @@
 The edges are written once, bucketed by source, so a round moves the values of the vertices and what they send, never
 the edges.  The values of a bucket, one row a vertex, are hashed and the edges stream past them unsorted.  A source with
 more than ``HUBS // 20`` edges and a ``1 / HUBS`` share of all would fill one bucket: those hubs, fewer than ``HUBS`` by that
-share, send their few values to every task instead; every round reads the values once more for them.  Their edges are bucketed by target, so what hubs send to one vertex is summed before it moves.
+share, send their few values to every task instead; every round reads the values once more for them.  Their edges are bucketed
+by target, so what hubs send to one vertex is summed before it moves.
 """
 
 from __future__ import annotations
